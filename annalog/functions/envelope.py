@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalog.functions.trace import blank_to_null
@@ -20,6 +20,17 @@ OMIT_EMPTY = ("correlation_id", "causation_id", "actor_id", "trace_id", "source_
 OMIT_EMPTY_REPLAY = ("replay_id", "replayed_at", "replay_reason", "replay_source_event_id")
 
 
+def fix_columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    Catalyst substitutes a projected expression wherever it is used, also into
+    filters above it; for a JSON parse that means parsing again per use. A
+    generator of one row ends the substitution and stays inside codegen.
+    """
+    one = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(one)))
+
+
 def stable_uuid(*parts: Column) -> Column:
     """A UUID-shaped id derived from `parts`: the same on every task attempt."""
     digest = F.md5(F.concat_ws("\u001f", *parts))
@@ -72,19 +83,24 @@ def raw_member(doc: Column, name: str, followers: Sequence[str], value: Column)
     def cut(inner: str, stop: str) -> Column:
         return F.regexp_extract(doc, rf'(?s)"{name}"\s*:\s*({inner})\s*{stop}', 1)
 
-    def same(text: Column) -> Column:
-        alone = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-        return (text != "") & (F.size(alone) == 1) & alone[0].eqNullSafe(value)
+    def accept(text: Column) -> Column:
+        """`text` if it reads the same, else NULL; the array binds it once."""
+
+        def same(t: Column) -> Column:
+            alone = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")
+            return (t != "") & (F.size(alone) == 1) & F.get(alone, F.lit(0)).eqNullSafe(value)
+
+        return F.get(F.filter(F.array(text), same), F.lit(0))
 
     names = "|".join(followers)
-    tries = [
-        cut(".*", r',\s*"metadata"\s*:'),
-        cut(".*", r"\}\s*$"),
-        cut(".*?", rf',\s*"(?:{names})"\s*:'),
-    ]
     parsed = F.try_variant_get(F.try_parse_json(doc), f"$.{name}", "variant")
-    raw = F.when(same(tries[0]), tries[0]).when(same(tries[1]), tries[1]).when(same(tries[2]), tries[2])
-    return raw.otherwise(F.coalesce(F.to_json(parsed), value))
+    return F.coalesce(
+        accept(cut(".*", r',\s*"metadata"\s*:')),
+        accept(cut(".*", r"\}\s*$")),
+        accept(cut(".*?", rf',\s*"(?:{names})"\s*:')),
+        F.to_json(parsed),
+        value,
+    )
 
 
 def variant_text(member: Column) -> Column:

@@ -21,7 +21,7 @@ def causation_roots(df: DataFrame, limit: int = MAX_ROWS_PER_TASK) -> DataFrame:
 
     Pointer doubling: each round an event adopts its ancestor's ancestor, so a
     chain of depth d takes log2(d) rounds, each a join of unfinished events with
-    the table itself. Rounds are checkpointed in the shared folder.
+    the table itself. Each round is stored in the shared folder.
     """
     events = df.select("tenant_id", "id", F.nullif("causation_id", F.lit("")).alias("up"))
     known = events.select("tenant_id", F.col("id").alias("up"))

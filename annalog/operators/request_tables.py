@@ -11,7 +11,6 @@ are joined back, by equality.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,46 +201,54 @@ def match_requests(
     Returns (request_id, tenant_id, matched_count, status) with status 'ok' or
     'limit exceeded', and (request_id, tenant_id, id) for the requests that are ok.
 
-    Requests with ids join by id. The others are handled per combination of
-    optional fields they give: at most 16 combinations, each numbered once.
+    Requests with ids join by id. Every other request gets a scope: which optional
+    fields it gives (16 combinations at most) and their values. Events are taken
+    into the asked scopes only, and numbered there by time.
     """
     with_ids = F.coalesce(F.size("event_ids"), F.lit(0)) > 0
-    shape = F.array(
-        *[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.lit(c)) for c in OPTIONAL_FIELDS]
-    )
-    shaped = requests.withColumn(
-        "_shape", F.when(~with_ids, F.concat_ws(",", F.filter(shape, lambda c: c.isNotNull())))
-    )
-    shapes = [r[0] for r in shaped.select("_shape").distinct().collect()]
-    renamed = events.select(
-        "tenant_id", "id", "occurred_at", "stream_id", "correlation_id", F.col("type").alias("event_type"), "actor_id"
-    )
-    counts, hits = [], []
-    for name in sorted(shapes, key=lambda s: (s is not None, s)):
-        if name is None:
-            counted, found = _by_ids(events, shaped.filter(with_ids))
-        else:
-            key = ["tenant_id", *[c for c in name.split(",") if c]]
-            placed, spans = _positions(renamed, shaped.filter(F.col("_shape") == name), key, limit)
-            counted = spans.select("request_id", "tenant_id", "safety_limit", "total")
-            wanted = (
-                spans.filter((F.col("total") > 0) & (F.col("total") <= F.col("safety_limit")))
-                .withColumn("position", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))))
-                .select("request_id", *key, "position")
-            )
-            found = placed.join(wanted, [*key, "position"]).select("request_id", "tenant_id", "id")
-        counts.append(counted)
-        hits.append(found)
-    if not counts:
-        nothing = requests.select("request_id", "tenant_id").limit(0)
-        return (
-            nothing.withColumns({"matched_count": F.lit(0).cast("bigint"), "status": F.lit("ok")}),
-            nothing.withColumn("id", F.lit("")),
+    by_id = requests.filter(with_ids)
+    given = [F.coalesce(F.col(c), F.lit("")) != "" for c in OPTIONAL_FIELDS]
+    shape = F.concat(*[F.when(g, F.lit("1")).otherwise(F.lit("0")) for g in given])
+    scoped = requests.filter(~with_ids).withColumn("_shape", shape).withColumn(
+        "scope",
+        _scope(F.col("_shape"), [F.when(g, F.col(c)) for g, c in zip(given, OPTIONAL_FIELDS)]),
+    )
+    shapes = [r[0] for r in scoped.select("_shape").distinct().collect()]  # 16 at most
+    counted, hits = _by_ids(events, by_id)
+    if shapes:
+        fields = [F.col("type" if c == "event_type" else c) for c in OPTIONAL_FIELDS]
+        options = F.array(
+            *[
+                _scope(F.lit(s), [f for f, bit in zip(fields, s) if bit == "1"])
+                for s in sorted(shapes)
+            ]
+        )
+        points = events.select("occurred_at", "id", F.explode(options).alias("scope")).join(
+            scoped.select("scope").distinct(), "scope", "left_semi"
+        )
+        placed, spans = _positions(points, scoped, ["scope"], limit)
+        counted = counted.unionByName(
+            spans.select("request_id", "tenant_id", "safety_limit", "total")
         )
-    summary = reduce(DataFrame.unionByName, counts).select(
+        wanted = (
+            spans.filter((F.col("total") > 0) & (F.col("total") <= F.col("safety_limit")))
+            .withColumn("position", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))))
+            .select("request_id", "tenant_id", "scope", "position")
+        )
+        hits = hits.unionByName(
+            placed.join(wanted, ["scope", "position"]).select("request_id", "tenant_id", "id")
+        )
+    summary = counted.select(
         "request_id",
         "tenant_id",
         F.col("total").alias("matched_count"),
-        F.when(F.col("total") > F.col("safety_limit"), F.lit("limit exceeded")).otherwise(F.lit("ok")).alias("status"),
+        F.when(F.col("total") > F.col("safety_limit"), F.lit("limit exceeded"))
+        .otherwise(F.lit("ok"))
+        .alias("status"),
     )
-    return summary, reduce(DataFrame.unionByName, hits)
+    return summary, hits
+
+
+def _scope(shape: Column, values: Sequence[Column]) -> Column:
+    """Which fields are given, the tenant, and their values, as one text key."""
+    return F.concat_ws("\u001f", shape, F.col("tenant_id"), *values)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,10 @@ _MIN_ROW_BYTES = 64
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate: file sizes for scans, products for joins, so it errs
     on the large side."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # a product of many joins, too long to convert
+        return sys.maxsize
 
 
 def crowded_keys(df: DataFrame, key: Sequence[str], limit: int) -> DataFrame | None:

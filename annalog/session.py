@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written for. AQE coalesces small shuffle partitions and
 # splits skewed ones; `forceOptimizeSkewedJoin` lets it split a skewed join even
@@ -20,6 +20,9 @@ SESSION_CONF = {
 }
 
 
+_local_dir: str | None = None
+
+
 def apply_conf(spark: SparkSession) -> SparkSession:
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
@@ -37,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="annalog-")
-    spark.sparkContext.getConf().set("spark.checkpoint.dir", made)
-    return made
+    global _local_dir
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="annalog-")
+    return _local_dir
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
@@ -47,9 +51,9 @@ def run_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/annalog/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Materialise `df` reliably (iterative operators); survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store `df` in the shared folder and read it back: a lost executor costs
+    nothing that was computed before, and Catalyst plans with the real size."""
+    path = run_dir(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

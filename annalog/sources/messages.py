@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from annalog.functions.envelope import (
     UUID_PATTERN,
     envelope_json,
+    fix_columns,
     parse_rfc3339,
     raw_member,
     variant_is,
@@ -139,7 +140,7 @@ def from_envelope_json(df: DataFrame, value: str = "value") -> DataFrame:
     """
     text = F.col(value).cast("string")
     doc = F.from_json(text, _DOC_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    parsed = df.withColumns({"_text": text, "_doc": doc})
+    parsed = fix_columns(df.withColumn("_text", text), _doc=doc)
 
     def member(name: str) -> Column:
         return F.col("_doc")[name]
@@ -177,11 +178,9 @@ def from_envelope_json(df: DataFrame, value: str = "value") -> DataFrame:
     values["id"] = F.lower(texts["id"])
     values["metadata"] = F.coalesce(metadata, F.from_json(F.lit("{}"), "map<string,string>"))
     event = F.struct(*[values[c].cast(EVENT_SCHEMA[c].dataType).alias(c) for c in COLS])
-    return (
-        parsed.withColumn("decode_error", error)
-        .withColumn("event", F.when(F.col("decode_error").isNull(), event))
-        .drop("_text", "_doc")
-    )
+    judged = fix_columns(parsed, decode_error=error)
+    decoded = fix_columns(judged, event=F.when(F.col("decode_error").isNull(), event))
+    return decoded.drop("_text", "_doc")
 
 
 def decode_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalog.functions.envelope import raw_member, variant_is, variant_text
+from annalog.functions.envelope import fix_columns, raw_member, variant_is, variant_text
 from annalog.schema import REQUEST_MAX_BYTES, REQUEST_PREVIEW_CHARS, REQUEST_SCHEMA
 
 _TEXTS = ["stream_id", "type", "source", "causation_id", "actor_id", "trace_id", "source_version"]
@@ -53,7 +53,7 @@ def decode_requests(
     others = [c for c in df.columns if c not in REQUEST_SCHEMA.fieldNames() and c != value]
     text = F.col(value)
     doc = F.from_json(text, _DOC_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    parsed = df.withColumn("_doc", doc)
+    parsed = fix_columns(df, _doc=doc)
 
     def member(name: str):
         return F.col("_doc")[name]
@@ -70,7 +70,7 @@ def decode_requests(
         .when(F.col("_doc").isNull() | member("_broken").isNotNull(), F.lit("invalid request body"))
         .when(wrong, F.lit("invalid request body"))
     )
-    judged = parsed.withColumn("reject_reason", reason)
+    judged = fix_columns(parsed, reject_reason=reason)
     values = {c: F.coalesce(variant_text(member(c)), F.lit("")) for c in _TEXTS}
     values["event_version"] = F.coalesce(F.try_variant_get(member("event_version"), "$", "int"), F.lit(0))
     values["metadata"] = F.transform_values(
