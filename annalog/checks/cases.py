@@ -32,9 +32,13 @@ from annalog.sources.messages import (
     to_messages,
     to_wire9,
 )
-from annalog.sources.projection import latest_by_id
+from annalog.schema import MESSAGE_SCHEMA
+from annalog.session import run_dir
+from annalog.sources.log import append_batch, read_heads, read_log
+from annalog.sources.messages import read_messages
+from annalog.sources.projection import latest_by_id, read_projection
 from annalog.sources.requests import decode_requests
-from annalog.streaming.jobs import index_error
+from annalog.streaming.jobs import ProjectionPaths, index_error, run_ingest, run_log_projection, run_projection
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -889,3 +893,89 @@ def correlation_tenants(spark, sf_dir):
 @case(f"SELECT id, {_TIME} AS at FROM base")
 def rfc3339_text(spark, sf_dir):
     return fx.unversioned(spark, sf_dir).select("id", rfc3339(F.col("occurred_at")).alias("at"))
+
+
+# ---------------------------------------------------------------- stored tables and streams
+
+
+def drain(query):
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@case("""
+SELECT id, tenant_id, stream_id, version, occurred_at, region, top AS head FROM canonical
+JOIN (SELECT stream_id, max(version) AS top FROM canonical GROUP BY stream_id) USING (stream_id)""")
+def log_append(spark, sf_dir):
+    """The log stored in two overlapping batches, then read back."""
+    path = run_dir(spark, "log")
+    events = fx.unversioned(spark, sf_dir).select(*COLS)
+    append_batch(events.filter("occurred_at < '2024-01-16'"), path, 0)
+    append_batch(events.filter("occurred_at >= '2024-01-10'"), path, 1)
+    heads = read_heads(spark, path).withColumnRenamed("version", "head")
+    return (
+        read_log(spark, path)
+        .join(heads, "stream_id")
+        .select("id", "tenant_id", "stream_id", "version", "occurred_at", F.col("metadata")["region"].alias("region"), "head")
+    )
+
+
+@case("""
+SELECT b_stream AS stream_id, count(*) AS events, CAST(1 AS BIGINT) AS first_version, count(*) AS last_version, true AS contiguous
+FROM bodies WHERE NOT (cut OR long OR mistyped) AND b_stream <> '' AND b_type <> '' GROUP BY b_stream
+UNION ALL
+SELECT 'rejected', count(*), 0, 0, false FROM bodies WHERE cut OR long OR mistyped OR b_stream = '' OR b_type = ''""", fx.BODIES)
+def stream_ingest(spark, sf_dir):
+    """S10, I1 to I6 and S2 as a stream over files of request bodies, drained twice."""
+    home = run_dir(spark, "ingest")
+    bodies = fx.request_bodies(spark, sf_dir).select("value")
+    bodies.repartition(4, "value").write.text(f"{home}/in")
+    for _ in range(2):
+        drain(run_ingest(spark, f"{home}/in", f"{home}/log", f"{home}/rejected", TENANT, f"{home}/checkpoint"))
+    per_stream = audit.gap_check(read_log(spark, f"{home}/log")).drop("distinct_versions")
+    rejected = spark.read.parquet(f"{home}/rejected").agg(F.count(F.lit(1)).alias("events")).select(
+        F.lit("rejected").alias("stream_id"), "events", F.lit(0).cast("bigint").alias("first_version"),
+        F.lit(0).cast("bigint").alias("last_version"), F.lit(False).alias("contiguous"),
+    )
+    return per_stream.unionByName(rejected)
+
+
+@case("""
+SELECT 'indexed' AS outcome, id AS ref, CAST(max(sent_version) AS INTEGER) AS event_version
+FROM sent WHERE NOT broken AND NOT scalar GROUP BY id
+UNION ALL SELECT 'dead letter', id, sent_version FROM sent WHERE NOT broken AND scalar
+UNION ALL SELECT 'quarantine', topic || '/' || CAST(user_id % 6 AS VARCHAR) || '/' || CAST(pos AS VARCHAR), 0 FROM sent WHERE broken""", fx.SENT)
+def stream_projection(spark, sf_dir):
+    """S4 to S6, C1 to C8 as a stream: originals first, redeliveries in later batches,
+    drained twice on one checkpoint."""
+    home = run_dir(spark, "projection")
+    sent = fx.bus_messages(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE_SCHEMA])
+    for part in (sent.filter(f"offset < {10**9}"), sent.filter(f"offset >= {10**9}")):
+        part.repartition(4, "key").write.mode("append").parquet(f"{home}/bus")
+    paths = ProjectionPaths(f"{home}/index", f"{home}/dlq", f"{home}/quarantine")
+    options = {"path": f"{home}/bus", "maxFilesPerTrigger": "4"}
+    for _ in range(2):
+        drain(run_projection(read_messages(spark, "parquet", options), paths, f"{home}/checkpoint"))
+    indexed = read_projection(spark, paths.projection).select(
+        F.lit("indexed").alias("outcome"), F.col("id").alias("ref"), "event_version"
+    )
+    dead = spark.read.parquet(paths.dlq).select(
+        F.lit("dead letter").alias("outcome"), F.col("event.id").alias("ref"), F.col("event.event_version").alias("event_version")
+    )
+    lost = spark.read.parquet(paths.quarantine).select(
+        F.lit("quarantine").alias("outcome"), F.concat_ws("/", "topic", "partition", "offset").alias("ref"), F.lit(0).alias("event_version")
+    )
+    return indexed.unionByName(dead).unionByName(lost)
+
+
+@case("SELECT id, stream_id, version FROM canonical")
+def stream_log_projection(spark, sf_dir):
+    """C11: the stored log projected as it grows."""
+    home = run_dir(spark, "fan-out")
+    paths = ProjectionPaths(f"{home}/index", f"{home}/dlq", f"{home}/quarantine")
+    events = fx.unversioned(spark, sf_dir).select(*COLS)
+    for batch_id, part in enumerate((events.filter("occurred_at < '2024-01-16'"), events)):
+        append_batch(part, f"{home}/log", batch_id)
+        drain(run_log_projection(spark, f"{home}/log", paths, f"{home}/checkpoint"))
+    return read_projection(spark, paths.projection).select("id", "stream_id", "version")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from annalog.operators.lookup import lookup
 from annalog.operators.numbering import event_digits, running_total
-from annalog.operators.skew import MAX_ROWS_PER_TASK
+from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
+from annalog.session import cut_lineage
 
 
 def stream_heads(log: DataFrame) -> DataFrame:
@@ -60,11 +61,12 @@ def first_delivery(df: DataFrame, order: Sequence[Column] | None = None) -> Data
 def stored_versions(df: DataFrame, log: DataFrame) -> DataFrame:
     """(id, version) of those ids of `df` that the log already has.
 
-    The result is never larger than the batch. Only `id` and `version` of the log
-    are read, and Spark filters them by a runtime Bloom filter built from the batch.
+    Never larger than the batch. Only `id` and `version` of the log are read; the
+    batch's ids go to the log by broadcast when they are few (give a stored batch,
+    whose size Spark knows), so an append does not shuffle the log.
     """
     ids = df.select("id").distinct()
-    return log.select("id", "version").join(ids, "id", "left_semi")
+    return log.select("id", "version").join(small_side(ids), "id", "left_semi")
 
 
 def drop_known(df: DataFrame, log: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def append_result(
 
     A known id answers with the stored version; the retry's payload is ignored.
     """
-    unique = first_delivery(batch)
+    unique = cut_lineage(first_delivery(batch))
     fresh = assign_versions(drop_known(unique, log), stream_heads(log), limit=limit)
     return (
         fresh.select("id", "version", F.lit(True).alias("is_new"))

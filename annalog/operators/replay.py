@@ -18,6 +18,7 @@ from annalog.operators.skew import MAX_ROWS_PER_TASK
 from annalog.schema import COLS, REPLAY_LIMIT_DEFAULT, REPLAY_METADATA_KEYS
 
 IDS_INLINE = 100
+PROBE_ROWS = 100_000
 
 
 class ReplayLimitExceeded(ValueError):
@@ -102,8 +103,12 @@ def replay_order() -> list[Column]:
 
 
 def check_limit(df: DataFrame, limit: int) -> int:
-    """Number of matches; raises past `limit`, having read at most limit + 1 rows."""
-    seen = df.limit(limit + 1).count()
+    """Number of matches; raises past `limit`.
+
+    Small limits stop after limit + 1 rows. A global limit passes its rows through
+    one task, so large ones are checked by a plain count.
+    """
+    seen = df.limit(limit + 1).count() if limit <= PROBE_ROWS else df.count()
     if seen > limit:
         raise ReplayLimitExceeded(
             f"replay filter matched more events than the safety limit: at least {seen} (limit {limit})"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annalog.session import cut_lineage
 
 MAX_ROWS_PER_TASK = 1_000_000
+MAX_BROADCAST_BYTES = 32 << 20
 _MIN_ROW_BYTES = 64
 
 
@@ -40,3 +41,9 @@ def crowded_keys(df: DataFrame, key: Sequence[str], limit: int) -> DataFrame | N
         .select(*key)
     )
     return None if crowded.isEmpty() else cut_lineage(crowded)
+
+
+def small_side(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if Catalyst's estimate proves it small, else as it is:
+    the join then shuffles both sides."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df

@@ -1,10 +1,12 @@
 """The event log: an append-only Parquet table.
 
-Layout: `<path>/batch_id=N/tenant_id=T/occurred_date=D/*.parquet`, rows sorted by
-(stream_id, version) inside a file. Tenant and date prune folders, the sort gives
-tight row-group statistics for stream reads, Bloom filters serve id, correlation
-and causation lookups. A batch is written by overwriting its own folder, so a
-retried batch replaces itself.
+Layout: `<path>/batch_id=N/occurred_date=D/*.parquet`. Files hold consecutive
+ranges of (tenant_id, stream_id, version): the date prunes folders, file and
+row-group statistics prune tenants and streams, Bloom filters serve id,
+correlation and causation lookups. A bulk-loaded log of few tenants may put
+tenant_id before the date as folders (`folders=`); for micro-batches of many
+tenants that would make one small file each. A batch is written by overwriting its
+own folder, so a retried batch replaces itself.
 
 Beside it, `<path>_heads/batch_id=N` keeps the highest version of each stream the
 batch touched. Finding the heads of a new batch reads those small tables instead
@@ -13,6 +15,8 @@ of the log.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,7 @@ from annalog.operators.append import assign_versions, drop_known, first_delivery
 from annalog.operators.audit import upcast
 from annalog.operators.skew import MAX_ROWS_PER_TASK
 from annalog.schema import COLS, EVENT_SCHEMA
+from annalog.session import cut_lineage
 
 LOG_SCHEMA = T.StructType(
     [*EVENT_SCHEMA.fields, T.StructField("batch_id", T.LongType()), T.StructField("occurred_date", T.DateType())]
@@ -48,19 +53,43 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, before: int | No
 
 
 def read_log(
-    spark: SparkSession, path: str, before: int | None = None, layout: bool = False
+    spark: SparkSession,
+    path: str,
+    before: int | None = None,
+    layout: bool = False,
+    legacy: bool = False,
 ) -> DataFrame:
-    """The 20 event columns; columns a file does not have yet read as their defaults.
+    """The 20 event columns; filters on them reach the Parquet scan.
 
-    `before` keeps batches with a smaller id. `layout=True` adds batch_id and
-    occurred_date.
+    `before` keeps batches with a smaller id, `layout=True` adds batch_id and
+    occurred_date. `legacy=True` is for logs with files from before some column
+    existed: their rows read with the column's default, at the price that filters
+    on such columns run after the scan.
     """
-    df = upcast(_scan(spark, path, LOG_SCHEMA, before))
+    df = _scan(spark, path, LOG_SCHEMA, before)
+    if legacy:
+        df = upcast(df)
     return df if layout else df.select(*COLS)
 
 
 def read_heads(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    return stream_heads(_scan(spark, f"{path}_heads", HEAD_SCHEMA, before))
+    """Highest version per stream: the newest snapshot and the batches after it."""
+    heads = _scan(spark, f"{path}_heads", HEAD_SCHEMA, before)
+    if exists(spark, f"{path}_head_snapshots"):
+        snapshots = _scan(spark, f"{path}_head_snapshots", HEAD_SCHEMA, before)
+        newest = snapshots.agg(F.max("batch_id")).first()[0]
+        if newest is not None:
+            heads = heads.filter(F.col("batch_id") > newest).unionByName(
+                snapshots.filter(F.col("batch_id") == newest)
+            )
+    return stream_heads(heads)
+
+
+def snapshot_heads(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Merge the heads of all batches up to `batch_id`, so that later appends read
+    one row per stream instead of one per stream and batch."""
+    merged = read_heads(spark, path, before=batch_id + 1)
+    merged.write.mode("overwrite").parquet(f"{path}_head_snapshots/batch_id={batch_id}")
 
 
 def from_text_metadata(df: DataFrame) -> DataFrame:
@@ -68,20 +97,28 @@ def from_text_metadata(df: DataFrame) -> DataFrame:
     return df.withColumn("metadata", F.from_json("metadata", "map<string,string>")).select(*COLS)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, max_records: int = 5_000_000) -> None:
+def write_batch(
+    df: DataFrame,
+    path: str,
+    batch_id: int,
+    folders: Sequence[str] = ("occurred_date",),
+    max_records: int = 5_000_000,
+) -> None:
     """Write rows that already have versions as batch `batch_id` of the log.
 
-    Range partitioning by the sort key splits a tenant-day or a stream that is
-    too large for one task; a hash by tenant and day would not.
+    Range partitioning by the sort key splits a day, tenant or stream that is too
+    large for one task; a hash of them would not. `folders` must be the same for
+    all batches of a log.
     """
-    keys = ["tenant_id", "occurred_date", "stream_id", "version"]
+    keys = [*folders, *[c for c in ("tenant_id", "stream_id", "version") if c not in folders]]
     dated = df.select(*COLS).withColumn("occurred_date", F.to_date("occurred_at"))
     writer = (
         dated.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
-        .partitionBy("tenant_id", "occurred_date")
+        .partitionBy(*folders)
         .option("maxRecordsPerFile", max_records)
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
     )
     for name in BLOOM_COLUMNS:
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
@@ -95,6 +132,7 @@ def append_batch(
     order: list | None = None,
     digits: list | None = None,
     limit: int = MAX_ROWS_PER_TASK,
+    folders: Sequence[str] = ("occurred_date",),
 ) -> None:
     """Idempotent append with version assignment. One writer per log.
 
@@ -103,15 +141,18 @@ def append_batch(
     `df` must be fixed before (see `normalise(id_from=…)`).
     """
     spark = df.sparkSession
-    known = read_log(spark, path, before=batch_id)
-    fresh = drop_known(first_delivery(df, order).select(*COLS), known)
+    # Stored once: read three times below, and its size decides the join.
+    batch = cut_lineage(first_delivery(df, order).select(*COLS))
+    fresh = drop_known(batch, read_log(spark, path, before=batch_id))
     heads = read_heads(spark, path, before=batch_id)
-    commit(assign_versions(fresh, heads, digits=digits, limit=limit), path, batch_id)
+    commit(assign_versions(fresh, heads, digits=digits, limit=limit), path, batch_id, folders)
 
 
-def commit(df: DataFrame, path: str, batch_id: int) -> None:
+def commit(
+    df: DataFrame, path: str, batch_id: int, folders: Sequence[str] = ("occurred_date",)
+) -> None:
     """Store versioned rows as a batch, then the heads of the streams it touched."""
-    write_batch(df, path, batch_id)
+    write_batch(df, path, batch_id, folders)
     # From the stored rows, so heads and log cannot disagree. Static overwrite also
     # clears what a larger first attempt may have left.
     stored = df.sparkSession.read.schema(LOG_SCHEMA).parquet(f"{path}/batch_id={batch_id}")

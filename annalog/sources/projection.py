@@ -39,11 +39,21 @@ def upsert_projection(df: DataFrame, path: str, batch_id: int) -> None:
     latest.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_projection(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event id, the last write wins."""
+def read_projection(
+    spark: SparkSession, path: str, tenant: str | None = None, stream_id: str | None = None
+) -> DataFrame:
+    """One row per event id, the last write wins.
+
+    An event never changes its tenant or stream, so these two filters apply before
+    the copies are merged and reach the scan; any other filter belongs after.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], EVENT_SCHEMA)
     log = spark.read.schema(DELIVERY_SCHEMA).parquet(path)
+    if tenant is not None:
+        log = log.filter(F.col("tenant_id") == tenant)
+    if stream_id is not None:
+        log = log.filter(F.col("stream_id") == stream_id)
     return latest_by_id(log, F.struct("batch_id", "offset")).select(*COLS)
 
 
