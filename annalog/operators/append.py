@@ -83,8 +83,9 @@ def append_result(
     A known id answers with the stored version; the retry's payload is ignored.
     """
     unique = cut_lineage(first_delivery(batch))
-    fresh = assign_versions(drop_known(unique, log), stream_heads(log), limit=limit)
-    return (
-        fresh.select("id", "version", F.lit(True).alias("is_new"))
-        .unionByName(stored_versions(unique, log).withColumn("is_new", F.lit(False)))
+    known = cut_lineage(stored_versions(unique, log))
+    new = unique.join(known.select("id"), "id", "left_anti")
+    fresh = assign_versions(new, stream_heads(log), limit=limit)
+    return fresh.select("id", "version", F.lit(True).alias("is_new")).unionByName(
+        known.withColumn("is_new", F.lit(False))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalog.operators.append import stream_heads
-from annalog.operators.ingest import normalise, stamp_tenant, validate
+from annalog.operators.ingest import normalise, reject_reason, stamp_tenant
 from annalog.operators.replay import (
     ReplayFilter,
     ReplayRequest,
@@ -18,24 +18,48 @@ from annalog.operators.replay import (
     replay_rows,
     replay_summary,
 )
+from annalog.schema import COLS, REQUEST_PREVIEW_CHARS
+from annalog.session import cut_lineage
 from annalog.sources.log import append_batch, commit, read_heads, read_log
 from annalog.sources.messages import to_messages
 from annalog.sources.requests import decode_requests, position_lines, read_request_lines
 
 
-def prepare_requests(lines: DataFrame, tenant: str, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """(events without versions, rejected rows: file, copy_no, reject_reason, preview)."""
+def judge_requests(lines: DataFrame, tenant: str, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """(events without versions, rejected rows: file, copy_no, reject_reason, preview).
+
+    Lines come from `position_lines`; ids derive from that position, so they are
+    unique and the same in every run.
+    """
     decoded, broken = decode_requests(lines.withColumn("body", F.col("value")))
     events = normalise(
         stamp_tenant(decoded, tenant),
         now=now,
         id_from=[F.col("file"), F.col("body"), F.col("copy_no")],
     )
-    valid, refused = validate(events)
-    rejected = broken.select("file", "copy_no", "reject_reason", "preview").unionByName(
-        refused.select("file", "copy_no", "reject_reason", F.left("body", F.lit(512)).alias("preview"))
+    judged = events.withColumn("reject_reason", reject_reason()).withColumn(
+        "preview", F.left("body", F.lit(REQUEST_PREVIEW_CHARS))
     )
-    return valid, rejected
+    both = judged.drop("body").unionByName(broken.drop("body"), allowMissingColumns=True)
+    stored = cut_lineage(both)  # decoded once for both results
+    valid = stored.filter(F.col("reject_reason").isNull()).select(*COLS)
+    rejected = stored.filter(F.col("reject_reason").isNotNull())
+    return valid, rejected.select("file", "copy_no", "reject_reason", "preview")
+
+
+def import_lines(
+    lines: DataFrame,
+    log_path: str,
+    rejected_path: str,
+    tenant: str,
+    batch_id: int,
+    now: dt.datetime | None = None,
+) -> None:
+    """Append a frame of (value, file) request lines, e.g. a streaming micro-batch."""
+    now = now or dt.datetime.now(dt.timezone.utc)
+    valid, rejected = judge_requests(position_lines(lines), tenant, now)
+    append_batch(valid, log_path, batch_id, stored=True)
+    rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
 
 
 def import_requests(
@@ -49,19 +73,7 @@ def import_requests(
 ) -> None:
     """Import files of request bodies into the log. Running it again with the same
     batch id, or the same files under a later one, adds nothing twice."""
-    now = now or dt.datetime.now(dt.timezone.utc)
-    valid, rejected = prepare_requests(read_request_lines(spark, source), tenant, now)
-    append_batch(valid, log_path, batch_id)
-    rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
-
-
-def import_lines(lines: DataFrame, log_path: str, rejected_path: str, tenant: str, batch_id: int) -> None:
-    """The same for a frame of (value, file) lines, e.g. a streaming micro-batch."""
-    valid, rejected = prepare_requests(
-        position_lines(lines), tenant, dt.datetime.now(dt.timezone.utc)
-    )
-    append_batch(valid, log_path, batch_id)
-    rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
+    import_lines(read_request_lines(spark, source), log_path, rejected_path, tenant, batch_id, now)
 
 
 def execute(log: DataFrame, request: ReplayRequest, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -133,16 +133,19 @@ def append_batch(
     digits: list | None = None,
     limit: int = MAX_ROWS_PER_TASK,
     folders: Sequence[str] = ("occurred_date",),
+    stored: bool = False,
 ) -> None:
     """Idempotent append with version assignment. One writer per log.
 
+    `stored=True` says that `df` is already a stored table with unique ids.
+
     Reads only batches with a smaller id and overwrites its own folder: running
     batch N again, after any failure, gives the same log. Random ids or times in
     `df` must be fixed before (see `normalise(id_from=…)`).
     """
     spark = df.sparkSession
     # Stored once: read three times below, and its size decides the join.
-    batch = cut_lineage(first_delivery(df, order).select(*COLS))
+    batch = df.select(*COLS) if stored else cut_lineage(first_delivery(df, order).select(*COLS))
     fresh = drop_known(batch, read_log(spark, path, before=batch_id))
     heads = read_heads(spark, path, before=batch_id)
     commit(assign_versions(fresh, heads, digits=digits, limit=limit), path, batch_id, folders)

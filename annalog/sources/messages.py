@@ -183,20 +183,35 @@ def from_envelope_json(df: DataFrame, value: str = "value") -> DataFrame:
     return decoded.drop("_text", "_doc")
 
 
-def decode_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events with their position and header context, quarantine of undecodable messages)."""
-    judged = from_envelope_json(df).withColumn("context", message_context(F.col("headers")))
-    position = ["topic", "partition", "offset"]
-    ok = judged.filter(F.col("decode_error").isNull()).select("event.*", *position, "context")
-    bad = judged.filter(F.col("decode_error").isNotNull()).select(
-        *position,
+def judge_messages(df: DataFrame) -> DataFrame:
+    """Messages with `event` or `decode_error`, and the context their headers carry."""
+    return from_envelope_json(df).withColumn("context", message_context(F.col("headers")))
+
+
+def events_of(judged: DataFrame) -> DataFrame:
+    """The decoded events with their position and header context."""
+    ok = judged.filter(F.col("decode_error").isNull())
+    return ok.select("event.*", "topic", "partition", "offset", "context")
+
+
+def quarantine_of(judged: DataFrame) -> DataFrame:
+    """The undecodable messages, as much of them as an operator needs to find them."""
+    return judged.filter(F.col("decode_error").isNotNull()).select(
+        "topic",
+        "partition",
+        "offset",
         F.col("key").cast("string").alias("key"),
         F.col("context.trace_id").alias("trace_id"),
         F.col("context.correlation_id").alias("correlation_id"),
         preview(F.col("value")).alias("preview"),
         F.col("decode_error").alias("error"),
     )
-    return ok, bad
+
+
+def decode_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, quarantine) of a frame of messages."""
+    judged = judge_messages(df)
+    return events_of(judged), quarantine_of(judged)
 
 
 def to_wire9(df: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ _DOC_SCHEMA = ", ".join(
 
 
 def read_request_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files below `path` with their position, see `position_lines`."""
-    return position_lines(spark.read.text(path).selectExpr("value", "_metadata.file_path AS file"))
+    """(value, file) lines of all files below `path`."""
+    return spark.read.text(path).selectExpr("value", "_metadata.file_path AS file")
 
 
 def position_lines(lines: DataFrame, chunk: int = 100_000) -> DataFrame:

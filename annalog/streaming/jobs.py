@@ -19,7 +19,13 @@ from annalog.functions.envelope import indexable
 from annalog.plans.jobs import import_lines
 from annalog.sources.dlq import to_dlq
 from annalog.sources.log import LOG_SCHEMA
-from annalog.sources.messages import decode_messages, order_for_bus, to_messages
+from annalog.sources.messages import (
+    events_of,
+    judge_messages,
+    order_for_bus,
+    quarantine_of,
+    to_messages,
+)
 from annalog.sources.projection import upsert_projection
 
 Rule = Callable[[], Column]
@@ -78,18 +84,20 @@ def run_projection(
     fails the micro-batch, which is then run again in full."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        # Decoding is the work; the three writes below share it.
+        judged = judge_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            events, broken = decode_messages(batch)
-            judged = events.withColumn("index_error", rule())
-            upsert_projection(judged.filter(F.col("index_error").isNull()), paths.projection, batch_id)
-            refused = judged.filter(F.col("index_error").isNotNull())
+            events = events_of(judged).withColumn("index_error", rule())
+            upsert_projection(events.filter(F.col("index_error").isNull()), paths.projection, batch_id)
+            refused = events.filter(F.col("index_error").isNotNull())
             to_dlq(
                 refused, F.col("index_error"), F.current_timestamp(), F.col("context.correlation_id")
             ).write.mode("overwrite").parquet(f"{paths.dlq}/batch_id={batch_id}")
-            broken.write.mode("overwrite").parquet(f"{paths.quarantine}/batch_id={batch_id}")
+            quarantine_of(judged).write.mode("overwrite").parquet(
+                f"{paths.quarantine}/batch_id={batch_id}"
+            )
         finally:
-            batch.unpersist()
+            judged.unpersist()
 
     return _start(messages, handle, checkpoint, interval)
 

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from annalog.operators.append import append_result, assign_versions, first_delivery, stream_heads
 from annalog.operators.audit import gap_check
-from annalog.sources.log import append_batch, read_heads, read_log
+from annalog.plans.jobs import import_requests
+from annalog.sources.log import append_batch, read_heads, read_log, snapshot_heads
 from conftest import at, event, uid
 
 
@@ -71,5 +72,40 @@ def test_log_scan_prunes_and_pushes_down(spark, log_of, tmp_path):
         (F.col("tenant_id") == "t1") & (F.col("occurred_date") == F.lit("2024-01-02").cast("date")) & (F.col("id") == uid(3))
     ).select("id", "version")
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(id," in plan and "payload" not in plan.split("ReadSchema")[1]
+    assert "EqualTo(id," in plan and "EqualTo(tenant_id," in plan and "payload" not in plan.split("ReadSchema")[1]
     assert rows.count() == 1
+
+
+def test_head_snapshots_replace_older_heads(spark, log_of, tmp_path):
+    path = str(tmp_path / "log")
+    for batch in range(3):
+        append_batch(log_of([event(batch * 10 + i, stream_id=f"s{i % 2}") for i in range(4)]), path, batch)
+    before = {r.stream_id: r.version for r in read_heads(spark, path).collect()}
+    snapshot_heads(spark, path, 1)
+    assert {r.stream_id: r.version for r in read_heads(spark, path).collect()} == before == {"s0": 6, "s1": 6}
+    assert {r.version for r in read_heads(spark, path, before=1).collect()} == {2}
+    append_batch(log_of([event(90, stream_id="s0")]), path, 3)
+    assert read_log(spark, path).filter(F.col("id") == uid(90)).first().version == 7
+
+
+def test_import_of_request_files(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = ['{"stream_id":"a","type":"t","source":"s"}'] * 3 + ['{"stream_id":"","type":"t","source":"s"}', "nonsense"]
+    (source / "x.jsonl").write_text("\n".join(lines))
+    paths = (str(tmp_path / "log"), str(tmp_path / "rejected"))
+    for batch_id in (0, 0, 1):
+        import_requests(spark, str(source), *paths, "tenant-a", batch_id)
+    log = read_log(spark, paths[0])
+    assert sorted(r.version for r in log.collect()) == [1, 2, 3] and log.select("id").distinct().count() == 3
+    first = spark.read.parquet(paths[1]).filter("batch_id = 0")
+    assert sorted(r.preview for r in first.collect()) == ["nonsense", lines[3]]
+
+
+def test_legacy_files_read_with_defaults(spark, log_of, tmp_path):
+    path = str(tmp_path / "log")
+    append_batch(log_of([event(1)]), path, 1)
+    old = log_of([event(2, version=9)]).select("id", "stream_id", "type", "source", "version", "occurred_at", "payload", "metadata")
+    old.withColumn("occurred_date", F.to_date("occurred_at")).write.partitionBy("occurred_date").parquet(f"{path}/batch_id=0")
+    rows = {r.id: r for r in read_log(spark, path, legacy=True).collect()}
+    assert rows[uid(2)].tenant_id == "default" and rows[uid(2)].correlation_id == "" and rows[uid(1)].tenant_id == "tenant-a"
