@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annalog.operators.lookup import lookup
 from annalog.operators.numbering import event_digits, running_total
-from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
+from annalog.operators.skew import MAX_ROWS_PER_TASK, is_small, small_side, stored_keys
 from annalog.session import cut_lineage
 
 
@@ -46,8 +46,23 @@ def assign_versions(
 
 
 def first_delivery(df: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
-    """One row per id: the first by `order`. Copies combine map-side, so an id
-    delivered any number of times never gathers in one task."""
+    """One row per id: the first by `order`.
+
+    Repeated ids are looked for by id alone; usually there are few, and only their
+    rows are merged. The merge combines map-side, so an id delivered any number of
+    times never gathers in one task.
+    """
+    repeated = stored_keys(df, ["id"], 1)
+    if repeated is None:
+        return df
+    if not is_small(repeated):
+        return _first_of(df, order)
+    ids = F.broadcast(repeated)
+    merged = _first_of(df.join(ids, "id", "left_semi"), order)
+    return df.join(ids, "id", "left_anti").unionByName(merged)
+
+
+def _first_of(df: DataFrame, order: Sequence[Column] | None) -> DataFrame:
     rank = F.struct(*(order or [F.col("occurred_at"), F.col("stream_id")]))
     rest = [c for c in df.columns if c != "id"]
     return (
@@ -71,8 +86,10 @@ def stored_versions(df: DataFrame, log: DataFrame) -> DataFrame:
 
 def drop_known(df: DataFrame, log: DataFrame) -> DataFrame:
     """Rows whose id is not stored yet. Run before `assign_versions`: a retry
-    burns no version."""
-    return df.join(stored_versions(df, log).select("id"), "id", "left_anti")
+    burns no version. The known ids are stored first, so that a batch with few of
+    them is filtered in place instead of shuffled."""
+    known = cut_lineage(stored_versions(df, log).select("id"))
+    return df.join(small_side(known), "id", "left_anti")
 
 
 def append_result(
@@ -84,7 +101,7 @@ def append_result(
     """
     unique = cut_lineage(first_delivery(batch))
     known = cut_lineage(stored_versions(unique, log))
-    new = unique.join(known.select("id"), "id", "left_anti")
+    new = unique.join(small_side(known.select("id")), "id", "left_anti")
     fresh = assign_versions(new, stream_heads(log), limit=limit)
     return fresh.select("id", "version", F.lit(True).alias("is_new")).unionByName(
         known.withColumn("is_new", F.lit(False))

@@ -208,15 +208,16 @@ def replay_rows(
     return numbered.select(*COLS)
 
 
-def replay_summary(replay_id: str, dry_run: bool, matched: DataFrame, replayed: DataFrame | None) -> DataFrame:
+def replay_summary(
+    replay_id: str, dry_run: bool, matched: DataFrame, replayed: DataFrame | None
+) -> DataFrame:
     """One row: replay_id ('' for a dry run), dry_run, matched_count, replayed_count."""
-    counted = matched.agg(F.count(F.lit(1)).alias("matched_count"))
-    if replayed is None:
-        new = matched.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("replayed_count"))
-    else:
-        new = replayed.agg(F.count(F.lit(1)).alias("replayed_count"))
-    # Two one-row aggregates side by side.
-    return counted.crossJoin(new).select(
+    none = F.lit(0).cast("bigint")
+    counts = matched.agg(F.count(F.lit(1)).alias("m")).select("m", none.alias("r"))
+    if replayed is not None:
+        new = replayed.agg(F.count(F.lit(1)).alias("r"))
+        counts = counts.unionByName(new.select(none.alias("m"), "r"))
+    return counts.agg(F.sum("m").alias("matched_count"), F.sum("r").alias("replayed_count")).select(
         F.lit("" if dry_run else replay_id).alias("replay_id"),
         F.lit(dry_run).alias("dry_run"),
         "matched_count",

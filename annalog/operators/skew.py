@@ -34,16 +34,25 @@ def crowded_keys(df: DataFrame, key: Sequence[str], limit: int) -> DataFrame | N
     """
     if estimated_bytes(df) < limit * _MIN_ROW_BYTES:
         return None
-    crowded = (
+    return stored_keys(df, key, limit)
+
+
+def stored_keys(df: DataFrame, key: Sequence[str], limit: int) -> DataFrame | None:
+    """`crowded_keys` without the size shortcut; one pass over the key columns."""
+    crowded = cut_lineage(
         df.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > limit)
         .select(*key)
     )
-    return None if crowded.isEmpty() else cut_lineage(crowded)
+    return None if crowded.isEmpty() else crowded
+
+
+def is_small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
+    return estimated_bytes(df) <= limit
 
 
-def small_side(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """`df` marked for broadcast if Catalyst's estimate proves it small, else as it is:
     the join then shuffles both sides."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    return F.broadcast(df) if is_small(df) else df

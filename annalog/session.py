@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of its own: on a cluster a
     machine-local path would be lost with the machine.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
