@@ -15,7 +15,7 @@ from annalog.operators.numbering import (
     version_digit,
 )
 from annalog.operators.paging import page
-from annalog.operators.skew import MAX_ROWS_PER_TASK
+from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
 from annalog.schema import (
     COLS,
     CONSISTENCY_EVENTUAL,
@@ -52,9 +52,9 @@ def by_id(df: DataFrame, tenant: str, event_id: str) -> DataFrame:
 
 
 def by_ids(df: DataFrame, tenant: str, ids: DataFrame) -> DataFrame:
-    """Events of a table of ids. The ids become a runtime filter on the log scan."""
+    """Events of a table of ids. Few ids go to the log by broadcast, many by shuffle."""
     wanted = ids.select(F.lower("id").alias("id")).distinct()
-    return _of_tenant(df, tenant).join(wanted, "id", "left_semi")
+    return _of_tenant(df, tenant).join(small_side(wanted), "id", "left_semi")
 
 
 def stream(

@@ -14,7 +14,7 @@ from annalog.operators.append import assign_versions
 from annalog.operators.audit import gaps
 from annalog.operators.audit_queries import in_window
 from annalog.operators.numbering import event_digits
-from annalog.operators.skew import MAX_ROWS_PER_TASK
+from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
 from annalog.schema import COLS, REPLAY_LIMIT_DEFAULT, REPLAY_METADATA_KEYS
 
 IDS_INLINE = 100
@@ -78,7 +78,7 @@ def match(df: DataFrame, wanted: ReplayFilter) -> DataFrame:
         if wanted.tenant_id:
             df = df.filter(F.col("tenant_id") == wanted.tenant_id)
         if isinstance(ids, DataFrame):
-            return df.join(ids.select("id").distinct(), "id", "left_semi")
+            return df.join(small_side(ids.select("id").distinct()), "id", "left_semi")
         if len(ids) <= IDS_INLINE:
             return df.filter(F.col("id").isin(*ids))
         listed = df.sparkSession.createDataFrame([(i,) for i in set(ids)], "id string")

@@ -12,7 +12,7 @@ from annalog.session import cut_lineage
 
 MAX_ROWS_PER_TASK = 1_000_000
 MAX_BROADCAST_BYTES = 32 << 20
-_MIN_ROW_BYTES = 64
+_MIN_ROW_BYTES = 16  # on disk, compressed
 
 
 def estimated_bytes(df: DataFrame) -> int:
