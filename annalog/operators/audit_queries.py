@@ -17,7 +17,6 @@ from annalog.operators.numbering import (
 from annalog.operators.paging import page
 from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
 from annalog.schema import (
-    COLS,
     CONSISTENCY_EVENTUAL,
     CONSISTENCY_STRONG,
     READ_MODEL_LOG,
@@ -197,7 +196,3 @@ def actor_summary(df: DataFrame) -> DataFrame:
 def replay_feed(df: DataFrame, tenant: str, limit=None, offset=None) -> Page:
     rows = _of_tenant(df, tenant).filter("is_replay")
     return page(rows, newest_first(), limit, offset, digits=_newest_digits())
-
-
-def event_columns(df: DataFrame) -> DataFrame:
-    return df.select(*COLS)

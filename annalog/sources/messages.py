@@ -89,23 +89,6 @@ def read_messages(spark: SparkSession, fmt: str, options: dict[str, str]) -> Dat
     return reader.schema(MESSAGE_SCHEMA).load(path)
 
 
-def header_map(headers: Column) -> Column:
-    """Header array -> map<string,string>; of a repeated name the last one counts."""
-    names = F.transform(headers, lambda h: h["key"])
-    last = F.filter(
-        F.transform(
-            headers,
-            lambda h, i: F.struct(
-                h["key"].alias("key"),
-                h["value"].cast("string").alias("value"),
-                F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), h["key"]).alias("later"),
-            ),
-        ),
-        lambda h: ~h["later"],
-    )
-    return F.map_from_entries(F.transform(last, lambda h: F.struct(h["key"], h["value"])))
-
-
 def message_context(headers: Column) -> Column:
     """struct<trace_id, correlation_id> carried by the headers, NULL where absent.
 
