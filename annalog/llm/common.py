@@ -30,3 +30,9 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
     Both ways give the same rows; beyond the limit the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def let(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once. A column that is named inside the lambda
+    of `transform` or `aggregate` would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalog.llm.common import let
+
 # Kinds in their order, patterns, words that stand near such data.
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE_KINDS = KINDS[:4]
@@ -90,38 +92,42 @@ def _spans_of(text: Column, kind: str) -> Column:
     """Valid matches of one kind, in order. The pieces between the matches give their
     places: a match starts after all pieces and matches before it."""
     pattern = PATTERNS[kind]
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    cut = F.struct(
+        F.split(text, pattern, -1).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"),
+    )
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:int>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(matches, i)
-        start = acc["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(value)
-        before = F.substr(text, start, F.lit(1)) if kind in ("iban", "ssn") else F.lit("")
-        before = F.when(start > 0, before).otherwise(F.lit(""))
-        after = F.substr(text, end + 1, F.lit(1))
-        first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substr(text, first + 1, start - first))
-        bonus = F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))
-        score = F.lit(PRIOR[kind]) + bonus
-        good = _valid(kind, value, before, after)
-        if kind not in BASE_KINDS:
-            good = good & (score >= ADDED_MIN)
-        span = F.struct(
-            start.alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            end.alias("end"),
-            F.lit(kind).alias("kind"),
-            score.alias("score"),
-        )
-        spans = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    def collect(c: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            value, piece, following = F.get(c["matches"], i), F.get(c["pieces"], i), F.get(c["pieces"], i + 1)
+            start = acc["at"] + F.length(piece)
+            end = start + F.length(value)
+            # Between two matches without a piece stands the other match's own character.
+            last = i == F.size(c["matches"]) - 1
+            before = F.when((piece == "") & (i > 0), F.lit("0")).otherwise(F.right(piece, F.lit(1)))
+            after = F.when((following == "") & ~last, F.lit("0")).otherwise(F.left(following, F.lit(1)))
+            near = F.lower(F.right(piece, F.lit(CONTEXT_CHARS)))
+            bonus = F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))
+            score = F.lit(PRIOR[kind]) + bonus
+            good = _valid(kind, value, before, after)
+            if kind not in BASE_KINDS:
+                good = good & (score >= ADDED_MIN)
+            span = F.struct(
+                start.alias("start"),
+                F.lit(KINDS.index(kind)).alias("rank"),
+                end.alias("end"),
+                F.lit(kind).alias("kind"),
+                score.alias("score"),
+            )
+            spans = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+            return F.struct(end.alias("at"), spans.alias("spans"))
+
+        begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(c["matches"]) - 1), begin, step, lambda a: a["spans"])
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, step, lambda a: a["spans"])
     may = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
-    return F.when(may & text.rlike(pattern), found).otherwise(none)
+    return F.when(may & text.rlike(pattern), let(cut, collect)).otherwise(none)
 
 
 def spans(text: Column) -> Column:

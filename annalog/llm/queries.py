@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalog.llm import pii, url_filters
+from annalog.llm import decontamination, pii, simhash, url_filters
 from annalog.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filters.SITE_RULES + url_filters.WORD_RULES
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -20,6 +28,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op4_simhash": op4_simhash,
     "op3_url_filters": op3_url_filters,
     "op10_pii": op10_pii,
 }
