@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annalog.llm import decontamination, language, pii, simhash, toxicity, url_filters
+from annalog.llm import bpe, decontamination, language, pii, simhash, token_counts, toxicity, url_filters
 from annalog.llm.common import table
 
 
@@ -23,6 +24,23 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after the first line is cut and personal data is masked."""
+    docs = table(spark, sf_dir, "documents")
+    counted = token_counts.count_edited(docs, token_counts.redactions(F.col("text")), tokenizer(), keep_tree=False)
+    return counted.drop("tree")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
@@ -39,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_simhash": op4_simhash,
     "op3_url_filters": op3_url_filters,
+    "op5_token_counts": op5_token_counts,
+    "op8_bpe": op8_bpe,
     "op6_language": op6_language,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
