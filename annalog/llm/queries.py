@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalog.llm import bpe, decontamination, language, pii, simhash, token_counts, toxicity, url_filters
+from annalog.llm import (
+    bpe,
+    decontamination,
+    language,
+    neighbours,
+    paragraphs,
+    pii,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from annalog.llm.common import table
 
 
@@ -15,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +52,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.drop("tree")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -55,6 +74,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_paragraphs": op2_paragraphs,
+    "op7_neighbours": op7_neighbours,
     "op4_simhash": op4_simhash,
     "op3_url_filters": op3_url_filters,
     "op5_token_counts": op5_token_counts,
