@@ -97,7 +97,7 @@ def _covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated.
+    items_sha256, contaminated, and `key`, a hash of the text.
 
     A null or empty text has no words and no hits; without items nothing is hit. Rows
     that repeat a doc_id and text get the same result each, rows that share only the
@@ -160,6 +160,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
     out = grouped.select(
         "doc_id",
+        "key",
         "n_words",
         _covered(F.col("spans")).alias("n_hit"),
         F.array_distinct(F.flatten("items")).alias("items"),
@@ -173,4 +174,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.size("items").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "key",
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` without the rows that hold a window of an item; see `contamination`."""
+    bad = contamination(docs, items, window).where("contaminated").select("doc_id", "key").distinct()
+    bad = cut_lineage(bad)
+    l, r = docs.alias("l"), broadcast_if_small(bad, bad.count()).alias("r")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("l.text") == F.col("r.key"))
+    return l.join(r, same, "left_anti").select("l.*")

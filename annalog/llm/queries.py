@@ -23,7 +23,8 @@ from annalog.llm.common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
