@@ -15,16 +15,20 @@ until it agrees with both sides:
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PART = 32_768  # characters of a part of a long text
 GROUP = 1_000_000  # characters encoded in one call
@@ -53,8 +57,58 @@ def _joined(*parts: Part) -> Part:
     return Part(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("ids", "at", "head")))
 
 
+# Fixed value: how the byte-level tokenizers cut a text into words.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+# Characters that `regex` and the tokenizers library hold for the same kind; the versions of
+# Unicode they know differ in others, and a text with one of those takes the library's words.
+_OTHER = re.compile(
+    "[^\\x00-\u0530\u0590-\u0880\u0900-\u0c50\u0d00-\u2080\u20a0-\ua7cd\uac00-\ud7ff\ue000-\U00010700\U0001f000-\U0002b700]"
+)
+
+KNOWN_WORDS = 250_000  # words in each of the two halves of a task's memory
+WORD_CHARS = 100  # longer words are not remembered
+
+
+class Words:
+    """A value for each word, worked out once while it is remembered. When the newer half of
+    the memory is full it becomes the older one, and words in use move over."""
+
+    def __init__(self, work_out):
+        self.work_out = work_out
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: list[str]) -> list:
+        out = list(map(self.new.get, words))
+        missing = [i for i, v in enumerate(out) if v is None]
+        if not missing:
+            return out
+        for i in missing:
+            value = self.old.get(words[i])
+            if value is not None:
+                self.new[words[i]] = out[i] = value
+        rest = [i for i in missing if out[i] is None]
+        asked = list({words[i] for i in rest})
+        found = dict(zip(asked, self.work_out(asked), strict=True))
+        for i in rest:
+            out[i] = found[words[i]]
+        self.new.update((w, v) for w, v in found.items() if len(w) <= WORD_CHARS)
+        if len(self.new) > KNOWN_WORDS:
+            self.old, self.new = self.new, {}
+        return out
+
+
+def _byte_letters() -> dict[str, int]:
+    """The characters that stand for bytes in a vocabulary: printable ones for themselves,
+    the others, in order, from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Codec:
-    """A tokenizer of the tokenizers library, given as its JSON text."""
+    """A byte-level tokenizer of the tokenizers library, given as its JSON text."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,33 +120,111 @@ class Codec:
         self.inner = Tokenizer.from_str(spec)  # takes its whole input as one word
         self.inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.inner.encode_special_tokens = True
-        self.numbers = [str(i) for i in range(self.full.get_vocab_size(with_added_tokens=True))]
+        size = self.full.get_vocab_size(with_added_tokens=True)
+        self.numbers = [str(i) for i in range(size)]
+        self.ints = list(range(size))  # one object for each id, however many words hold it
+        letters = _byte_letters()
+        self.bytes = [bytes(map(letters.__getitem__, self.full.id_to_token(i))) for i in range(size)]
+        self.added = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
+        self.ranked = self._ranked(spec)
+        self.words = Words(self.word_ids)
+        self.places = Words(self._word_places)
+
+    def word_ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        if self.ranked is not None:
+            found = map(self.ranked.encode_ordinary, words)
+        else:
+            found = (e.ids for e in self.inner.encode_batch_fast(words, add_special_tokens=False))
+        return [tuple(map(self.ints.__getitem__, ids)) for ids in found]
+
+    def _word_places(self, words: list[str]) -> list[tuple[tuple, tuple]]:
+        """Ids of a word, and the characters in which they start."""
+        out = []
+        for word, ids in zip(words, self.word_ids(words), strict=True):
+            raw = word.encode()
+            # Byte b belongs to the character after as many first bytes as stand up to b.
+            char = list(accumulate((c & 0xC0) != 0x80 for c in raw))
+            at = accumulate((len(self.bytes[i]) for i in ids[:-1]), initial=0)
+            out.append((ids, tuple(char[b] - 1 for b in at)))
+        return out
+
+    def _ranked(self, spec: str):
+        """The same merges as ranks, which encode a word faster; None if the file's ids are not
+        in the order of its merges."""
+        import tiktoken
+
+        model = json.loads(spec)["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in pairs]
+        ranks = {self.bytes[i]: i for t, i in model["vocab"].items() if t not in self.added}
+        if made != sorted(made) or len(ranks) != 256 + len(made):
+            return None
+        return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text; special tokens are words of their own."""
+        pattern = self.special()
+        if pattern is None or not pattern.search(text):
+            return WORD.findall(text)
+        out, at = [], 0
+        for m in pattern.finditer(text):
+            out += [*WORD.findall(text[at : m.start()]), m.group()]
+            at = m.end()
+        return out + WORD.findall(text[at:])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.full.decode_batch(ids, skip_special_tokens=False)
+        out: list = [None] * len(texts)
+        for i, text in enumerate(texts):
+            if not _OTHER.search(text):
+                words = self.cut(text)
+                ids = self.words.of(words)
+                if self.added.keys() & set(words):
+                    ids = [(self.added[w],) if w in self.added else v for w, v in zip(words, ids, strict=True)]
+                out[i] = list(chain.from_iterable(ids))
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        found = self.full.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, found, strict=True):
+            out[i] = e.ids
+        return out
+
+    def decode_batch(self, many: list[list[int]]) -> list[str]:
+        """Bytes that are no character become U+FFFD, as in the library."""
+        return [b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace") for ids in many]
 
     def digest(self, ids) -> str:
-        return hashlib.sha256(",".join([self.numbers[i] for i in ids]).encode()).hexdigest()
+        return hashlib.sha256(",".join(map(self.numbers.__getitem__, ids)).encode()).hexdigest()
 
     def part(self, text: str, low: int, high: int, word: bool = False) -> Part:
         """text[low:high] encoded by itself; `word`: as one word."""
+        piece = text[low:high]
+        if not word and not _OTHER.search(piece) and not any(t in piece for t in self.added):
+            return self._part_of_words(piece, low)
         codec = self.inner if word else self.full
-        e = codec.encode(text[low:high], add_special_tokens=False)
+        e = codec.encode(piece, add_special_tokens=False)
         at = np.array([s for s, _ in e.offsets], dtype=np.int64) + low
         words = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
         head = np.ones(len(at), dtype=bool)
-        # A special token has its own text; other tokens start a word if its number changes
-        # or starts over behind a special token, where the first character changes too.
+        # Words are numbered anew behind a special token, so its neighbours are heads, too.
         head[1:] = (words[1:] != words[:-1]) | (words[1:] == -1)
         special = np.isin(np.array(e.ids, dtype=np.int64), self.special_ids())
         head[1:] |= special[1:] | special[:-1]
         return Part(np.array(e.ids, dtype=np.int64), at, head)
 
+    def _part_of_words(self, piece: str, low: int) -> Part:
+        words = WORD.findall(piece)
+        found = self.places.of(words)
+        sizes = np.fromiter((len(ids) for ids, _ in found), dtype=np.int64, count=len(found))
+        n = int(sizes.sum())
+        ids = np.fromiter(chain.from_iterable(ids for ids, _ in found), dtype=np.int64, count=n)
+        inside = np.fromiter(chain.from_iterable(at for _, at in found), dtype=np.int64, count=n)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(lengths) - lengths + low
+        head = np.zeros(n, dtype=bool)
+        head[np.cumsum(sizes) - sizes] = True
+        return Part(ids, np.repeat(starts, sizes) + inside, head)
+
     def special_ids(self) -> np.ndarray:
-        return np.array(sorted(self.full.get_added_tokens_decoder()), dtype=np.int64)
+        return np.array(sorted(self.added.values()), dtype=np.int64)
 
     def join(self, text: str, left: Part, right: Part, low: int, c: int, high: int) -> Part:
         """The tokens of text[low:high] from those of text[low:c] and text[c:high]."""
@@ -120,8 +252,7 @@ class Codec:
             width *= 2
 
     def special(self) -> re.Pattern | None:
-        added = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        return re.compile("|".join(map(re.escape, added))) if added else None
+        return re.compile("|".join(map(re.escape, self.added))) if self.added else None
 
     @staticmethod
     def _is_word(part: Part, low: int, high: int, end: int | None = None) -> bool:
@@ -220,20 +351,14 @@ def _encoded(docs: DataFrame, spec: str, part: int, schema: str, use) -> DataFra
             out = [row for group in _groups(list(texts)) for row in use(codec, codec.encode_batch(group))]
             yield pd.DataFrame(out, columns=names)
 
-    def encode_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value)
         for batch in batches:
-            found = [codec.part(t, 0, len(t)) for t in batch["piece"]]
-            yield pd.DataFrame(
-                {
-                    "row": batch["row"],
-                    "low": batch["low"],
-                    "piece": batch["piece"],
-                    "ids": [f.ids.astype(np.int32) for f in found],
-                    "at": [f.at.astype(np.int32) for f in found],
-                    "head": [f.head for f in found],
-                }
-            )
+            found = [codec.part(t, 0, len(t)) for t in batch.column("piece").to_pylist()]
+            arrays = [pa.array([f.ids for f in found], pa.list_(pa.int32()))]
+            arrays += [pa.array([f.at for f in found], pa.list_(pa.int32()))]
+            arrays += [pa.array([f.head for f in found], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "ids", "at", "head"])
 
     kept: dict[str, Codec] = {}  # one a task
 
@@ -246,19 +371,20 @@ def _encoded(docs: DataFrame, spec: str, part: int, schema: str, use) -> DataFra
         for low, piece, ids, at, head in parts[["low", "piece", "ids", "at", "head"]].itertuples(index=False):
             tokens.append((low, low + len(piece), Part(np.asarray(ids, "int64"), np.asarray(at, "int64") + low, np.asarray(head))))
         ids = codec.tree("".join(parts["piece"]), tokens).ids.tolist()
-        return pd.DataFrame([(parts["row"].iloc[0], *use(codec, [ids])[0])], columns=["row", *names])
+        out = pd.DataFrame(use(codec, [ids]), columns=names)
+        out.insert(0, "doc_id", parts["doc_id"].to_numpy()[:1])
+        return out
 
     is_long = F.char_length("text") > part
     done = rows.where(~is_long).select("doc_id", short(F.col("text")).alias("t")).select("doc_id", "t.*")
-    # The id travels beside its row number, as a group's key; Python never sees it.
+    # Rows may share an id or have none, so the parts of a row are held together by its number.
     numbered = rows.where(is_long).withColumn("row", F.monotonically_increasing_id())
-    parts = _cut(numbered, part).repartition("row", "low")
-    tokens = parts.select("row", "low", "piece").mapInPandas(
-        encode_parts, "row long, low long, piece string, ids array<int>, at array<int>, head array<boolean>"
-    )
-    joined = tokens.groupBy("row").applyInPandas(whole, f"row long, {schema}")
-    named = joined.join(numbered.select("row", "doc_id"), "row").drop("row")
-    return done.unionByName(named.select(done.columns))
+    parts = _cut(numbered, part).select("doc_id", "row", "low", "piece").repartition("row", "low")
+    encoded = StructType([*parts.schema, *StructType.fromDDL("ids array<int>, at array<int>, head array<boolean>")])
+    tokens = parts.mapInArrow(encode_parts, encoded)
+    out_schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(schema)])
+    joined = tokens.groupBy("row").applyInPandas(whole, out_schema)
+    return done.unionByName(joined)
 
 
 def encode(docs: DataFrame, spec: str, part: int = PART) -> DataFrame:

@@ -14,41 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from annalog.llm.bpe import Codec
+from annalog.llm.bpe import WORD, Codec, Words
 from annalog.llm.pii import spans
 
 LEAF = 64  # pre-tokens of a leaf
 CONTEXT = 8  # characters ahead that a word's end may depend on, and more
-KNOWN_WORDS = 200_000  # words whose counts a task remembers
-MISSES = 2_048
-
-# Fixed value: how the byte-level tokenizers of the parameter cut a text into words.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD = regex.compile(PATTERN)
-
 
 class WordCounts:
-    """Tokens of words. Counts of up to `KNOWN_WORDS` words are remembered."""
+    """Tokens of words."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
-        self.known: dict[str, int] = {}
+        self.words = Words(lambda words: [len(ids) for ids in codec.word_ids(words)])
 
     def of(self, words: list[str]) -> np.ndarray:
-        missing = list({w for w in words if w not in self.known})
-        if len(self.known) + len(missing) > KNOWN_WORDS:
-            self.known = {}
-            missing = list(set(words))
-        for i in range(0, len(missing), MISSES):
-            some = missing[i : i + MISSES]
-            encoded = self.codec.inner.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(zip(some, (len(e.ids) for e in encoded), strict=True))
-        return np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
+        return np.array(self.words.of(words), dtype=np.int64)
 
 
 class Tree:
