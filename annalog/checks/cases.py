@@ -847,7 +847,7 @@ SELECT id, tenant_id, stream_id, type, occurred_at FROM base
 WHERE tenant_id = 'tenant-1' AND event_id % 97 = 0 AND occurred_at >= '2024-01-05' ORDER BY occurred_at DESC, id DESC LIMIT 100""")
 def index_missing(spark, sf_dir):
     low = F.lit("2024-01-05").cast("timestamp")
-    return audit.index_missing(fx.unversioned(spark, sf_dir), fx.projection(spark, sf_dir), TENANT, low)
+    return audit.index_missing(fx.unversioned(spark, sf_dir), fx.projection(spark, sf_dir), TENANT, low, limit=100)
 
 
 @case("""

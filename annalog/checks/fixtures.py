@@ -370,12 +370,32 @@ accepted AS (
   SELECT * , CASE WHEN asked_tenant = '' THEN caller_tenant ELSE asked_tenant END AS tenant_id
   FROM judged WHERE reject_reason IS NULL
 ),
-hits AS (
-  SELECT a.request_id, a.tenant_id, b.id FROM accepted a JOIN base b ON a.tenant_id = b.tenant_id
-    AND CASE WHEN a.has_ids THEN b.event_id IN (a.event_id, a.event_id + 1)
-        ELSE (f_stream = '' OR f_stream = b.stream_id) AND (f_corr = '' OR f_corr = b.correlation_id)
-         AND (f_type = '' OR f_type = b.type) AND (f_actor = '' OR f_actor = b.actor_id)
-         AND (from_at IS NULL OR b.occurred_at >= from_at) AND (to_at IS NULL OR b.occurred_at <= to_at) END
+held AS MATERIALIZED (SELECT id, event_id, tenant_id, stream_id, correlation_id, type, actor_id, occurred_at FROM base),
+wanted AS MATERIALIZED (
+  SELECT *, CASE WHEN has_ids THEN 'ids' WHEN f_corr <> '' THEN 'corr' WHEN f_stream <> '' THEN 'stream'
+    WHEN f_actor <> '' THEN 'actor' WHEN f_type <> '' THEN 'type' ELSE 'tenant' END AS by_field
+  FROM accepted
+),
+near AS (
+  SELECT a.*, b.* EXCLUDE (event_id, tenant_id) FROM (SELECT *, unnest([event_id, event_id + 1]) AS asked_id FROM wanted WHERE by_field = 'ids') a
+    JOIN held b ON a.tenant_id = b.tenant_id AND a.asked_id = b.event_id
+  UNION ALL BY NAME
+  SELECT a.*, b.* EXCLUDE (event_id, tenant_id) FROM wanted a JOIN held b ON by_field = 'corr' AND a.tenant_id = b.tenant_id AND f_corr = b.correlation_id
+  UNION ALL BY NAME
+  SELECT a.*, b.* EXCLUDE (event_id, tenant_id) FROM wanted a JOIN held b ON by_field = 'stream' AND a.tenant_id = b.tenant_id AND f_stream = b.stream_id
+  UNION ALL BY NAME
+  SELECT a.*, b.* EXCLUDE (event_id, tenant_id) FROM wanted a JOIN held b ON by_field = 'actor' AND a.tenant_id = b.tenant_id AND f_actor = b.actor_id
+  UNION ALL BY NAME
+  SELECT a.*, b.* EXCLUDE (event_id, tenant_id) FROM wanted a JOIN held b ON by_field = 'type' AND a.tenant_id = b.tenant_id AND f_type = b.type
+  UNION ALL BY NAME
+  SELECT a.*, b.* EXCLUDE (event_id, tenant_id) FROM wanted a JOIN held b ON by_field = 'tenant' AND a.tenant_id = b.tenant_id
+),
+hits AS MATERIALIZED (
+  SELECT request_id, tenant_id, id FROM near
+  WHERE by_field = 'ids' OR (
+    (f_stream = '' OR f_stream = stream_id) AND (f_corr = '' OR f_corr = correlation_id)
+    AND (f_type = '' OR f_type = type) AND (f_actor = '' OR f_actor = actor_id)
+    AND (from_at IS NULL OR occurred_at >= from_at) AND (to_at IS NULL OR occurred_at <= to_at))
 ),
 counted AS (
   SELECT a.request_id, a.tenant_id, a.safety_limit, count(h.id) AS matched_count

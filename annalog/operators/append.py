@@ -63,7 +63,10 @@ def first_delivery(df: DataFrame, order: Sequence[Column] | None = None) -> Data
 
 
 def _first_of(df: DataFrame, order: Sequence[Column] | None) -> DataFrame:
-    rank = F.struct(*(order or [F.col("occurred_at"), F.col("stream_id")]))
+    # The digest decides between rows that are equal in `order`, whatever the input's order.
+    maps = {f.name for f in df.schema if f.dataType.typeName() == "map"}
+    whole = [F.array_sort(F.map_entries(c)) if c in maps else F.col(c) for c in df.columns]
+    rank = F.struct(*(order or [F.col("occurred_at"), F.col("stream_id")]), F.xxhash64(*whole))
     rest = [c for c in df.columns if c != "id"]
     return (
         df.groupBy("id")

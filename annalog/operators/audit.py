@@ -109,15 +109,17 @@ def index_missing(
     tenant: str,
     from_time=None,
     to_time=None,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Stored events that the read model lacks, newest first (the first `limit`, or all)."""
-    stored = log.filter(F.col("tenant_id") == tenant)
-    if from_time is not None:
-        stored = stored.filter(F.col("occurred_at") >= F.lit(from_time))
-    if to_time is not None:
-        stored = stored.filter(F.col("occurred_at") <= F.lit(to_time))
-    missing = stored.join(projection.select("id"), "id", "left_anti").select(
+    """Stored events that the read model lacks, newest first (all, or the first `limit`)."""
+
+    def asked(df: DataFrame) -> DataFrame:
+        df = df.filter(F.col("tenant_id") == tenant)
+        if from_time is not None:
+            df = df.filter(F.col("occurred_at") >= F.lit(from_time))
+        return df if to_time is None else df.filter(F.col("occurred_at") <= F.lit(to_time))
+
+    missing = asked(log).join(asked(projection).select("id"), "id", "left_anti").select(
         "id", "tenant_id", "stream_id", "type", "occurred_at"
     )
     ordered = missing.orderBy(F.col("occurred_at").desc(), F.col("id").desc())

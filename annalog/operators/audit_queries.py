@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalog.functions.days import utc_day
 from annalog.operators.lookup import lookup
 from annalog.operators.numbering import (
     event_digits,
@@ -131,9 +132,9 @@ def _prune_days(df: DataFrame, from_time, to_time) -> DataFrame:
     if "occurred_date" not in df.columns:
         return df
     if from_time is not None:
-        df = df.filter(F.col("occurred_date") >= F.to_date(F.lit(from_time)))
+        df = df.filter(F.col("occurred_date") >= utc_day(F.lit(from_time).cast("timestamp")))
     if to_time is not None:
-        df = df.filter(F.col("occurred_date") <= F.to_date(F.lit(to_time)))
+        df = df.filter(F.col("occurred_date") <= utc_day(F.lit(to_time).cast("timestamp")))
     return df
 
 

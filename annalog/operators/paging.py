@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,10 +25,9 @@ def clamp(limit: int | None, offset: int | None) -> tuple[int, int]:
 
 def text_param(text: str | None, default: int) -> int:
     """A page argument given as text: absent, not a whole number or negative -> default."""
-    try:
-        value = int(text) if text else default
-    except ValueError:
+    if not re.fullmatch(r"[+-]?[0-9]+", text or ""):
         return default
+    value = int(text)
     return value if value >= 0 else default
 
 

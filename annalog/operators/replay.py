@@ -32,7 +32,7 @@ class VersionGap(ValueError):
 @dataclass
 class ReplayFilter:
     """All given fields must hold. `event_ids` (list, or DataFrame with column `id`)
-    replaces every other field but the tenant."""
+    replaces every other field but the tenant; an empty list counts as not given."""
 
     tenant_id: str = ""
     stream_id: str = ""
@@ -44,6 +44,9 @@ class ReplayFilter:
     event_ids: list[str] | DataFrame | None = None
     exclude_replays: bool = False
 
+    def has_ids(self) -> bool:
+        return isinstance(self.event_ids, DataFrame) or bool(self.event_ids)
+
 
 @dataclass
 class ReplayRequest:
@@ -63,7 +66,7 @@ class ReplayRequest:
             raise ValueError("unauthenticated: identity with tenant_id is required")
         if not self.dry_run and not self.replay_reason:
             raise ValueError("replay_reason is required for active replays")
-        if not self.filter.tenant_id and self.filter.event_ids is None:
+        if not self.filter.tenant_id and not self.filter.has_ids():
             raise ValueError("replay filter must specify tenant_id or event_ids")
         if self.filter.tenant_id and self.filter.tenant_id != self.caller_tenant:
             raise ValueError("replay filter tenant_id does not match authenticated tenant")
@@ -73,7 +76,7 @@ def match(df: DataFrame, wanted: ReplayFilter) -> DataFrame:
     """Events the filter selects, unordered; predicates reach the scan."""
     if wanted.exclude_replays:
         df = df.filter(~F.col("is_replay"))
-    if wanted.event_ids is not None:
+    if wanted.has_ids():
         ids = wanted.event_ids
         if wanted.tenant_id:
             df = df.filter(F.col("tenant_id") == wanted.tenant_id)

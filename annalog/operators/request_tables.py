@@ -250,5 +250,7 @@ def match_requests(
 
 
 def _scope(shape: Column, values: Sequence[Column]) -> Column:
-    """Which fields are given, the tenant, and their values, as one text key."""
-    return F.concat_ws("\u001f", shape, F.col("tenant_id"), *values)
+    """Which fields are given, the tenant, and their values, each after its length, as one
+    text key: no value can look like another request's."""
+    sized = [F.concat(F.char_length(v).cast("string"), F.lit(":"), v) for v in (F.col("tenant_id"), *values)]
+    return F.concat_ws("\u001f", shape, *sized)

@@ -20,6 +20,7 @@ from annalog.operators.replay import (
 )
 from annalog.schema import COLS, REQUEST_PREVIEW_CHARS
 from annalog.session import cut_lineage
+from annalog.sources.commits import claim
 from annalog.sources.log import append_batch, commit, read_heads, read_log
 from annalog.sources.messages import to_messages
 from annalog.sources.requests import decode_requests, position_lines, read_request_lines
@@ -54,11 +55,12 @@ def import_lines(
     tenant: str,
     batch_id: int,
     now: dt.datetime | None = None,
+    writer: str = "import",
 ) -> None:
     """Append a frame of (value, file) request lines, e.g. a streaming micro-batch."""
     now = now or dt.datetime.now(dt.timezone.utc)
     valid, rejected = judge_requests(position_lines(lines), tenant, now)
-    append_batch(valid, log_path, batch_id, stored=True)
+    append_batch(valid, log_path, batch_id, stored=True, writer=writer)
     rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
 
 
@@ -108,14 +110,22 @@ def run_replay(
     routes: dict[str, str] | None = None,
     fallback: str = "events.v1",
 ) -> DataFrame:
-    """Replay into the log as one batch (all rows or none), then publish what was stored."""
-    log = read_log(spark, log_path, before=batch_id)
-    summary, events = execute(log, request, read_heads(spark, log_path, before=batch_id))
+    """Replay into the log as one batch (all rows or none), then publish what was stored.
+
+    A replay_id is one batch of the log, whatever `batch_id` it is run under: run again,
+    it replaces what it left, or, once other batches follow, answers with what it stored.
+    """
     if request.dry_run:
-        return summary
-    commit(events, log_path, batch_id)
+        return execute(read_log(spark, log_path), request)[0]
+    request.check()
+    number, todo = claim(spark, log_path, f"replay {request.replay_id}", 0, batch_id)
+    if todo:
+        log = read_log(spark, log_path, without=number)
+        _, events = execute(log, request, read_heads(spark, log_path, without=number))
+        commit(events, log_path, number)
+    stored = read_log(spark, log_path, layout=True).filter(F.col("batch_id") == number).select(*COLS)
+    summary = replay_summary(request.replay_id, False, stored, stored)  # each match made one row
     if messages_path:
-        stored = read_log(spark, f"{log_path}/batch_id={batch_id}")
         to_messages(stored, routes or {}, fallback).write.mode("overwrite").parquet(
             f"{messages_path}/batch_id={batch_id}"
         )

@@ -1,0 +1,91 @@
+"""Batch numbers and commit records of a log.
+
+A writer names itself and numbers its own batches; the log gives each of them a batch
+number, which no other writer can get: a number is claimed by creating a file, which
+succeeds once. A batch counts from the moment its commit record appears; readers leave
+out claimed numbers without one, so half-written batches stay unseen. The files lie
+beside the log, in `<path>_commits`: `claims/N`, `owners/<writer>.<its number>.N`, and
+`done/N`, whose line is N.
+
+Writers of one log may take turns in any order. Two appends at the very same time can
+still number the same stream alike; run them one after the other, or through one job.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import SparkSession
+
+
+def _fs(spark: SparkSession, path: str):
+    """The folder's file system, and a function that makes its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _home(log_path: str) -> str:
+    return f"{log_path.rstrip('/')}_commits"
+
+
+def done_path(log_path: str) -> str:
+    return f"{_home(log_path)}/done"
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, make = _fs(spark, folder)
+    if not fs.exists(make(folder)):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(make(folder)))
+    return [n for n in names if not n.startswith(("_", "."))]
+
+
+def _numbers(spark: SparkSession, log_path: str, kind: str) -> set[int]:
+    return {int(n) for n in _names(spark, f"{_home(log_path)}/{kind}")}
+
+
+def unfinished(spark: SparkSession, log_path: str) -> list[int]:
+    """Claimed numbers without a commit record."""
+    return sorted(_numbers(spark, log_path, "claims") - _numbers(spark, log_path, "done"))
+
+
+def claim(spark: SparkSession, log_path: str, writer: str, batch: int, least: int = 0) -> tuple[int, bool]:
+    """(log batch number, whether it is to be written) for a writer's batch.
+
+    A batch that was tried before gets its number again as long as no later one was given
+    out, and is written over. If a later one was, a committed batch stays as it is, and an
+    unfinished one starts anew under a new number."""
+    fs, make = _fs(spark, _home(log_path))
+    given = _numbers(spark, log_path, "claims")
+    owner = f"{hashlib.sha1(writer.encode()).hexdigest()}.{batch}."
+    own = [int(n.rsplit(".", 1)[1]) for n in _names(spark, f"{_home(log_path)}/owners") if n.startswith(owner)]
+    if own:
+        number = max(own)
+        if number == max(given):
+            return number, True
+        if number in _numbers(spark, log_path, "done"):
+            return number, False
+    number = max([least, *(n + 1 for n in given)])
+    while not fs.createNewFile(make(f"{_home(log_path)}/claims/{number}")):
+        number += 1
+    fs.createNewFile(make(f"{_home(log_path)}/owners/{owner}{number}"))
+    return number, True
+
+
+def finish(spark: SparkSession, log_path: str, number: int) -> None:
+    """Write the commit record; it appears whole or not at all."""
+    fs, make = _fs(spark, _home(log_path))
+    target, draft = make(f"{done_path(log_path)}/{number}"), make(f"{done_path(log_path)}/_{number}")
+    if fs.exists(target):
+        return
+    out = fs.create(draft, True)
+    out.writeBytes(f"{number}\n")
+    out.close()
+    fs.rename(draft, target)
+
+
+def prepare(spark: SparkSession, log_path: str) -> str:
+    """The folder of commit records, made if it is missing, so that a stream can watch it."""
+    fs, make = _fs(spark, _home(log_path))
+    fs.mkdirs(make(done_path(log_path)))
+    return done_path(log_path)

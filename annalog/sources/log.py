@@ -5,8 +5,10 @@ ranges of (tenant_id, stream_id, version): the date prunes folders, file and
 row-group statistics prune tenants and streams, Bloom filters serve id,
 correlation and causation lookups. A bulk-loaded log of few tenants may put
 tenant_id before the date as folders (`folders=`); for micro-batches of many
-tenants that would make one small file each. A batch is written by overwriting its
-own folder, so a retried batch replaces itself.
+tenants that would make one small file each. A batch's number comes from the log
+(`sources/commits.py`): writers never overwrite each other, a retried batch replaces
+what it left, and readers see committed batches only. Days are UTC days, whatever the
+session's zone.
 
 Beside it, `<path>_heads/batch_id=N` keeps the highest version of each stream the
 batch touched. Finding the heads of a new batch reads those small tables instead
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annalog.functions.days import utc_day
 from annalog.operators.append import assign_versions, drop_known, first_delivery, stream_heads
 from annalog.operators.audit import upcast
 from annalog.operators.skew import MAX_ROWS_PER_TASK
 from annalog.schema import COLS, EVENT_SCHEMA
 from annalog.session import cut_lineage
+from annalog.sources.commits import claim, finish, unfinished
 
 LOG_SCHEMA = T.StructType(
     [*EVENT_SCHEMA.fields, T.StructField("batch_id", T.LongType()), T.StructField("occurred_date", T.DateType())]
@@ -45,38 +49,52 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType, before: int | None) -> DataFrame:
+def _scan(
+    spark: SparkSession, path: str, schema: T.StructType, before: int | None, hidden: Sequence[int]
+) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.schema(schema).parquet(path)
+    if hidden:
+        df = df.filter(~F.col("batch_id").isin(*hidden))
     return df if before is None else df.filter(F.col("batch_id") < before)
 
 
+def _hidden(spark: SparkSession, path: str, without: int | None) -> list[int]:
+    return sorted({*unfinished(spark, path), *([] if without is None else [without])})
+
+
 def read_log(
     spark: SparkSession,
     path: str,
     before: int | None = None,
     layout: bool = False,
     legacy: bool = False,
+    without: int | None = None,
 ) -> DataFrame:
-    """The 20 event columns; filters on them reach the Parquet scan.
+    """The 20 event columns of all committed batches; filters on them reach the Parquet scan.
 
-    `before` keeps batches with a smaller id, `layout=True` adds batch_id and
+    `without` leaves one batch out, `before` keeps batches with a smaller id, `layout=True` adds batch_id and
     occurred_date. `legacy=True` is for logs with files from before some column
     existed: their rows read with the column's default, at the price that filters
     on such columns run after the scan.
     """
-    df = _scan(spark, path, LOG_SCHEMA, before)
+    df = _scan(spark, path, LOG_SCHEMA, before, _hidden(spark, path, without))
     if legacy:
         df = upcast(df)
     return df if layout else df.select(*COLS)
 
 
-def read_heads(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+def read_heads(
+    spark: SparkSession, path: str, before: int | None = None, without: int | None = None
+) -> DataFrame:
     """Highest version per stream: the newest snapshot and the batches after it."""
-    heads = _scan(spark, f"{path}_heads", HEAD_SCHEMA, before)
+    hidden = _hidden(spark, path, without)
+    heads = _scan(spark, f"{path}_heads", HEAD_SCHEMA, before, hidden)
     if exists(spark, f"{path}_head_snapshots"):
-        snapshots = _scan(spark, f"{path}_head_snapshots", HEAD_SCHEMA, before)
+        # A snapshot that already holds the batch left out does not serve.
+        least = before if without is None else min(without, before or without)
+        snapshots = _scan(spark, f"{path}_head_snapshots", HEAD_SCHEMA, least, [])
         newest = snapshots.agg(F.max("batch_id")).first()[0]
         if newest is not None:
             heads = heads.filter(F.col("batch_id") > newest).unionByName(
@@ -111,7 +129,7 @@ def write_batch(
     all batches of a log.
     """
     keys = [*folders, *[c for c in ("tenant_id", "stream_id", "version") if c not in folders]]
-    dated = df.select(*COLS).withColumn("occurred_date", F.to_date("occurred_at"))
+    dated = df.select(*COLS).withColumn("occurred_date", utc_day(F.col("occurred_at")))
     writer = (
         dated.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
@@ -134,29 +152,38 @@ def append_batch(
     limit: int = MAX_ROWS_PER_TASK,
     folders: Sequence[str] = ("occurred_date",),
     stored: bool = False,
-) -> None:
-    """Idempotent append with version assignment. One writer per log.
+    writer: str = "append",
+) -> int:
+    """Idempotent append with version assignment; returns the log's batch number.
 
-    `stored=True` says that `df` is already a stored table with unique ids.
+    `batch_id` is the writer's own number of the batch. `stored=True` says that `df`
+    is already a stored table with unique ids.
 
-    Reads only batches with a smaller id and overwrites its own folder: running
-    batch N again, after any failure, gives the same log. Random ids or times in
-    `df` must be fixed before (see `normalise(id_from=…)`).
+    Reads every committed batch but its own earlier try, which it replaces: running a
+    writer's batch again, after any failure, gives the same log. A batch that was
+    committed and followed by others stays as it is. Random ids or times in `df` must
+    be fixed before (see `normalise(id_from=…)`).
     """
     spark = df.sparkSession
+    number, todo = claim(spark, path, writer, batch_id, batch_id)
+    if not todo:
+        return number
     # Stored once: read three times below, and its size decides the join.
     batch = df.select(*COLS) if stored else cut_lineage(first_delivery(df, order).select(*COLS))
-    fresh = drop_known(batch, read_log(spark, path, before=batch_id))
-    heads = read_heads(spark, path, before=batch_id)
-    commit(assign_versions(fresh, heads, digits=digits, limit=limit), path, batch_id, folders)
+    fresh = drop_known(batch, read_log(spark, path, without=number))
+    heads = read_heads(spark, path, without=number)
+    commit(assign_versions(fresh, heads, digits=digits, limit=limit), path, number, folders)
+    return number
 
 
 def commit(
     df: DataFrame, path: str, batch_id: int, folders: Sequence[str] = ("occurred_date",)
 ) -> None:
-    """Store versioned rows as a batch, then the heads of the streams it touched."""
+    """Store versioned rows as a claimed batch, then the heads of the streams it touched,
+    then the record that makes both count."""
     write_batch(df, path, batch_id, folders)
     # From the stored rows, so heads and log cannot disagree. Static overwrite also
     # clears what a larger first attempt may have left.
     stored = df.sparkSession.read.schema(LOG_SCHEMA).parquet(f"{path}/batch_id={batch_id}")
     stream_heads(stored).write.mode("overwrite").parquet(f"{path}_heads/batch_id={batch_id}")
+    finish(df.sparkSession, path, batch_id)

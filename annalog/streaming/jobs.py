@@ -18,7 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from annalog.functions.envelope import indexable
 from annalog.plans.jobs import import_lines
 from annalog.sources.dlq import to_dlq
-from annalog.sources.log import LOG_SCHEMA
+from annalog.sources.commits import prepare
+from annalog.sources.log import read_log
 from annalog.sources.messages import (
     events_of,
     judge_messages,
@@ -67,7 +68,7 @@ def run_ingest(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        import_lines(batch, log_path, rejected_path, tenant, batch_id)
+        import_lines(batch, log_path, rejected_path, tenant, batch_id, writer=f"ingest {checkpoint}")
 
     return _start(lines, handle, checkpoint, interval)
 
@@ -102,13 +103,16 @@ def run_projection(
     return _start(messages, handle, checkpoint, interval)
 
 
-def stream_log(spark: SparkSession, log_path: str, max_files: int = 1000) -> DataFrame:
-    """Newly appended events of a log, as a stream."""
-    return (
-        spark.readStream.schema(LOG_SCHEMA)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(log_path)
-    )
+def stream_commits(spark: SparkSession, log_path: str, max_batches: int = 100) -> DataFrame:
+    """Commit records of a log, as a stream: whole batches, none before it is committed."""
+    return spark.readStream.option("maxFilesPerTrigger", max_batches).text(prepare(spark, log_path))
+
+
+def committed_events(records: DataFrame, log_path: str) -> DataFrame:
+    """The events of the batches in a micro-batch of commit records."""
+    numbers = [int(r.value) for r in records.select("value").collect()]  # `max_batches` at most
+    log = read_log(records.sparkSession, log_path, layout=True)
+    return log.filter(F.col("batch_id").isin(*numbers) if numbers else F.lit(False))
 
 
 def run_publish(
@@ -123,11 +127,12 @@ def run_publish(
     """Log -> bus messages as files, each micro-batch ordered by stream and version."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        to_messages(order_for_bus(batch), routes, fallback).write.mode("overwrite").parquet(
+        events = committed_events(batch, log_path)
+        to_messages(order_for_bus(events), routes, fallback).write.mode("overwrite").parquet(
             f"{target}/batch_id={batch_id}"
         )
 
-    return _start(stream_log(spark, log_path), handle, checkpoint, interval)
+    return _start(stream_commits(spark, log_path), handle, checkpoint, interval)
 
 
 def run_log_projection(
@@ -141,11 +146,12 @@ def run_log_projection(
     """Log -> read model without a bus between; the stream version is the offset."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        judged = batch.withColumn("index_error", rule()).withColumn("offset", F.col("version"))
+        events = committed_events(batch, log_path)
+        judged = events.withColumn("index_error", rule()).withColumn("offset", F.col("version"))
         upsert_projection(judged.filter(F.col("index_error").isNull()), paths.projection, batch_id)
         refused = judged.filter(F.col("index_error").isNotNull())
         to_dlq(refused, F.col("index_error"), F.current_timestamp()).write.mode(
             "overwrite"
         ).parquet(f"{paths.dlq}/batch_id={batch_id}")
 
-    return _start(stream_log(spark, log_path), handle, checkpoint, interval)
+    return _start(stream_commits(spark, log_path), handle, checkpoint, interval)

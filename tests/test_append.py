@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from annalog.operators.append import append_result, assign_versions, first_delivery, stream_heads
 from annalog.operators.audit import gap_check
+from annalog.operators.audit_queries import timeline
 from annalog.plans.jobs import import_requests
 from annalog.sources.log import append_batch, read_heads, read_log, snapshot_heads
 from conftest import at, event, uid
@@ -109,3 +110,54 @@ def test_legacy_files_read_with_defaults(spark, log_of, tmp_path):
     old.withColumn("occurred_date", F.to_date("occurred_at")).write.partitionBy("occurred_date").parquet(f"{path}/batch_id=0")
     rows = {r.id: r for r in read_log(spark, path, legacy=True).collect()}
     assert rows[uid(2)].tenant_id == "default" and rows[uid(2)].correlation_id == "" and rows[uid(1)].tenant_id == "tenant-a"
+
+
+def versions_of(spark, path):
+    return sorted((r.stream_id, r.version) for r in read_log(spark, path).collect())
+
+
+def test_writers_take_turns(spark, log_of, tmp_path):
+    path = str(tmp_path / "log")
+    assert append_batch(log_of([event(i, stream_id="s") for i in range(3)]), path, 0, writer="a") == 0
+    assert append_batch(log_of([event(i, stream_id="s") for i in range(3, 6)]), path, 0, writer="b") == 1
+    assert append_batch(log_of([event(i, stream_id="s") for i in range(6, 9)]), path, 1, writer="a") == 2
+    # A batch that others follow stays as it is.
+    assert append_batch(log_of([event(99, stream_id="s")]), path, 0, writer="a") == 0
+    assert versions_of(spark, path) == [("s", v) for v in range(1, 10)]
+
+
+def test_a_killed_batch_is_unseen_and_retried(spark, log_of, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    append_batch(log_of([event(i, stream_id="s") for i in range(2)]), path, 0)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr("annalog.sources.log.finish", killed)
+        with pytest.raises(RuntimeError):
+            append_batch(log_of([event(i, stream_id="s") for i in range(2, 5)]), path, 1)
+    assert read_log(spark, path).count() == 2
+    assert {r.version for r in read_heads(spark, path).collect()} == {2}
+    append_batch(log_of([event(9, stream_id="s")]), path, 0, writer="other")  # gets a later number
+    append_batch(log_of([event(i, stream_id="s") for i in range(2, 5)]), path, 1)
+    assert versions_of(spark, path) == [("s", v) for v in range(1, 7)]
+    assert read_log(spark, path).select("id").distinct().count() == 6
+
+
+def test_equal_times_keep_the_same_payload_in_any_order(log_of):
+    rows = [event(1, payload=p) for p in ('{"a": 1}', '{"a": 2}', '{"a": 3}')]
+    kept = {first_delivery(log_of(r)).first().payload for r in (rows, rows[::-1], [rows[1], rows[0], rows[2]])}
+    assert len(kept) == 1
+
+
+def test_days_are_utc_days(spark, log_of, tmp_path):
+    path = str(tmp_path / "log")
+    append_batch(log_of([event(i, occurred_at=at(i * 3600)) for i in range(48)]), path, 0)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        bounds = [F.lit("2024-01-01 01:00:00+00:00").cast("timestamp"), F.lit("2024-01-02 00:00:00+00:00").cast("timestamp")]
+        rows, summary = timeline(read_log(spark, path, layout=True), "tenant-a", *bounds, limit=100)
+        assert rows.count() == 24
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

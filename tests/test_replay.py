@@ -144,3 +144,23 @@ def test_replay_job_is_atomic_and_repeatable(spark, log_of, tmp_path):
 def test_hourly_plan(log_of):
     log = log_of([event(i, occurred_at=at(i * 1800)) for i in range(6)])
     assert [r.events for r in plan_hourly(log).orderBy("from_time").collect()] == [2, 2, 2]
+
+
+def test_replays_and_appends_take_turns(spark, log_of, tmp_path):
+    path = str(tmp_path / "log")
+    append_batch(log_of([event(i, stream_id="s") for i in range(3)]), path, 0)
+    wanted = request(filter=ReplayFilter(tenant_id="tenant-a", stream_id="s", exclude_replays=True))
+    run_replay(spark, path, wanted, 1000)  # far ahead of the append's own numbers
+    append_batch(log_of([event(i, stream_id="s") for i in range(10, 13)]), path, 1)
+    assert sorted(r.version for r in read_log(spark, path).collect()) == list(range(1, 10))
+    again = run_replay(spark, path, wanted, 2)  # the same replay_id adds nothing
+    assert again.first().replayed_count == 3
+    log = read_log(spark, path)
+    assert log.count() == 9 == log.select("id").distinct().count()
+
+
+def test_an_empty_id_list_is_not_given(log_of):
+    log = log_of([event(i) for i in range(3)])
+    assert match(log, ReplayFilter(tenant_id="tenant-a", event_ids=[])).count() == 3
+    with pytest.raises(ValueError):
+        request(filter=ReplayFilter(event_ids=[])).check()
