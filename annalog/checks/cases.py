@@ -33,7 +33,7 @@ from annalog.sources.messages import (
     to_wire9,
 )
 from annalog.schema import MESSAGE_SCHEMA
-from annalog.session import run_dir
+from annalog.session import cut_lineage, run_dir
 from annalog.sources.log import append_batch, read_heads, read_log
 from annalog.sources.messages import read_messages
 from annalog.sources.projection import latest_by_id, read_projection
@@ -980,3 +980,61 @@ def stream_log_projection(spark, sf_dir):
         append_batch(part, f"{home}/log", batch_id)
         drain(run_log_projection(spark, f"{home}/log", paths, f"{home}/checkpoint"))
     return read_projection(spark, paths.projection).select("id", "stream_id", "version")
+
+
+_LIVE = fx.CANONICAL + """,
+live AS (
+  SELECT id AS source_id, stream_id, false AS is_replay, occurred_at, CASE WHEN occurred_at < '2024-01-16' THEN 0 ELSE 2 END AS phase FROM base
+  UNION ALL
+  SELECT id, stream_id, true, occurred_at, 1 FROM base WHERE tenant_id = 'tenant-1' AND type = 'user.error' AND occurred_at < '2024-01-16'
+)"""
+
+
+def _sources(log):
+    source = F.when(F.col("is_replay"), F.col("replay_source_event_id")).otherwise(F.col("id"))
+    return log.select(source.alias("source_id"), "stream_id", "is_replay", "version")
+
+
+@case("""
+SELECT source_id, stream_id, is_replay, row_number() OVER (PARTITION BY stream_id ORDER BY phase, occurred_at, source_id) AS version
+FROM live""", _LIVE)
+def replay_into_live_log(spark, sf_dir):
+    """Two writers and a replay take turns on one stored log; the replay's own
+    number is far ahead, and every writer begins to count at 0."""
+    path = run_dir(spark, "live")
+    events = fx.unversioned(spark, sf_dir).select(*COLS)
+    append_batch(events.filter("occurred_at < '2024-01-16'"), path, 0, writer="first")
+    jobs.run_replay(spark, path, _request(False), 1000)
+    append_batch(events.filter("occurred_at >= '2024-01-16'"), path, 0, writer="second")
+    return _sources(read_log(spark, path))
+
+
+@case("""
+SELECT source_id, stream_id, is_replay, row_number() OVER (PARTITION BY stream_id ORDER BY phase, occurred_at, source_id) AS version
+FROM live""", _LIVE)
+def replay_retry(spark, sf_dir):
+    """The same replay before and after other batches, under other numbers, adds nothing."""
+    path = run_dir(spark, "retry")
+    events = fx.unversioned(spark, sf_dir).select(*COLS)
+    append_batch(events.filter("occurred_at < '2024-01-16'"), path, 0)
+    for batch_id in (1, 2):
+        jobs.run_replay(spark, path, _request(False), batch_id)
+    append_batch(events, path, 1)
+    jobs.run_replay(spark, path, _request(False), 9)
+    return _sources(read_log(spark, path))
+
+
+@case("""
+SELECT id, version FROM canonical WHERE tenant_id = 'tenant-1' AND occurred_at BETWEEN '2024-01-10 05:00:00' AND '2024-01-12 20:00:00'""")
+def stored_timeline(spark, sf_dir):
+    """A window of the stored log, read in another zone than it was written in."""
+    path = run_dir(spark, "zones")
+    append_batch(fx.unversioned(spark, sf_dir).select(*COLS), path, 0)
+    low, high = (F.lit(f"{t}+00:00").cast("timestamp") for t in ("2024-01-10 05:00:00", "2024-01-12 20:00:00"))
+    log = read_log(spark, path, layout=True).filter(F.col("tenant_id") == TENANT)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        rows = cut_lineage(q._prune_days(log, low, high).filter(q.in_window(low, high)).select("id", "version"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return rows

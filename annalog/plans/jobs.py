@@ -18,7 +18,7 @@ from annalog.operators.replay import (
     replay_rows,
     replay_summary,
 )
-from annalog.schema import COLS, REQUEST_PREVIEW_CHARS
+from annalog.schema import COLS, REQUEST_MAX_BYTES, REQUEST_PREVIEW_CHARS
 from annalog.session import cut_lineage
 from annalog.sources.commits import claim
 from annalog.sources.log import append_batch, commit, read_heads, read_log
@@ -26,13 +26,15 @@ from annalog.sources.messages import to_messages
 from annalog.sources.requests import decode_requests, position_lines, read_request_lines
 
 
-def judge_requests(lines: DataFrame, tenant: str, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+def judge_requests(
+    lines: DataFrame, tenant: str, now: dt.datetime, max_bytes: int = REQUEST_MAX_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """(events without versions, rejected rows: file, copy_no, reject_reason, preview).
 
     Lines come from `position_lines`; ids derive from that position, so they are
     unique and the same in every run.
     """
-    decoded, broken = decode_requests(lines.withColumn("body", F.col("value")))
+    decoded, broken = decode_requests(lines.withColumn("body", F.col("value")), max_bytes=max_bytes)
     events = normalise(
         stamp_tenant(decoded, tenant),
         now=now,
@@ -56,10 +58,11 @@ def import_lines(
     batch_id: int,
     now: dt.datetime | None = None,
     writer: str = "import",
+    max_bytes: int = REQUEST_MAX_BYTES,
 ) -> None:
     """Append a frame of (value, file) request lines, e.g. a streaming micro-batch."""
     now = now or dt.datetime.now(dt.timezone.utc)
-    valid, rejected = judge_requests(position_lines(lines), tenant, now)
+    valid, rejected = judge_requests(position_lines(lines), tenant, now, max_bytes)
     append_batch(valid, log_path, batch_id, stored=True, writer=writer)
     rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
 
@@ -72,10 +75,12 @@ def import_requests(
     tenant: str,
     batch_id: int,
     now: dt.datetime | None = None,
+    max_bytes: int = REQUEST_MAX_BYTES,
 ) -> None:
     """Import files of request bodies into the log. Running it again with the same
     batch id, or the same files under a later one, adds nothing twice."""
-    import_lines(read_request_lines(spark, source), log_path, rejected_path, tenant, batch_id, now)
+    lines = read_request_lines(spark, source)
+    import_lines(lines, log_path, rejected_path, tenant, batch_id, now, max_bytes=max_bytes)
 
 
 def execute(log: DataFrame, request: ReplayRequest, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

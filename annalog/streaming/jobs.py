@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from annalog.functions.envelope import indexable
 from annalog.plans.jobs import import_lines
+from annalog.schema import REQUEST_MAX_BYTES
 from annalog.sources.dlq import to_dlq
 from annalog.sources.commits import prepare
 from annalog.sources.log import read_log
@@ -59,6 +60,7 @@ def run_ingest(
     checkpoint: str,
     interval: str | None = None,
     max_files: int = 1000,
+    max_bytes: int = REQUEST_MAX_BYTES,
 ) -> StreamingQuery:
     """Files of request bodies -> log. Without `interval` it drains what is there and ends."""
     lines = (
@@ -68,7 +70,7 @@ def run_ingest(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        import_lines(batch, log_path, rejected_path, tenant, batch_id, writer=f"ingest {checkpoint}")
+        import_lines(batch, log_path, rejected_path, tenant, batch_id, writer=f"ingest {checkpoint}", max_bytes=max_bytes)
 
     return _start(lines, handle, checkpoint, interval)
 

@@ -15,7 +15,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not pre
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for file in sorted(os.listdir(SF)):
+        name = file.removesuffix(".parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{file}'")
     return con
 
 
