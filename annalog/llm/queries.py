@@ -12,6 +12,7 @@ from annalog.llm import (
     decontamination,
     language,
     neighbours,
+    oracles,
     paragraphs,
     pii,
     simhash,
@@ -86,4 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+# Fingerprints, learned scores, token ids and searches by index are not SQL; tests/llm holds
+# their brute-force versions.
+ORACLES: dict[str, str] = {
+    "op1_decontamination": oracles.DECONTAMINATION,
+    "op3_url_filters": oracles.URL_FILTERS,
+    "op10_pii": oracles.PII,
+}
