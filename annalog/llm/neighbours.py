@@ -24,6 +24,7 @@ BLOCK = 2_048  # queries
 TREES = 80
 BITS = 32
 SHARE = 0.5  # entries, over all trees, against the vectors of the shard
+LEAST = 100  # times `top`: entries that a small shard's prefixes must hold
 SEED = 20_240
 
 
@@ -68,7 +69,7 @@ class Forest:
         """(query id, id, score) of each query's best candidates but itself, best first, ties
         to the smaller id. The products are summed alike for every vector, so equal vectors
         have equal scores."""
-        enough = max(int(share * len(ids)), 4 * top)
+        enough = max(int(share * len(ids)), LEAST * top)
         out = []
         for q, query, found in zip(query_ids, queries, self.candidates(queries, enough), strict=True):
             found = found[ids[found] != q]
