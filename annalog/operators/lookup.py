@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalog.operators.skew import MAX_ROWS_PER_TASK, crowded_keys
+from annalog.operators.skew import MAX_ROWS_PER_TASK, crowded_keys, small_side
+from annalog.session import cut_lineage
 
 
 def lookup(
@@ -19,10 +20,10 @@ def lookup(
 ) -> DataFrame:
     """Left-join `rows` to `table`, whose key `on` is unique; result struct in `found`.
 
-    Keys asked for by more than `limit` rows are answered by a broadcast, which
-    holds at most count(rows) / `limit` entries, so their rows are not shuffled at
-    all. All other rows, usually every row, take the ordinary shuffle join. Key
-    columns must not be NULL.
+    Keys asked for by more than `limit` rows are answered apart: there are at most
+    count(rows) / `limit` of them, stored, and broadcast if their stored size is small,
+    so their rows are not shuffled at all. All other rows, usually every row, take the
+    ordinary shuffle join. Key columns must not be NULL.
     """
     on = list(on)
     rest = [c for c in table.columns if c not in on]
@@ -31,7 +32,7 @@ def lookup(
     busy = crowded_keys(rows, on, limit)
     if busy is None:
         return rows.join(packed, on, "left").select(*columns)
-    answers = busy.join(packed.join(F.broadcast(busy), on), on, "left")
-    crowded = rows.join(F.broadcast(answers), on).select(*columns)
-    others = rows.join(F.broadcast(busy), on, "left_anti").join(packed, on, "left")
+    answers = cut_lineage(busy.join(packed.join(small_side(busy), on), on, "left"))
+    crowded = rows.join(small_side(answers), on).select(*columns)
+    others = rows.join(small_side(busy), on, "left_anti").join(packed, on, "left")
     return others.select(*columns).unionByName(crowded)

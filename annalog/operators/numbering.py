@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalog.operators.skew import MAX_ROWS_PER_TASK, crowded_keys
+from annalog.operators.skew import MAX_ROWS_PER_TASK, crowded_keys, small_side
 from annalog.session import cut_lineage
 
 _UNCUT = -(2**63)
@@ -89,11 +89,11 @@ def running_total(
             break
         cut = f"_cut{i}"
         rows = (
-            rows.join(F.broadcast(large.withColumn("_large", F.lit(True))), group, "left")
+            rows.join(small_side(large.withColumn("_large", F.lit(True))), group, "left")
             .withColumn(cut, F.when(F.col("_large"), F.col(raw)).otherwise(F.lit(_UNCUT)))
             .drop("_large")
         )
-        crowd = crowd.join(F.broadcast(large), group).withColumn(cut, F.col(raw))
+        crowd = crowd.join(small_side(large), group).withColumn(cut, F.col(raw))
         starts = _add_level(crowd, group, cut, starts)
         group = [*group, cut]
 
