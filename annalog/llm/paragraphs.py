@@ -158,27 +158,88 @@ def _texts(docs: DataFrame, held: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min("text").alias("text"))
 
 
+def _similar(texts: list[str], sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (numbers of two texts) that join all texts at least `similarity` alike; of links
+    that close a circle only the first are given. Texts of different sides are compared, or
+    all if there is but one."""
+    sets = [shingle_set(t) for t in texts]
+    number: dict = {}
+    at = [[number.setdefault(x, len(number)) for x in s] for s in sets]
+    size = np.array([len(s) for s in sets])
+    has = np.zeros((len(sets), len(number)), dtype=np.float32)
+    for i, x in enumerate(at):
+        has[i, x] = 1
+    shared = has @ has.T
+    near = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-6
+    if sides.min() != sides.max():
+        near &= sides[:, None] != sides[None, :]
+    group = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        x, y = root(int(i)), root(int(j))
+        if x != y:
+            group[y] = x
+            out.append((int(i), int(j)))
+    return out
+
+
+def _compare(similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by `meet`; one meeting's rows are held at a time."""
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            meet = rows[MEET].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (meet[1:] != meet[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, int)
+            rest = rows.iloc[edges[-1] :] if len(edges) else rows
+            yield from links_of(rows.iloc[: edges[-1]], edges) if len(edges) > 1 else []
+        if rest is not None and len(rest) > 1:
+            yield from links_of(rest, np.array([0, len(rest)]))
+
+    def links_of(rows: pd.DataFrame, edges: np.ndarray) -> Iterator[pd.DataFrame]:
+        keys, sides, texts = rows["key"].to_numpy(), rows["side"].to_numpy(), rows["text"].to_numpy()
+        found = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a > 1:
+                found += [(keys[a + i], keys[a + j]) for i, j in _similar(list(texts[a:b]), sides[a:b], similarity)]
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+MEET = ["i", "h", "low", "high"]
+MEETING = 256  # paragraphs of one side
+
+
 def links(docs: DataFrame, held: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b), a < b, of keys whose shingle sets are at least `similarity` alike."""
+    """Links (a, b) between keys that join all those whose shingle sets are at least
+    `similarity` alike and that share a band.
+
+    The paragraphs of a band value are cut into sides of about `MEETING`, and every two
+    sides meet, so that a large group is compared in full by many tasks of bounded size;
+    each gives only as many links as join what it has found alike."""
     nodes = held.groupBy("key").agg(*[F.min(f"band{i}").alias(f"band{i}") for i in range(BANDS)])
     band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"band{i}").alias("h")) for i in range(BANDS)]))
     dealt = nodes.select("key", band.alias("band")).select("key", "band.i", "band.h")
-    a, b = dealt.withColumnRenamed("key", "a"), dealt.withColumnRenamed("key", "b")
-    met = a.join(b, ["i", "h"]).where("a < b").select("a", "b").distinct()
-    met = cut_lineage(met)
-    texts = cut_lineage(_texts(docs, held, met.select(F.col("a").alias("key")).union(met.select("b")).distinct()))
-
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(x, y, strict=True):
-            p, q = shingle_set(s), shingle_set(t)
-            out.append(bool(p or q) and len(p & q) >= similarity * len(p | q))
-        return pd.Series(out, dtype=bool)
-
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    return met.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
+    shared = dealt.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut_lineage(dealt.join(shared, ["i", "h"]))
+    texts = _texts(docs, held, members.select("key").distinct())
+    sides = F.ceil(F.col("n") / MEETING).cast("int")
+    rows = members.join(texts, "key").withColumn("side", F.pmod(F.xxhash64("key"), sides).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    rows = rows.select(
+        "i", "h", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "key", "text"
+    )
+    dealt_out = rows.repartition(*MEET).sortWithinPartitions(*MEET, "key")
+    return dealt_out.mapInPandas(_compare(similarity), "a long, b long")
 
 
 def repeats(docs: DataFrame, run_words: int = RUN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
