@@ -20,6 +20,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import accumulate, chain
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 PART = 32_768  # characters of a part of a long text
+PARTS_AT_ONCE = 16  # parts whose tokens a task holds together
 GROUP = 1_000_000  # characters encoded in one call
 MARGIN = 32  # more than a special token or the characters that a word's end depends on
 AGREE = 4  # tokens on either side of a window inside a word
@@ -66,7 +68,7 @@ _OTHER = re.compile(
     "[^\\x00-\u0530\u0590-\u0880\u0900-\u0c50\u0d00-\u2080\u20a0-\ua7cd\uac00-\ud7ff\ue000-\U00010700\U0001f000-\U0002b700]"
 )
 
-KNOWN_WORDS = 250_000  # words in each of the two halves of a task's memory
+KNOWN_WORDS = 50_000  # words in each of the two halves of a task's memory
 WORD_CHARS = 100  # longer words are not remembered
 
 
@@ -112,14 +114,12 @@ class Codec:
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
+        self.spec = spec
         self.full = Tokenizer.from_str(spec)
         self.full.no_truncation()
         self.full.no_padding()
-        self.inner = Tokenizer.from_str(spec)  # takes its whole input as one word
-        self.inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.inner.encode_special_tokens = True
         size = self.full.get_vocab_size(with_added_tokens=True)
         self.numbers = [str(i) for i in range(size)]
         self.ints = list(range(size))  # one object for each id, however many words hold it
@@ -130,6 +130,16 @@ class Codec:
         self.words = Words(self.word_ids)
         self.places = Words(self._word_places)
 
+    @cached_property
+    def inner(self):
+        """Takes its whole input as one word; few texts need it."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        inner = Tokenizer.from_str(self.spec)
+        inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        inner.encode_special_tokens = True
+        return inner
+
     def word_ids(self, words: list[str]) -> list[tuple[int, ...]]:
         if self.ranked is not None:
             found = map(self.ranked.encode_ordinary, words)
@@ -338,6 +348,16 @@ def _cut(rows: DataFrame, part: int) -> DataFrame:
     return edges.withColumn("piece", piece).drop("text", "i", "n")
 
 
+def _with_tokens(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = [codec.part(t, 0, len(t)) for t in batch.column("piece").to_pylist()]
+    arrays = [
+        pa.array([f.ids.astype(np.int32) for f in found], pa.list_(pa.int32())),
+        pa.array([f.at.astype(np.int32) for f in found], pa.list_(pa.int32())),
+        pa.array([f.head for f in found], pa.list_(pa.bool_())),
+    ]
+    return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "ids", "at", "head"])
+
+
 def _encoded(docs: DataFrame, spec: str, part: int, schema: str, use) -> DataFrame:
     """doc_id and `use(codec, list of ids)`, rows of `schema`, for each row of `docs`."""
     sent = docs.sparkSession.sparkContext.broadcast(spec)
@@ -354,11 +374,8 @@ def _encoded(docs: DataFrame, spec: str, part: int, schema: str, use) -> DataFra
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value)
         for batch in batches:
-            found = [codec.part(t, 0, len(t)) for t in batch.column("piece").to_pylist()]
-            arrays = [pa.array([f.ids for f in found], pa.list_(pa.int32()))]
-            arrays += [pa.array([f.at for f in found], pa.list_(pa.int32()))]
-            arrays += [pa.array([f.head for f in found], pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "ids", "at", "head"])
+            for i in range(0, batch.num_rows, PARTS_AT_ONCE):
+                yield _with_tokens(codec, batch.slice(i, PARTS_AT_ONCE))
 
     kept: dict[str, Codec] = {}  # one a task
 
