@@ -28,6 +28,32 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
+# Letters and digits of an IBAN by country; codes that are not listed keep the general form.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An IBAN ends where its country says, so that it takes nothing of the next word."""
+    forms, codes = [], []
+    for n, names in IBAN_LENGTHS.items():
+        codes += names.split()
+        groups, rest = divmod(n - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    edge = "(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})"
+    known = f"{edge}(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+    other = f"(?!{'|'.join(codes)})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!{known})[A-Z0-9]{{4}}){{2,7}}(?: ?(?!{known})[A-Z0-9]{{1,3}})?"
+    return f"{known}|{edge}{other}"
+
+
+# What is looked for; all but the IBAN as the pattern says.
+FORMS = PATTERNS | {"iban": _iban()}
+
 # A text without this has no match of the kind.
 HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
@@ -40,6 +66,8 @@ CONTEXT = {
     "ssn": "ssn|social security|social-security|tax id",
 }
 CONTEXT_CHARS = 40
+# Between the numbers of a list, which share their context.
+LIST_GAP = r"^[^A-Za-z0-9.!?]{1,8}(?:(?:and|or|und|oder|et|ou|y|o)[^A-Za-z0-9.!?]{1,4})?$"
 PRIOR = {"email": 80, "ip": 60, "card": 70, "phone": 50, "iban": 70, "ssn": 30}
 CONTEXT_BONUS = 20
 ADDED_MIN = 50
@@ -88,15 +116,22 @@ def _valid(kind: str, value: Column, before: Column, after: Column) -> Column:
     return F.lit(True)
 
 
+SPAN = "struct<start:int,rank:int,end:int,kind:string,score:int>"
+
+
 def _spans_of(text: Column, kind: str) -> Column:
     """Valid matches of one kind, in order. The pieces between the matches give their
-    places: a match starts after all pieces and matches before it."""
-    pattern = PATTERNS[kind]
+    places: a match starts after all pieces and matches before it.
+
+    An added kind takes its context from the text on both sides, over other matches, and
+    from its neighbours in a list of numbers."""
+    pattern = FORMS[kind]
+    added = kind not in BASE_KINDS
     cut = F.struct(
         F.split(text, pattern, -1).alias("pieces"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"),
     )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:int>>")
+    none = F.array().cast(f"array<{SPAN}>")
 
     def collect(c: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
@@ -107,24 +142,50 @@ def _spans_of(text: Column, kind: str) -> Column:
             last = i == F.size(c["matches"]) - 1
             before = F.when((piece == "") & (i > 0), F.lit("0")).otherwise(F.right(piece, F.lit(1)))
             after = F.when((following == "") & ~last, F.lit("0")).otherwise(F.left(following, F.lit(1)))
-            near = F.lower(F.right(piece, F.lit(CONTEXT_CHARS)))
-            bonus = F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))
-            score = F.lit(PRIOR[kind]) + bonus
             good = _valid(kind, value, before, after)
-            if kind not in BASE_KINDS:
-                good = good & (score >= ADDED_MIN)
+            ahead = F.concat(acc["tail"], piece) if added else piece
+            near = F.lower(F.right(ahead, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind])
+            if added:
+                parts = [following]
+                for k in (1, 2, 3):
+                    parts += [F.coalesce(F.get(c["matches"], i + k), F.lit("")), F.coalesce(F.get(c["pieces"], i + k + 1), F.lit(""))]
+                behind = F.concat(*[F.left(x, F.lit(CONTEXT_CHARS)) for x in parts])
+                near = near | F.lower(F.left(behind, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind])
+            listed = (i > 0) & piece.rlike(LIST_GAP) if added else F.lit(False)
+            near = near | (listed & acc["near"])
             span = F.struct(
                 start.alias("start"),
                 F.lit(KINDS.index(kind)).alias("rank"),
                 end.alias("end"),
                 F.lit(kind).alias("kind"),
-                score.alias("score"),
+                (F.lit(PRIOR[kind]) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))).alias("score"),
             )
-            spans = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-            return F.struct(end.alias("at"), spans.alias("spans"))
-
-        begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(c["matches"]) - 1), begin, step, lambda a: a["spans"])
+            if added:
+                span = F.struct(span.alias("span"), good.alias("good"), near.alias("near"), listed.alias("listed"))
+            spans = F.concat(acc["spans"], F.array(span))
+            if not added:
+                spans = F.when(good, spans).otherwise(acc["spans"])
+            tail = F.right(F.concat(ahead, value), F.lit(CONTEXT_CHARS)) if added else F.lit("")
+            return F.struct(end.alias("at"), tail.alias("tail"), near.alias("near"), spans.alias("spans"))
+
+        def back(acc: Column, m: Column) -> Column:
+            """From the last match to the first: context goes back through a list."""
+            near = m["near"] | (acc["listed"] & acc["near"])
+            score = F.lit(PRIOR[kind]) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))
+            fits = m["good"] & (score >= ADDED_MIN)
+            spans = F.concat(F.array(m["span"].withField("score", score)), acc["spans"])
+            spans = F.when(fits, spans).otherwise(acc["spans"])
+            return F.struct(m["listed"].alias("listed"), near.alias("near"), spans.alias("spans"))
+
+        places = F.sequence(F.lit(0), F.size(c["matches"]) - 1)
+        no = F.lit(False)
+        empty = F.array().cast(f"array<struct<span:{SPAN},good:boolean,near:boolean,listed:boolean>>") if added else none
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), no.alias("near"), empty.alias("spans"))
+        found = F.aggregate(places, begin, step, lambda a: a["spans"])
+        if not added:
+            return found
+        begin = F.struct(no.alias("listed"), no.alias("near"), none.alias("spans"))
+        return F.aggregate(F.reverse(found), begin, back, lambda a: a["spans"])
 
     may = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
     return F.when(may & text.rlike(pattern), let(cut, collect)).otherwise(none)

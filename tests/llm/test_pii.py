@@ -98,3 +98,19 @@ def test_redaction(spark, odd_docs):
     assert found[4][0] == "[EMAIL]@d.e"
     assert pii.redact(odd_docs).columns == odd_docs.columns
     assert pii.redact(odd_docs).count() == len(ODD)
+
+
+def test_context_on_both_sides_and_through_lists(spark):
+    assert one(spark, "ssn 123-45-6789, 987-65-4321").spans == "ssn:4:15,ssn:17:28"
+    assert one(spark, "123-45-6789 (SSN)").spans == "ssn:0:11"
+    numbers = ", ".join(f"{100 + i}-45-6789" for i in range(12))
+    assert one(spark, f"ssn: {numbers}").spans.count("ssn") == 12
+    assert one(spark, f"{numbers} are SSN").spans.count("ssn") == 12
+    assert one(spark, f"parts {numbers}").spans == ""
+
+
+def test_iban_ends_where_its_country_says(spark):
+    for iban in ("ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89370400440532013000"):
+        for after in (" Please pay", " BIC", " PAY", "", ", and"):
+            assert one(spark, f"to {iban}{after}").spans == f"iban:3:{3 + len(iban)}"
+    assert one(spark, "ES91 2100 0418 4502 0005 1333 Please").spans == ""
