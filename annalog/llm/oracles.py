@@ -130,3 +130,153 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE_KINDS
   coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM doc LEFT JOIN told USING (r)
 """
+
+_COUNT = r"len(regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+'))"
+
+# Every seat is listed and ranked; the saturated sources are a prefix in the order of their limits.
+MIXING = f"""
+WITH sized AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_COUNT.format("text")} AS size,
+    md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS draw
+  FROM documents
+),
+named AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
+  FROM (SELECT source, sum(size) AS source_size FROM sized GROUP BY source)
+),
+weighed AS (SELECT *, CAST([3, 1, 2][no % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM named),
+lined AS (
+  SELECT *, 1.5 * CAST((SELECT sum(source_size) FROM named) AS DOUBLE)
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY cap / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM weighed
+),
+level AS (SELECT rest, open_weight FROM lined WHERE rest * weight / open_weight <= cap ORDER BY cap / weight, no LIMIT 1),
+sources AS (
+  SELECT source, source_size, no, least(coalesce((SELECT rest FROM level) * weight / (SELECT open_weight FROM level), cap), cap) AS target,
+    greatest(CAST(ceil(source_size / 1000000.0) AS BIGINT), 1) AS shards
+  FROM weighed
+),
+dealt AS (
+  SELECT sized.*, no, source_size, target, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % shards AS shard
+  FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source
+),
+cells AS (
+  SELECT no, shard, CAST(sum(size) AS BIGINT) AS words, greatest(CAST(floor(sum(size) / 16.0 + 0.5) AS BIGINT), 1) AS blocks
+  FROM dealt GROUP BY no, shard HAVING sum(size) > 0
+),
+votes AS (
+  SELECT no, own, CAST(floor(target * own / source_size * 1000 + 0.5) AS BIGINT) AS v
+  FROM sources JOIN (SELECT no, CAST(sum(blocks) AS BIGINT) AS own FROM cells GROUP BY no) USING (no)
+),
+source_seats AS (
+  SELECT no, own, row_number() OVER (ORDER BY CAST(v AS DOUBLE) / (2 * k - 1) DESC, no) AS place
+  FROM (SELECT no, own, v, unnest(range(1, 2 * own + 3)) AS k FROM votes WHERE v > 0)
+),
+quotas AS (
+  SELECT no, least(count(*), 2 * own) AS quota FROM source_seats
+  WHERE place <= ((SELECT sum(v) FROM votes) + 500) // 1000 GROUP BY no, own
+),
+shard_seats AS (
+  SELECT no, shard, row_number() OVER (PARTITION BY no ORDER BY CAST(blocks AS DOUBLE) / (2 * k - 1) DESC, shard) AS place
+  FROM (SELECT no, shard, blocks, unnest(range(1, 2 * blocks + 3)) AS k FROM cells)
+),
+shard_quotas AS (
+  SELECT no, shard, count(*) AS q FROM shard_seats JOIN quotas USING (no) WHERE place <= quota GROUP BY no, shard
+),
+runs AS (
+  SELECT no, shard, words, blocks, coalesce(q, 0) // blocks AS laps, coalesce(q, 0) % blocks AS rest,
+    CAST('0x' || substr(md5('7:' || no || ':' || shard), 1, 8) AS BIGINT) % blocks AS start
+  FROM cells LEFT JOIN shard_quotas USING (no, shard)
+),
+edges AS (
+  SELECT no, shard, laps, start * words // blocks AS low, least(start + rest, blocks) * words // blocks AS high,
+    greatest(start + rest - blocks, 0) * words // blocks AS more
+  FROM runs
+),
+placed AS (
+  SELECT *, coalesce(CAST(sum(size) OVER (PARTITION BY no, shard ORDER BY draw, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS begins
+  FROM dealt
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE laps * size + greatest(least(more, begins + size) - begins, 0)
+    + greatest(least(high, begins + size) - greatest(low, begins), 0) END AS taken
+FROM placed LEFT JOIN edges USING (no, shard)
+"""
+
+_CRC = (
+    "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(str_split(CAST(conv_id AS VARCHAR), ''), "
+    "lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), "
+    "lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+)
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k, id, words
+  FROM (
+    SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, {_COUNT.format("text")} AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+joined AS (
+  SELECT convs.conv_id, 0 AS part, k, id, words FROM convs JOIN turns ON turns.conv_id = base AND k <= h
+  UNION ALL
+  SELECT conv_id, 1, k, id, words FROM convs JOIN turns USING (conv_id) WHERE k > h
+),
+prefixes AS (
+  SELECT conv_id, count(*) OVER w AS depth, string_agg(id, '') OVER w AS prefix, words
+  FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+),
+lengths AS (SELECT conv_id, max(depth) AS length FROM prefixes GROUP BY conv_id),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+  FROM prefixes JOIN lengths USING (conv_id) GROUP BY prefix, depth
+),
+children AS (SELECT substr(prefix, 1, 32 * (depth - 1)) AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+above AS (
+  SELECT substr(prefix, 1, 32 * up) AS prefix, sum(saved) AS saved, count(*) FILTER (WHERE n IS NULL) AS n_leaves
+  FROM (SELECT prefix, saved, n, unnest(range(0, depth + 1)) AS up FROM nodes LEFT JOIN children USING (prefix)) GROUP BY 1
+)
+SELECT nodes.conv_id, nodes.depth, parents.conv_id AS parent_conv_id, nodes.n_convs, coalesce(children.n, 0) AS n_children,
+  above.n_leaves, CAST(above.saved AS BIGINT) AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN above ON above.prefix = nodes.prefix LEFT JOIN children ON children.prefix = nodes.prefix
+LEFT JOIN nodes AS parents ON nodes.depth > 0 AND parents.prefix = substr(nodes.prefix, 1, 32 * (nodes.depth - 1))
+"""
+
+
+def _clusters(rounds: int) -> str:
+    square = "list_sum(list_transform(list_zip(kept.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""
+assigned{i} AS MATERIALIZED (
+  SELECT kept.r, kept.vec_id, kept.v, c.c, CAST({square} AS BIGINT) AS distance
+  FROM kept, centroids{i} AS c QUALIFY row_number() OVER (PARTITION BY kept.r ORDER BY distance, c.c) = 1
+),
+sums{i} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM assigned{i}) GROUP BY c, i
+),
+centroids{i + 1} AS MATERIALIZED (
+  SELECT old.c, coalesce(new.v, old.v) AS v FROM centroids{i} AS old LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM sums{i} GROUP BY c
+  ) AS new USING (c)
+),""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+),
+centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < 16
+),{"".join(parts)}
+inertia AS (SELECT c, CAST(sum(distance) AS BIGINT) AS s FROM assigned{rounds} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, distance, s AS cluster_inertia, CAST((SELECT sum(s) FROM inertia) AS BIGINT) AS inertia,
+  sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM assigned{rounds} AS a JOIN inertia USING (c) JOIN centroids{rounds} AS f USING (c)
+"""
+
+
+CLUSTERS = _clusters(3)

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from annalog.llm import (
     bpe,
+    clusters,
     decontamination,
     language,
+    mixing,
     neighbours,
     oracles,
     paragraphs,
     pii,
+    prefix_trie,
     simhash,
     token_counts,
     toxicity,
@@ -74,6 +77,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_paragraphs": op2_paragraphs,
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_mixing": op11_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_clusters": op13_clusters,
 }
 
 # Fingerprints, learned scores, token ids and searches by index are not SQL; tests/llm holds
@@ -93,4 +112,7 @@ ORACLES: dict[str, str] = {
     "op1_decontamination": oracles.DECONTAMINATION,
     "op3_url_filters": oracles.URL_FILTERS,
     "op10_pii": oracles.PII,
+    "op11_mixing": oracles.MIXING,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_clusters": oracles.CLUSTERS,
 }
