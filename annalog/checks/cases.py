@@ -912,8 +912,8 @@ def log_append(spark, sf_dir):
     """The log stored in two overlapping batches, then read back."""
     path = run_dir(spark, "log")
     events = fx.unversioned(spark, sf_dir).select(*COLS)
-    append_batch(events.filter("occurred_at < '2024-01-16'"), path, 0)
-    append_batch(events.filter("occurred_at >= '2024-01-10'"), path, 1)
+    append_batch(events.filter("occurred_at < '2024-01-16'"), path, 0, writer="loader")
+    append_batch(events.filter("occurred_at >= '2024-01-10'"), path, 1, writer="loader")
     heads = read_heads(spark, path).withColumnRenamed("version", "head")
     return (
         read_log(spark, path)
@@ -977,7 +977,7 @@ def stream_log_projection(spark, sf_dir):
     paths = ProjectionPaths(f"{home}/index", f"{home}/dlq", f"{home}/quarantine")
     events = fx.unversioned(spark, sf_dir).select(*COLS)
     for batch_id, part in enumerate((events.filter("occurred_at < '2024-01-16'"), events)):
-        append_batch(part, f"{home}/log", batch_id)
+        append_batch(part, f"{home}/log", batch_id, writer="loader")
         drain(run_log_projection(spark, f"{home}/log", paths, f"{home}/checkpoint"))
     return read_projection(spark, paths.projection).select("id", "stream_id", "version")
 
@@ -1016,10 +1016,10 @@ def replay_retry(spark, sf_dir):
     """The same replay before and after other batches, under other numbers, adds nothing."""
     path = run_dir(spark, "retry")
     events = fx.unversioned(spark, sf_dir).select(*COLS)
-    append_batch(events.filter("occurred_at < '2024-01-16'"), path, 0)
+    append_batch(events.filter("occurred_at < '2024-01-16'"), path, 0, writer="loader")
     for batch_id in (1, 2):
         jobs.run_replay(spark, path, _request(False), batch_id)
-    append_batch(events, path, 1)
+    append_batch(events, path, 1, writer="loader")
     jobs.run_replay(spark, path, _request(False), 9)
     return _sources(read_log(spark, path))
 
@@ -1029,7 +1029,7 @@ SELECT id, version FROM canonical WHERE tenant_id = 'tenant-1' AND occurred_at B
 def stored_timeline(spark, sf_dir):
     """A window of the stored log, read in another zone than it was written in."""
     path = run_dir(spark, "zones")
-    append_batch(fx.unversioned(spark, sf_dir).select(*COLS), path, 0)
+    append_batch(fx.unversioned(spark, sf_dir).select(*COLS), path, 0, writer="loader")
     low, high = (F.lit(f"{t}+00:00").cast("timestamp") for t in ("2024-01-10 05:00:00", "2024-01-12 20:00:00"))
     log = read_log(spark, path, layout=True).filter(F.col("tenant_id") == TENANT)
     try:

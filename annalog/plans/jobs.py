@@ -20,8 +20,8 @@ from annalog.operators.replay import (
 )
 from annalog.schema import COLS, REQUEST_MAX_BYTES, REQUEST_PREVIEW_CHARS
 from annalog.session import cut_lineage
-from annalog.sources.commits import claim
-from annalog.sources.log import append_batch, commit, read_heads, read_log
+from annalog.sources.batches import content, find, next_batch, record
+from annalog.sources.log import LOG_SCHEMA, append_batch, commit, read_heads, read_log
 from annalog.sources.messages import to_messages
 from annalog.sources.requests import decode_requests, position_lines, read_request_lines
 
@@ -56,15 +56,17 @@ def import_lines(
     rejected_path: str,
     tenant: str,
     batch_id: int,
+    *,
+    writer: str,
     now: dt.datetime | None = None,
-    writer: str = "import",
     max_bytes: int = REQUEST_MAX_BYTES,
 ) -> None:
     """Append a frame of (value, file) request lines, e.g. a streaming micro-batch."""
     now = now or dt.datetime.now(dt.timezone.utc)
     valid, rejected = judge_requests(position_lines(lines), tenant, now, max_bytes)
-    append_batch(valid, log_path, batch_id, stored=True, writer=writer)
-    rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
+    number = append_batch(valid, log_path, batch_id, stored=True, writer=writer)
+    # By the log's number, which no other writer gets.
+    rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={number}")
 
 
 def import_requests(
@@ -74,13 +76,16 @@ def import_requests(
     rejected_path: str,
     tenant: str,
     batch_id: int,
+    *,
+    writer: str,
     now: dt.datetime | None = None,
     max_bytes: int = REQUEST_MAX_BYTES,
 ) -> None:
     """Import files of request bodies into the log. Running it again with the same
-    batch id, or the same files under a later one, adds nothing twice."""
+    batch id, or the same files under a later one, adds nothing twice; other files under a
+    writer's number raise `BatchConflict`."""
     lines = read_request_lines(spark, source)
-    import_lines(lines, log_path, rejected_path, tenant, batch_id, now, max_bytes=max_bytes)
+    import_lines(lines, log_path, rejected_path, tenant, batch_id, writer=writer, now=now, max_bytes=max_bytes)
 
 
 def execute(log: DataFrame, request: ReplayRequest, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -118,16 +123,21 @@ def run_replay(
     """Replay into the log as one batch (all rows or none), then publish what was stored.
 
     A replay_id is one batch of the log, whatever `batch_id` it is run under: run again,
-    it replaces what it left, or, once other batches follow, answers with what it stored.
+    it answers with what it stored.
     """
     if request.dry_run:
         return execute(read_log(spark, log_path), request)[0]
     request.check()
-    number, todo = claim(spark, log_path, f"replay {request.replay_id}", 0, batch_id)
-    if todo:
-        log = read_log(spark, log_path, without=number)
-        _, events = execute(log, request, read_heads(spark, log_path, without=number))
+    writer = f"replay {request.replay_id}"
+    known = find(spark, log_path, writer, 0)
+    if known is None:
+        number = next_batch(spark, log_path, batch_id)
+        _, events = execute(read_log(spark, log_path), request, read_heads(spark, log_path))
         commit(events, log_path, number)
+        written = spark.read.schema(LOG_SCHEMA).parquet(f"{log_path}/batch_id={number}")
+        record(spark, log_path, writer, 0, number, *content(written))
+    else:
+        number = known[0]
     stored = read_log(spark, log_path, layout=True).filter(F.col("batch_id") == number).select(*COLS)
     summary = replay_summary(request.replay_id, False, stored, stored)  # each match made one row
     if messages_path:

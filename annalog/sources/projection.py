@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalog.schema import COLS, EVENT_SCHEMA
-from annalog.sources.log import exists
+from annalog.sources.batches import table_or_none
 
 DELIVERY_SCHEMA = T.StructType(
     [
@@ -47,9 +47,9 @@ def read_projection(
     An event never changes its tenant or stream, so these two filters apply before
     the copies are merged and reach the scan; any other filter belongs after.
     """
-    if not exists(spark, path):
+    log = table_or_none(spark, path, DELIVERY_SCHEMA)
+    if log is None:
         return spark.createDataFrame([], EVENT_SCHEMA)
-    log = spark.read.schema(DELIVERY_SCHEMA).parquet(path)
     if tenant is not None:
         log = log.filter(F.col("tenant_id") == tenant)
     if stream_id is not None:

@@ -19,7 +19,7 @@ from annalog.functions.envelope import indexable
 from annalog.plans.jobs import import_lines
 from annalog.schema import REQUEST_MAX_BYTES
 from annalog.sources.dlq import to_dlq
-from annalog.sources.commits import prepare
+from annalog.sources.batches import BATCH_SCHEMA, prepare
 from annalog.sources.log import read_log
 from annalog.sources.messages import (
     events_of,
@@ -106,13 +106,13 @@ def run_projection(
 
 
 def stream_commits(spark: SparkSession, log_path: str, max_batches: int = 100) -> DataFrame:
-    """Commit records of a log, as a stream: whole batches, none before it is committed."""
-    return spark.readStream.option("maxFilesPerTrigger", max_batches).text(prepare(spark, log_path))
+    """The batch table of a log, as a stream: whole batches, none before it counts."""
+    return spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", max_batches).parquet(prepare(spark, log_path))
 
 
 def committed_events(records: DataFrame, log_path: str) -> DataFrame:
     """The events of the batches in a micro-batch of commit records."""
-    numbers = [int(r.value) for r in records.select("value").collect()]  # `max_batches` at most
+    numbers = [r.batch_id for r in records.select("batch_id").collect()]  # `max_batches` at most
     log = read_log(records.sparkSession, log_path, layout=True)
     return log.filter(F.col("batch_id").isin(*numbers) if numbers else F.lit(False))
 

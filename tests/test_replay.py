@@ -123,7 +123,7 @@ def test_active_replay_keeps_the_original_and_its_lineage(log_of):
 
 def test_replay_job_is_atomic_and_repeatable(spark, log_of, tmp_path):
     log_path, bus = str(tmp_path / "log"), str(tmp_path / "bus")
-    append_batch(log_of([event(i, stream_id=f"order:{i % 2}") for i in range(10)]), log_path, 0)
+    append_batch(log_of([event(i, stream_id=f"order:{i % 2}") for i in range(10)]), log_path, 0, writer="loader")
     wanted = request(filter=ReplayFilter(tenant_id="tenant-a", stream_id="order:1"))
     for _ in range(2):
         summary = run_replay(spark, log_path, wanted, 1, bus, {"order": "events.order.v1"})
@@ -148,10 +148,10 @@ def test_hourly_plan(log_of):
 
 def test_replays_and_appends_take_turns(spark, log_of, tmp_path):
     path = str(tmp_path / "log")
-    append_batch(log_of([event(i, stream_id="s") for i in range(3)]), path, 0)
+    append_batch(log_of([event(i, stream_id="s") for i in range(3)]), path, 0, writer="loader")
     wanted = request(filter=ReplayFilter(tenant_id="tenant-a", stream_id="s", exclude_replays=True))
     run_replay(spark, path, wanted, 1000)  # far ahead of the append's own numbers
-    append_batch(log_of([event(i, stream_id="s") for i in range(10, 13)]), path, 1)
+    append_batch(log_of([event(i, stream_id="s") for i in range(10, 13)]), path, 1, writer="loader")
     assert sorted(r.version for r in read_log(spark, path).collect()) == list(range(1, 10))
     again = run_replay(spark, path, wanted, 2)  # the same replay_id adds nothing
     assert again.first().replayed_count == 3

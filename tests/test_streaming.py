@@ -108,14 +108,14 @@ def test_ingest_stream(spark, tmp_path):
 
 def test_fan_out_from_the_log(spark, log_of, tmp_path, paths):
     log_path, bus = str(tmp_path / "log"), str(tmp_path / "bus")
-    append_batch(log_of([event(i, payload="7" if i == 4 else "{}") for i in range(8)]), log_path, 0)
+    append_batch(log_of([event(i, payload="7" if i == 4 else "{}") for i in range(8)]), log_path, 0, writer="loader")
     for _ in range(2):
         run_publish(spark, log_path, bus, str(tmp_path / "cp1"), {"order": "events.order.v1"}, "events.v1").awaitTermination(60)
         run_log_projection(spark, log_path, paths, str(tmp_path / "cp2")).awaitTermination(60)
     assert spark.read.parquet(bus).count() == 8
     assert read_projection(spark, paths.projection).count() == 7
     assert [r.event.id for r in spark.read.parquet(paths.dlq).collect()] == [uid(4)]
-    append_batch(log_of([event(20)]), log_path, 1)
+    append_batch(log_of([event(20)]), log_path, 1, writer="loader")
     run_log_projection(spark, log_path, paths, str(tmp_path / "cp2")).awaitTermination(60)
     assert read_projection(spark, paths.projection).count() == 8
 
