@@ -18,7 +18,7 @@ from annalog.functions.trace import (
     resolve_trace,
     span_of,
 )
-from annalog.operators import audit, audit_queries as q, causation, ingest, paging, replay
+from annalog.operators import audit, audit_queries as q, causation, ingest, paging, reconcile, replay, runs
 from annalog.operators import request_tables as rt
 from annalog.operators.append import append_result
 from annalog.plans import jobs
@@ -759,6 +759,36 @@ def replay_read_all(spark, sf_dir):
     return rows.join(broken, "stream_id", "left_anti").select("stream_id", "version", "id")
 
 
+@case("""
+SELECT request_id, coalesce(refused, CASE WHEN gap IS NOT NULL THEN 'version_gap' END) AS reject_reason,
+  gap['p'] AS previous_version, gap['p'] + 1 AS missing_version, gap['f'] AS found_version
+FROM requests LEFT JOIN broken USING (request_id)""", fx.RANGES)
+def range_read_verdicts(spark, sf_dir):
+    """Six range reads for every stream, all rejects named with their first gap."""
+    return runs.read_ranges(fx.with_gaps(spark, sf_dir), fx.range_requests(spark, sf_dir), width=4)[0]
+
+
+@case("""
+SELECT request_id, id, version FROM found WHERE request_id NOT IN (SELECT request_id FROM broken)""", fx.RANGES)
+def range_read_rows(spark, sf_dir):
+    """The rows of the range reads that are contiguous."""
+    rows = runs.read_ranges(fx.with_gaps(spark, sf_dir), fx.range_requests(spark, sf_dir))[1]
+    return rows.select("request_id", "id", "version")
+
+
+@case("""
+SELECT tenant_id, stream_id, min(version) AS first, max(version) AS last FROM (
+  SELECT *, sum(CASE WHEN version = previous + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY tenant_id, stream_id ORDER BY version, n) AS run
+  FROM (
+    SELECT *, lag(version) OVER (PARTITION BY tenant_id, stream_id ORDER BY version, n) AS previous
+    FROM (SELECT tenant_id, stream_id, version, row_number() OVER (PARTITION BY tenant_id, stream_id, version) AS n FROM gapped)
+  )
+) GROUP BY tenant_id, stream_id, run""", fx.GAPPED)
+def version_runs(spark, sf_dir):
+    """The runs of every stream; ranges of 3 versions, so that most runs cross borders."""
+    return runs.version_runs(fx.with_gaps(spark, sf_dir), width=3)
+
+
 @case("""
 SELECT r.tenant_id, r.id, r.stream_id, r.version, r.replay_id, r.replay_source_event_id
 FROM whole r WHERE r.is_replay AND NOT EXISTS (
@@ -850,6 +880,27 @@ def index_missing(spark, sf_dir):
     return audit.index_missing(fx.unversioned(spark, sf_dir), fx.projection(spark, sf_dir), TENANT, low, limit=100)
 
 
+@case("""
+SELECT CASE WHEN event_id % 97 = 0 THEN 'missing' ELSE 'extra' END AS side, tenant_id, id, stream_id, type, occurred_at
+FROM base WHERE (event_id % 97 = 0) <> (event_id % 193 = 5)""")
+def reconcile_by_digest(spark, sf_dir):
+    """What log and read model lack of each other, found by digests of hours."""
+    log = fx.unversioned(spark, sf_dir).filter("event_id % 193 <> 5")
+    return reconcile.reconcile(log, fx.projection(spark, sf_dir))
+
+
+@case("""
+SELECT tenant_id, CAST(floor(epoch(occurred_at) / 3600) AS BIGINT) AS hour FROM base
+GROUP BY 1, 2 HAVING count(*) FILTER (WHERE event_id % 97 = 0) > 0""")
+def differing_hours(spark, sf_dir):
+    """The hours whose digests differ, the log's merged from those of two batches."""
+    log = fx.unversioned(spark, sf_dir)
+    parts = [reconcile.hour_digests(log.filter(f"event_id % 2 = {i}")) for i in (0, 1)]
+    return reconcile.differing_hours(
+        reconcile.merge_digests(parts[0].union(parts[1])), reconcile.hour_digests(fx.projection(spark, sf_dir))
+    )
+
+
 @case("""
 SELECT 'tenant-1' AS tenant_id, replay_id, count(*) AS replayed_count, count(DISTINCT replay_source_event_id) AS source_count,
   count(*) = count(DISTINCT replay_source_event_id) AS one_per_source

@@ -259,6 +259,51 @@ gapped AS (
 )
 
 
+def range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six range reads for every stream of a tenant: all of it, versions 2 to 6, from 3 on, a
+    span of days, and two that no one can answer."""
+    streams = with_gaps(spark, sf_dir).select("tenant_id", "stream_id").distinct()
+    days = ("2024-01-05 00:00:00", "2024-01-20 12:00:00")
+    kinds = [
+        ("all", 0, 0, None, None, True), ("middle", 2, 6, None, None, True), ("tail", 3, 0, None, None, True),
+        ("days", 0, 0, *days, True), ("below", -1, 4, None, None, True), ("nameless", 0, 0, None, None, False),
+    ]
+    types = {"kind": "string", "from_version": "long", "to_version": "long", "from_time": "timestamp", "to_time": "timestamp", "named": "boolean"}
+    asked = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(k, types.items(), strict=True)]) for k in kinds])
+    rows = streams.select("*", F.inline(asked))
+    request_id = F.concat_ws("/", "tenant_id", "stream_id", "kind")
+    return rows.select(
+        request_id.alias("request_id"), "tenant_id", F.when(F.col("named"), F.col("stream_id")).otherwise("").alias("stream_id"),
+        "from_version", "to_version", "from_time", "to_time",
+    )
+
+
+RANGES = (
+    GAPPED
+    + """,
+kinds(kind, from_version, to_version, from_time, to_time, named) AS (VALUES
+  ('all', 0, 0, CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), true), ('middle', 2, 6, NULL, NULL, true), ('tail', 3, 0, NULL, NULL, true),
+  ('days', 0, 0, TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-20 12:00:00', true),
+  ('below', -1, 4, NULL, NULL, true), ('nameless', 0, 0, NULL, NULL, false)
+),
+requests AS (
+  SELECT tenant_id || '/' || stream_id || '/' || kind AS request_id, tenant_id, CASE WHEN named THEN stream_id ELSE '' END AS stream_id,
+    from_version, to_version, from_time, to_time, CASE WHEN NOT named THEN 'stream_missing' WHEN from_version < 0 THEN 'version_negative' END AS refused
+  FROM (SELECT DISTINCT tenant_id, stream_id FROM gapped), kinds
+),
+found AS (
+  SELECT request_id, g.id, g.version, lag(g.version) OVER (PARTITION BY request_id ORDER BY g.version) AS previous
+  FROM requests r JOIN gapped g ON g.tenant_id = r.tenant_id AND g.stream_id = r.stream_id AND g.version >= from_version
+    AND (to_version = 0 OR g.version <= to_version) AND (from_time IS NULL OR g.occurred_at >= from_time)
+    AND (to_time IS NULL OR g.occurred_at <= to_time)
+  WHERE refused IS NULL
+),
+broken AS (
+  SELECT request_id, min({'p': previous, 'f': version}) AS gap FROM found WHERE version <> previous + 1 GROUP BY request_id
+)"""
+)
+
+
 def service_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of two services for every third correlation, one per event."""
     return raw_events(spark, sf_dir).filter("event_id div 5 % 3 = 0").selectExpr(
