@@ -403,11 +403,11 @@ asked AS (
 ),
 judged AS (
   SELECT *, CASE
-    WHEN bad_from THEN 'from_time must be an ISO-8601 timestamp (e.g. 2026-04-21T10:00:00Z)'
-    WHEN caller_tenant = '' THEN 'unauthenticated: identity with tenant_id is required'
-    WHEN NOT dry_run AND replay_reason = '' THEN 'replay_reason is required for active replays'
-    WHEN asked_tenant = '' AND NOT has_ids THEN 'replay filter must specify tenant_id or event_ids'
-    WHEN asked_tenant <> '' AND asked_tenant <> caller_tenant THEN 'replay filter tenant_id does not match authenticated tenant'
+    WHEN bad_from THEN 'from_time_bad'
+    WHEN caller_tenant = '' THEN 'tenant_missing'
+    WHEN NOT dry_run AND replay_reason = '' THEN 'reason_missing'
+    WHEN asked_tenant = '' AND NOT has_ids THEN 'scope_missing'
+    WHEN asked_tenant <> '' AND asked_tenant <> caller_tenant THEN 'tenant_mismatch'
     END AS reject_reason
   FROM asked
 ),

@@ -20,8 +20,11 @@ from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
 from annalog.schema import (
     CONSISTENCY_EVENTUAL,
     CONSISTENCY_STRONG,
+    EVENT_ID_MISSING,
     READ_MODEL_LOG,
     READ_MODEL_PROJECTION,
+    STREAM_MISSING,
+    TENANT_MISSING,
 )
 
 Page = tuple[DataFrame, DataFrame]
@@ -42,7 +45,7 @@ def _newest_digits() -> list[Column]:
 
 def _of_tenant(df: DataFrame, tenant: str) -> DataFrame:
     if not tenant:
-        raise ValueError("unauthenticated: identity with tenant_id is required")
+        raise ValueError(TENANT_MISSING)
     return df.filter(F.col("tenant_id") == tenant)
 
 
@@ -71,7 +74,7 @@ def stream(
 
 def stream_page(df: DataFrame, tenant: str, stream_id: str, limit=None, offset=None) -> Page:
     if not stream_id:
-        raise ValueError("stream_id is required")
+        raise ValueError(STREAM_MISSING)
     rows = _of_tenant(df, tenant).filter(F.col("stream_id") == stream_id)
     order = [F.col("version").asc(), F.col("id").asc()]
     return page(rows, order, limit, offset, digits=[version_digit(F.col("version"))])
@@ -89,7 +92,7 @@ def by_correlation(df: DataFrame, tenant: str, correlation_id: str, limit=None,
 def effects(df: DataFrame, tenant: str, cause: str, limit=None, offset=None) -> Page:
     """Direct effects of one event."""
     if not cause:
-        raise ValueError("event_id is required")
+        raise ValueError(EVENT_ID_MISSING)
     rows = _of_tenant(df, tenant).filter(F.col("causation_id") == cause)
     return page(rows, oldest_first(), limit, offset, digits=event_digits())
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annalog.functions.envelope import stable_uuid
 from annalog.functions.trace import blank_to_null, coalesce_id, resolve_trace
-from annalog.schema import ABSENT_PAYLOAD, COLS, EVENT_SCHEMA
+from annalog.schema import ABSENT_PAYLOAD, COLS, EVENT_SCHEMA, FIELDS_MISSING, TENANT_MISSING
 
 REQUIRED = ("stream_id", "type", "source")
 
@@ -21,8 +21,8 @@ def reject_reason() -> Column:
     for name in REQUIRED:
         missing = missing | (F.coalesce(F.col(name), F.lit("")) == "")
     return F.when(
-        missing_tenant, F.lit("unauthenticated: identity with tenant_id is required")
-    ).when(missing, F.lit("stream_id, type, and source are required"))
+        missing_tenant, F.lit(TENANT_MISSING)
+    ).when(missing, F.lit(FIELDS_MISSING))
 
 
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,19 @@ from annalog.operators.audit import gaps
 from annalog.operators.audit_queries import in_window
 from annalog.operators.numbering import event_digits
 from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
-from annalog.schema import COLS, REPLAY_LIMIT_DEFAULT, REPLAY_METADATA_KEYS
+from annalog.schema import (
+    COLS,
+    LIMIT_EXCEEDED,
+    REASON_MISSING,
+    REPLAY_LIMIT_DEFAULT,
+    REPLAY_METADATA_KEYS,
+    SCOPE_MISSING,
+    STREAM_MISSING,
+    TENANT_MISMATCH,
+    TENANT_MISSING,
+    VERSION_GAP,
+    VERSION_NEGATIVE,
+)
 
 IDS_INLINE = 100
 PROBE_ROWS = 100_000
@@ -63,13 +75,13 @@ class ReplayRequest:
 
     def check(self) -> None:
         if not self.caller_tenant:
-            raise ValueError("unauthenticated: identity with tenant_id is required")
+            raise ValueError(TENANT_MISSING)
         if not self.dry_run and not self.replay_reason:
-            raise ValueError("replay_reason is required for active replays")
+            raise ValueError(REASON_MISSING)
         if not self.filter.tenant_id and not self.filter.has_ids():
-            raise ValueError("replay filter must specify tenant_id or event_ids")
+            raise ValueError(SCOPE_MISSING)
         if self.filter.tenant_id and self.filter.tenant_id != self.caller_tenant:
-            raise ValueError("replay filter tenant_id does not match authenticated tenant")
+            raise ValueError(TENANT_MISMATCH)
 
 
 def match(df: DataFrame, wanted: ReplayFilter) -> DataFrame:
@@ -87,7 +99,7 @@ def match(df: DataFrame, wanted: ReplayFilter) -> DataFrame:
         listed = df.sparkSession.createDataFrame([(i,) for i in set(ids)], "id string")
         return df.join(listed, "id", "left_semi")
     if not wanted.tenant_id:
-        raise ValueError("replay filter: tenant_id is required when event_ids is not specified")
+        raise ValueError(SCOPE_MISSING)
     given = {
         "tenant_id": wanted.tenant_id,
         "stream_id": wanted.stream_id,
@@ -114,7 +126,7 @@ def check_limit(df: DataFrame, limit: int) -> int:
     seen = df.limit(limit + 1).count() if limit <= PROBE_ROWS else df.count()
     if seen > limit:
         raise ReplayLimitExceeded(
-            f"replay filter matched more events than the safety limit: at least {seen} (limit {limit})"
+            f"{LIMIT_EXCEEDED}: {seen} or more events, {limit} allowed"
         )
     return seen
 
@@ -134,11 +146,11 @@ def replay_read(
     not contiguous.
     """
     if not tenant:
-        raise ValueError("unauthenticated: identity with tenant_id is required")
+        raise ValueError(TENANT_MISSING)
     if not stream_id:
-        raise ValueError("stream_id is required")
+        raise ValueError(STREAM_MISSING)
     if from_version < 0:
-        raise ValueError("from_version must be >= 0")
+        raise ValueError(VERSION_NEGATIVE)
     rows = df.filter((F.col("tenant_id") == tenant) & (F.col("stream_id") == stream_id))
     rows = rows.filter(F.col("version") >= from_version)
     if to_version:
@@ -148,8 +160,7 @@ def replay_read(
     if first:
         g = first[0]
         raise VersionGap(
-            f'version gap in stream "{g.stream_id}": missing version {g.missing_version} '
-            f"(found {g.found_version} after {g.previous_version})"
+            f"{VERSION_GAP}: {g.stream_id} goes from {g.previous_version} to {g.found_version}, {g.missing_version} is missing"
         )
     return rows.orderBy("version")
 

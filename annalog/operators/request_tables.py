@@ -24,7 +24,18 @@ from annalog.operators.numbering import (
     text_digit,
 )
 from annalog.operators.skew import MAX_ROWS_PER_TASK
-from annalog.schema import PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX, REPLAY_LIMIT_DEFAULT
+from annalog.schema import (
+    FROM_TIME_BAD,
+    LIMIT_EXCEEDED,
+    PAGE_LIMIT_DEFAULT,
+    PAGE_LIMIT_MAX,
+    REASON_MISSING,
+    REPLAY_LIMIT_DEFAULT,
+    SCOPE_MISSING,
+    TENANT_MISMATCH,
+    TENANT_MISSING,
+    TO_TIME_BAD,
+)
 
 OPTIONAL_FIELDS = ("stream_id", "correlation_id", "event_type", "actor_id")
 
@@ -38,12 +49,9 @@ def parse_bounds(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     def bad(name: str) -> Column:
         return blank_to_null(F.col(name)).isNotNull() & F.col(f"{name[:-5]}_at").isNull()
 
-    message = " must be an ISO-8601 timestamp (e.g. 2026-04-21T10:00:00Z)"
     judged = requests.withColumns({"from_at": bound("from_time"), "to_at": bound("to_time")}).withColumn(
         "reject_reason",
-        F.when(bad("from_time"), F.lit("from_time" + message)).when(
-            bad("to_time"), F.lit("to_time" + message)
-        ),
+        F.when(bad("from_time"), F.lit(FROM_TIME_BAD)).when(bad("to_time"), F.lit(TO_TIME_BAD)),
     )
     return (
         judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
@@ -60,15 +68,15 @@ def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.coalesce(F.col(name), F.lit("")) == ""
 
     reason = (
-        F.when(empty("caller_tenant"), F.lit("unauthenticated: identity with tenant_id is required"))
+        F.when(empty("caller_tenant"), F.lit(TENANT_MISSING))
         .when(
             ~F.coalesce("dry_run", F.lit(False)) & empty("replay_reason"),
-            F.lit("replay_reason is required for active replays"),
+            F.lit(REASON_MISSING),
         )
-        .when(empty("tenant_id") & ~has_ids, F.lit("replay filter must specify tenant_id or event_ids"))
+        .when(empty("tenant_id") & ~has_ids, F.lit(SCOPE_MISSING))
         .when(
             ~empty("tenant_id") & (F.col("tenant_id") != F.col("caller_tenant")),
-            F.lit("replay filter tenant_id does not match authenticated tenant"),
+            F.lit(TENANT_MISMATCH),
         )
     )
     judged = parsed.withColumn("reject_reason", reason)
@@ -199,7 +207,7 @@ def match_requests(
     """Replay matching for a table of accepted requests (`validate_requests`).
 
     Returns (request_id, tenant_id, matched_count, status) with status 'ok' or
-    'limit exceeded', and (request_id, tenant_id, id) for the requests that are ok.
+    'limit_exceeded', and (request_id, tenant_id, id) for the requests that are ok.
 
     Requests with ids join by id. Every other request gets a scope: which optional
     fields it gives (16 combinations at most) and their values. Events are taken
@@ -242,7 +250,7 @@ def match_requests(
         "request_id",
         "tenant_id",
         F.col("total").alias("matched_count"),
-        F.when(F.col("total") > F.col("safety_limit"), F.lit("limit exceeded"))
+        F.when(F.col("total") > F.col("safety_limit"), F.lit(LIMIT_EXCEEDED))
         .otherwise(F.lit("ok"))
         .alias("status"),
     )

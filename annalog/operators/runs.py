@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalog.operators.numbering import version_digit
+from annalog.schema import STREAM_MISSING, TENANT_MISSING, VERSION_GAP, VERSION_NEGATIVE
 
 STREAM = ("tenant_id", "stream_id")
 WIDTH = 100_000  # versions that are looked at together
-NO_TENANT, NO_STREAM, BAD_VERSION, GAP = "tenant_missing", "stream_missing", "version_negative", "version_gap"
 
 
 def version_runs(events: DataFrame, keys: Sequence[str] = STREAM, width: int = WIDTH) -> DataFrame:
@@ -63,9 +63,9 @@ def _first_gap(found: DataFrame) -> DataFrame:
 def reject_code() -> Column:
     """Why a request is not read at all, null if it is."""
     return (
-        F.when(F.coalesce("tenant_id", F.lit("")) == "", NO_TENANT)
-        .when(F.coalesce("stream_id", F.lit("")) == "", NO_STREAM)
-        .when((F.coalesce("from_version", F.lit(0)) < 0) | (F.coalesce("to_version", F.lit(0)) < 0), BAD_VERSION)
+        F.when(F.coalesce("tenant_id", F.lit("")) == "", TENANT_MISSING)
+        .when(F.coalesce("stream_id", F.lit("")) == "", STREAM_MISSING)
+        .when((F.coalesce("from_version", F.lit(0)) < 0) | (F.coalesce("to_version", F.lit(0)) < 0), VERSION_NEGATIVE)
     )
 
 
@@ -112,7 +112,7 @@ def read_ranges(
     gaps = _first_gap(clipped.unionByName(found))
     verdicts = opened.join(gaps, "request_id", "left").select(
         "request_id",
-        F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason")).when(F.col("found_version").isNotNull(), GAP).alias("reject_reason"),
+        F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason")).when(F.col("found_version").isNotNull(), VERSION_GAP).alias("reject_reason"),
         "previous_version",
         "missing_version",
         "found_version",

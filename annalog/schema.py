@@ -122,3 +122,18 @@ REPLAY_REQUEST_SCHEMA = T.StructType(
         T.StructField("safety_limit", T.IntegerType()),
     ]
 )
+
+# Why a request, an event or a line is refused: codes of this library, the same in errors,
+# in `reject_reason` columns and in the status of request tables.
+TENANT_MISSING = "tenant_missing"
+TENANT_MISMATCH = "tenant_mismatch"
+STREAM_MISSING = "stream_missing"
+EVENT_ID_MISSING = "event_id_missing"
+FIELDS_MISSING = "fields_missing"
+REASON_MISSING = "reason_missing"
+SCOPE_MISSING = "scope_missing"
+FROM_TIME_BAD = "from_time_bad"
+TO_TIME_BAD = "to_time_bad"
+VERSION_NEGATIVE = "version_negative"
+VERSION_GAP = "version_gap"
+LIMIT_EXCEEDED = "limit_exceeded"

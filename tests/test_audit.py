@@ -109,14 +109,14 @@ def test_logs_in_both_spellings(spark, log_of, tmp_path, limit):
 
 
 def test_topic_routing(spark):
-    routes = {"order": "events.order.v1", "user": "events.user.v1"}
-    expected = {"order:1": "events.order.v1", "user:4:2": "events.user.v1", "payment:9": "f", "order": "f", ":order": "f", "": "f"}
+    routes = {"parcel": "events.parcel.v1", "user": "events.user.v1"}
+    expected = {"parcel:1": "events.parcel.v1", "user:4:2": "events.user.v1", "payment:9": "f", "parcel": "f", ":order": "f", "": "f"}
     df = spark.createDataFrame([(s,) for s in expected], "stream_id string")
     got = {r.stream_id: r.t for r in df.select("stream_id", topic_column(F.col("stream_id"), routes, "f").alias("t")).collect()}
     assert got == expected
     assert df.select(topic_column(F.col("stream_id"), {}, "f").alias("t")).distinct().count() == 1
     table = spark.createDataFrame(
-        [("order", "old", 0), ("order", "events.order.v1", 1), ("user", "events.user.v1", 2)], "prefix string, topic string, position int"
+        [("parcel", "old", 0), ("parcel", "events.parcel.v1", 1), ("user", "events.user.v1", 2)], "prefix string, topic string, position int"
     )
     assert {r.stream_id: r.topic for r in route_by_table(df, table, "f").collect()} == expected
 

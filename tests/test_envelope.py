@@ -84,18 +84,18 @@ def test_times(spark):
 
 def test_messages_and_quarantine(spark, log_of):
     rows = [event(1, trace_id="a" * 32), event(2, correlation_id=""), event(3)]
-    sent = to_messages(log_of(rows), {"order": "events.order.v1"}, "events.v1").withColumns(
+    sent = to_messages(log_of(rows), {"parcel": "events.parcel.v1"}, "events.v1").withColumns(
         {"partition": F.lit(0), "offset": F.monotonically_increasing_id()}
     )
     heads = {tuple(h.key for h in r.headers) for r in sent.collect()}
     assert ("event_id", "event_type", "source", "traceparent", "correlation_id") in heads
     assert ("event_id", "event_type", "source") in heads
-    assert {r.topic for r in sent.collect()} == {"events.order.v1"}
+    assert {r.topic for r in sent.collect()} == {"events.parcel.v1"}
     broken = sent.withColumn("value", F.expr("substring(value, 1, 30)"))
     ok, bad = decode_messages(sent.unionByName(broken))
     assert ok.count() == 3 and bad.count() == 3
     first = bad.filter(F.col("trace_id").isNotNull()).first()
-    assert first.trace_id == "a" * 32 and first.correlation_id == "corr-1" and first.key == "order:1"
+    assert first.trace_id == "a" * 32 and first.correlation_id == "corr-1" and first.key == "parcel:1"
 
 
 def test_preview_is_cut_in_bytes(spark):

@@ -23,8 +23,8 @@ def test_required_fields_reject_the_row(spark):
     valid, rejected = validate(df)
     assert valid.count() == 1
     reasons = [r.reject_reason for r in rejected.collect()]
-    assert reasons.count("stream_id, type, and source are required") == 3
-    assert reasons.count("unauthenticated: identity with tenant_id is required") == 1
+    assert reasons.count("fields_missing") == 3
+    assert reasons.count("tenant_missing") == 1
 
 
 def test_defaults(spark):

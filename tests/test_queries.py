@@ -67,9 +67,9 @@ def test_by_id_hides_other_tenants(log_of):
 
 def test_stream_from_version(log_of):
     log = log_of([event(i, version=i) for i in range(1, 6)])
-    assert [r.version for r in q.stream(log, "order:1", "tenant-a", 3).collect()] == [3, 4, 5]
-    assert q.stream(log, "order:1", "tenant-a", 99).isEmpty()
-    assert q.stream(log, "order:1").count() == 5 and q.stream(log, "order:1", "tenant-b").isEmpty()
+    assert [r.version for r in q.stream(log, "parcel:1", "tenant-a", 3).collect()] == [3, 4, 5]
+    assert q.stream(log, "parcel:1", "tenant-a", 99).isEmpty()
+    assert q.stream(log, "parcel:1").count() == 5 and q.stream(log, "parcel:1", "tenant-b").isEmpty()
 
 
 def test_timeline_bounds_are_inclusive(log_of):

@@ -23,14 +23,14 @@ from conftest import at, event, uid
 def test_contiguous(log_of, versions):
     log = log_of([event(i, version=v) for i, v in enumerate(versions)])
     assert gaps(log).isEmpty() and gap_check(log).filter("not contiguous").isEmpty()
-    assert [r.version for r in replay_read(log, "tenant-a", "order:1").collect()] == versions
+    assert [r.version for r in replay_read(log, "tenant-a", "parcel:1").collect()] == versions
 
 
-@pytest.mark.parametrize("versions, text", [([1, 2, 4], "missing version 3 (found 4 after 2)"), ([1, 1, 2], "missing version 2 (found 1 after 1)")])
+@pytest.mark.parametrize("versions, text", [([1, 2, 4], "goes from 2 to 4, 3 is missing"), ([1, 1, 2], "goes from 1 to 1, 2 is missing")])
 def test_gap_names_the_missing_version(log_of, versions, text):
     log = log_of([event(i, version=v) for i, v in enumerate(versions)])
     with pytest.raises(VersionGap) as caught:
-        replay_read(log, "tenant-a", "order:1")
+        replay_read(log, "tenant-a", "parcel:1")
     assert text in str(caught.value)
     assert gap_check(log).filter("not contiguous").count() == 1
 
@@ -45,29 +45,29 @@ def test_gaps_against_brute_force(log_of, width):
 
 def test_read_bounds(log_of):
     log = log_of([event(i, version=i) for i in range(1, 9)])
-    read = lambda **k: [r.version for r in replay_read(log, "tenant-a", "order:1", **k).collect()]
+    read = lambda **k: [r.version for r in replay_read(log, "tenant-a", "parcel:1", **k).collect()]
     assert read(from_version=3) == [3, 4, 5, 6, 7, 8] and read(from_version=99) == []
     assert read(from_version=2, to_version=4) == [2, 3, 4]
     assert read(from_time=at(5), to_time=at(6)) == [5, 6]
     for bad in (dict(stream_id=""), dict(from_version=-1), dict(tenant="")):
         with pytest.raises(ValueError):
-            replay_read(log, bad.get("tenant", "tenant-a"), bad.get("stream_id", "order:1"), bad.get("from_version", 0))
+            replay_read(log, bad.get("tenant", "tenant-a"), bad.get("stream_id", "parcel:1"), bad.get("from_version", 0))
 
 
 def test_filter_fields_and_ids(log_of):
     log = log_of(
-        [event(1), event(2, stream_id="order:2"), event(3, type="x", actor_id="u"), event(4, tenant_id="tenant-b")]
+        [event(1), event(2, stream_id="parcel:2"), event(3, type="x", actor_id="u"), event(4, tenant_id="tenant-b")]
     )
     found = lambda **k: sorted(r.id for r in match(log, ReplayFilter(**k)).collect())
     assert found(tenant_id="tenant-a") == [uid(1), uid(2), uid(3)]
-    assert found(tenant_id="tenant-a", stream_id="order:1", event_type="x", actor_id="u") == [uid(3)]
+    assert found(tenant_id="tenant-a", stream_id="parcel:1", event_type="x", actor_id="u") == [uid(3)]
     assert found(tenant_id="tenant-a", from_time=at(2), to_time=at(2)) == [uid(2)]
     assert found(event_ids=[uid(1), uid(4)]) == [uid(1), uid(4)]
     assert found(tenant_id="tenant-a", event_ids=[uid(1), uid(4)], stream_id="ignored") == [uid(1)]
     many = [uid(n) for n in range(1, 300)]
     assert found(tenant_id="tenant-a", event_ids=many) == [uid(1), uid(2), uid(3)]
     with pytest.raises(ValueError):
-        match(log, ReplayFilter(stream_id="order:1"))
+        match(log, ReplayFilter(stream_id="parcel:1"))
 
 
 def request(**given):
@@ -78,10 +78,10 @@ def request(**given):
 @pytest.mark.parametrize(
     "given, text",
     [
-        (dict(caller_tenant=""), "unauthenticated"),
-        (dict(replay_reason=""), "replay_reason is required"),
-        (dict(filter=ReplayFilter(stream_id="s")), "must specify tenant_id or event_ids"),
-        (dict(filter=ReplayFilter(tenant_id="tenant-b")), "does not match"),
+        (dict(caller_tenant=""), "tenant_missing"),
+        (dict(replay_reason=""), "reason_missing"),
+        (dict(filter=ReplayFilter(stream_id="s")), "scope_missing"),
+        (dict(filter=ReplayFilter(tenant_id="tenant-b")), "tenant_mismatch"),
     ],
 )
 def test_request_rules(log_of, given, text):
@@ -123,10 +123,10 @@ def test_active_replay_keeps_the_original_and_its_lineage(log_of):
 
 def test_replay_job_is_atomic_and_repeatable(spark, log_of, tmp_path):
     log_path, bus = str(tmp_path / "log"), str(tmp_path / "bus")
-    append_batch(log_of([event(i, stream_id=f"order:{i % 2}") for i in range(10)]), log_path, 0, writer="loader")
-    wanted = request(filter=ReplayFilter(tenant_id="tenant-a", stream_id="order:1"))
+    append_batch(log_of([event(i, stream_id=f"parcel:{i % 2}") for i in range(10)]), log_path, 0, writer="loader")
+    wanted = request(filter=ReplayFilter(tenant_id="tenant-a", stream_id="parcel:1"))
     for _ in range(2):
-        summary = run_replay(spark, log_path, wanted, 1, bus, {"order": "events.order.v1"})
+        summary = run_replay(spark, log_path, wanted, 1, bus, {"parcel": "events.parcel.v1"})
         assert summary.first().replayed_count == 5
     log = read_log(spark, log_path)
     assert log.count() == 15 and gap_check(log).filter("not contiguous").isEmpty()
@@ -134,7 +134,7 @@ def test_replay_job_is_atomic_and_repeatable(spark, log_of, tmp_path):
     check = replay_verify(log).first()
     assert check.replayed_count == 5 and check.one_per_source
     assert lineage_orphans(log).isEmpty()
-    again = request(filter=ReplayFilter(tenant_id="tenant-a", stream_id="order:1"), replay_id="rep2")
+    again = request(filter=ReplayFilter(tenant_id="tenant-a", stream_id="parcel:1"), replay_id="rep2")
     run_replay(spark, log_path, again, 2)
     assert read_log(spark, log_path).count() == 25  # replays of replays count, as by default
     rows = match(read_log(spark, log_path), ReplayFilter(tenant_id="tenant-a", exclude_replays=True))

@@ -83,5 +83,5 @@ def test_replay_requests_against_brute_force(spark, log_of, limit):
             )
         expected = {e["id"] for e in events if wanted(e)}
         over = len(expected) > (cap or 1000)
-        assert status[q] == (len(expected), "limit exceeded" if over else "ok")
+        assert status[q] == (len(expected), "limit_exceeded" if over else "ok")
         assert found.get(q, set()) == (set() if over else expected)

@@ -51,7 +51,7 @@ def test_projection_dlq_and_quarantine(spark, log_of, tmp_path, paths):
     assert [d.event.version for d in dead] == [3] and dead[0].reason == "payload is not an object"
     assert dead[0].correlation_id == "corr-3" and dead[0].failed_at is not None
     lost = spark.read.parquet(paths.quarantine).collect()
-    assert [(r.offset, r.key, r.correlation_id) for r in lost] == [(77, "order:1", "corr-8")]
+    assert [(r.offset, r.key, r.correlation_id) for r in lost] == [(77, "parcel:1", "corr-8")]
 
     deliver(log_of([event(5, version=5, event_version=7), event(6, version=6)]), bus, first_offset=200)
     drain()
@@ -82,7 +82,7 @@ def test_ingest_stream(spark, tmp_path):
     log_path, rejected, checkpoint = (str(tmp_path / n) for n in ("log", "rejected", "cp"))
 
     def body(n, **extra):
-        return json.dumps({"stream_id": f"order:{n % 3}", "type": "t", "source": "s", "payload": {"n": n}} | extra)
+        return json.dumps({"stream_id": f"parcel:{n % 3}", "type": "t", "source": "s", "payload": {"n": n}} | extra)
 
     (source / "a.jsonl").write_text("\n".join([body(i) for i in range(10)] + [body(0), "{broken", body(1, type="")]) + "\n")
 
@@ -97,7 +97,7 @@ def test_ingest_stream(spark, tmp_path):
     assert log.count() == 11 and log.select("id").distinct().count() == 11
     assert {r.tenant_id for r in log.select("tenant_id").distinct().collect()} == {"tenant-a"}
     assert sorted(r.reject_reason for r in spark.read.parquet(rejected).collect()) == [
-        "invalid request body", "stream_id, type, and source are required"
+        "invalid request body", "fields_missing"
     ]
     (source / "b.jsonl").write_text("\n".join(body(i) for i in range(10)) + "\n")
     drain()
@@ -110,7 +110,7 @@ def test_fan_out_from_the_log(spark, log_of, tmp_path, paths):
     log_path, bus = str(tmp_path / "log"), str(tmp_path / "bus")
     append_batch(log_of([event(i, payload="7" if i == 4 else "{}") for i in range(8)]), log_path, 0, writer="loader")
     for _ in range(2):
-        run_publish(spark, log_path, bus, str(tmp_path / "cp1"), {"order": "events.order.v1"}, "events.v1").awaitTermination(60)
+        run_publish(spark, log_path, bus, str(tmp_path / "cp1"), {"parcel": "events.parcel.v1"}, "events.v1").awaitTermination(60)
         run_log_projection(spark, log_path, paths, str(tmp_path / "cp2")).awaitTermination(60)
     assert spark.read.parquet(bus).count() == 8
     assert read_projection(spark, paths.projection).count() == 7
