@@ -142,8 +142,8 @@ def bus_messages(spark, sf_dir):
 
 @case("""
 SELECT event_id,
-  CASE WHEN cut THEN 'invalid request body' WHEN long THEN 'body too long'
-       WHEN mistyped THEN 'invalid request body' ELSE 'ok' END AS status,
+  CASE WHEN cut THEN 'body_invalid' WHEN long THEN 'body_too_long'
+       WHEN mistyped THEN 'body_invalid' ELSE 'ok' END AS status,
   CASE WHEN NOT (cut OR long OR mistyped) THEN b_stream END AS stream_id,
   CASE WHEN NOT (cut OR long OR mistyped) THEN b_type END AS type,
   CASE WHEN NOT (cut OR long OR mistyped) THEN '{"n": 1.10, "pad": "y", "type": "inner"}' END AS payload,

@@ -137,3 +137,5 @@ TO_TIME_BAD = "to_time_bad"
 VERSION_NEGATIVE = "version_negative"
 VERSION_GAP = "version_gap"
 LIMIT_EXCEEDED = "limit_exceeded"
+BODY_INVALID = "body_invalid"
+BODY_TOO_LONG = "body_too_long"

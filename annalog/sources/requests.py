@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalog.functions.envelope import fix_columns, raw_member, variant_is, variant_text
-from annalog.schema import REQUEST_MAX_BYTES, REQUEST_PREVIEW_CHARS, REQUEST_SCHEMA
+from annalog.schema import BODY_INVALID, BODY_TOO_LONG, REQUEST_MAX_BYTES, REQUEST_PREVIEW_CHARS, REQUEST_SCHEMA
 
 _TEXTS = ["stream_id", "type", "source", "causation_id", "actor_id", "trace_id", "source_version"]
 _DOC_SCHEMA = ", ".join(
@@ -66,9 +66,9 @@ def decode_requests(
         F.exists(F.map_values(member("metadata")), lambda v: ~variant_is(v, "STRING")), F.lit(False)
     )
     reason = (
-        F.when(F.octet_length(text) > max_bytes, F.lit("body too long"))
-        .when(F.col("_doc").isNull() | member("_broken").isNotNull(), F.lit("invalid request body"))
-        .when(wrong, F.lit("invalid request body"))
+        F.when(F.octet_length(text) > max_bytes, F.lit(BODY_TOO_LONG))
+        .when(F.col("_doc").isNull() | member("_broken").isNotNull(), F.lit(BODY_INVALID))
+        .when(wrong, F.lit(BODY_INVALID))
     )
     judged = fix_columns(parsed, reject_reason=reason)
     values = {c: F.coalesce(variant_text(member(c)), F.lit("")) for c in _TEXTS}

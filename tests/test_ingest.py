@@ -117,7 +117,7 @@ def test_request_bodies(spark):
     assert rows[1].payload == '"text"' and rows[2].payload == '"42"' and rows[3].payload == "42"
     assert rows[4].payload is None and rows[2].metadata == {"a": "b"}
     reasons = {r.n: r.reject_reason for r in bad.collect()}
-    assert reasons == {5: "invalid request body", 6: "invalid request body", 7: "invalid request body", 8: "body too long"}
+    assert reasons == {5: "body_invalid", 6: "body_invalid", 7: "body_invalid", 8: "body_too_long"}
     assert all(len(r.preview) <= 513 for r in bad.collect())
 
 

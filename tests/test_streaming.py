@@ -97,7 +97,7 @@ def test_ingest_stream(spark, tmp_path):
     assert log.count() == 11 and log.select("id").distinct().count() == 11
     assert {r.tenant_id for r in log.select("tenant_id").distinct().collect()} == {"tenant-a"}
     assert sorted(r.reject_reason for r in spark.read.parquet(rejected).collect()) == [
-        "invalid request body", "fields_missing"
+        "body_invalid", "fields_missing"
     ]
     (source / "b.jsonl").write_text("\n".join(body(i) for i in range(10)) + "\n")
     drain()
