@@ -85,3 +85,42 @@ def test_replay_requests_against_brute_force(spark, log_of, limit):
         over = len(expected) > (cap or 1000)
         assert status[q] == (len(expected), "limit_exceeded" if over else "ok")
         assert found.get(q, set()) == (set() if over else expected)
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_bounds_and_tenants_reach_the_scan(spark, log_of, tmp_path, monkeypatch, most):
+    """Many tenants are a semi-join, few a filter at the scan; the totals agree."""
+    monkeypatch.setattr(rt, "MAX_TENANT_FILTER", most)
+    log_of([event(i, tenant_id="ab"[i % 2], occurred_at=at(i * 600)) for i in range(40)]).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    ok, _ = rt.parse_bounds(
+        spark.createDataFrame(
+            [("q1", "a", iso(at(1200)), iso(at(9000)), 0, 0), ("q2", "a", iso(at(7000)), iso(at(12000)), 0, 0), ("q3", "a", iso(at(9000)), iso(at(1200)), 0, 0)],
+            "request_id string, tenant_id string, from_time string, to_time string, limit int, offset int",
+        )
+    )
+    assert {r.request_id: r.total for r in rt.timeline_totals(log, ok).collect()} == {"q1": 7, "q2": 5, "q3": 0}
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    scan = rt._clip(log, ok)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(occurred_at" in scan and "LessThanOrEqual(occurred_at" in scan
+    assert ("EqualTo(tenant_id,a)" in scan) == (most == 100)
+
+
+def test_ranges_longer_than_a_block(spark, log_of, monkeypatch):
+    monkeypatch.setattr(rt, "BLOCK", 3)
+    events = [event(i, occurred_at=at(i * 700)) for i in range(40)]
+    asked = [("r1", "tenant-a", "tenant-a", "", "", "", "", iso(at(1400)), "", None, True, "", 50), ("r2", "tenant-a", "tenant-a", "", "", "", "", "", "", None, True, "", 39)]
+    ok, _ = rt.validate_requests(spark.createDataFrame(asked, REPLAY_REQUEST_SCHEMA))
+    counts, hits = rt.match_requests(log_of(events), ok)
+    assert {(r.request_id, r.matched_count, r.status) for r in counts.collect()} == {("r1", 38, "ok"), ("r2", 40, "limit_exceeded")}
+    assert sorted(r.id for r in hits.collect()) == [e["id"] for e in events[2:]]
+
+
+def test_no_requests_and_no_events(spark, log_of):
+    ok, _ = rt.parse_bounds(
+        spark.createDataFrame([("q1", "a", "", "", 0, 0)], "request_id string, tenant_id string, from_time string, to_time string, limit int, offset int")
+    )
+    assert [r.total for r in rt.timeline_totals(log_of([]), ok).collect()] == [0]
+    assert rt.timeline_pages(log_of([]), ok).count() == 0
+    assert rt.timeline_totals(log_of([event(1)]), ok.limit(0)).count() == 0
