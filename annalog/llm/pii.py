@@ -6,7 +6,8 @@ are email, ip, card and phone; iban and ssn are added where their score reaches
 
 The patterns are written so that a run of characters is read once (possessive
 quantifiers, and a look behind that starts only at the beginning of a run or where the
-last match ended), so a text of millions of characters without a match stays linear.
+last match ended), so a text of millions of characters without a match stays linear;
+so does one of very many matches, whose places are sums over pieces of an array.
 """
 
 from __future__ import annotations
@@ -116,12 +117,67 @@ def _valid(kind: str, value: Column, before: Column, after: Column) -> Column:
     return F.lit(True)
 
 
+# Values that are summed up in one go, and characters of a text that are cut out in one go.
+PIECE = 256
+TEXT_BLOCK = 1024
+
 SPAN = "struct<start:int,rank:int,end:int,kind:string,score:int>"
 
 
+def _scan(values: Column, op, out: str) -> Column:
+    """For each value, `op` over the ones before it, from 0."""
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(out).alias("out"))
+    return F.aggregate(values, begin, step, lambda a: a["out"])
+
+
+def _before(values: Column, op) -> Column:
+    """`_scan` of an array that is not empty, by pieces of `PIECE`: one growing array of
+    all results would be copied for every value."""
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PIECE).cast("int")),
+        lambda k: F.slice(values, k * PIECE + 1, F.lit(PIECE)),
+    )
+
+    def join(p: Column) -> Column:
+        tops = F.transform(p, lambda one: F.aggregate(one, F.lit(0), op))
+        return F.flatten(
+            F.zip_with(
+                p,
+                _scan(tops, op, "array<int>"),
+                lambda one, top: F.transform(_scan(one, op, "array<int>"), lambda x: op(top, x)),
+            )
+        )
+
+    return let(pieces, join)
+
+
+def _near_in_lists(own: Column, listed: Column) -> Column:
+    """'1' or '0' per match: context next to it or to any number of its list.
+
+    A letter per match says whether a list goes on there (c, d) and whether it has context
+    itself (b, d); a pattern then finds the lists."""
+    letters = F.zip_with(
+        own,
+        listed,
+        lambda n, l: F.when(l, F.when(n, F.lit("d")).otherwise(F.lit("c"))).otherwise(
+            F.when(n, F.lit("b")).otherwise(F.lit("a"))
+        ),
+    )
+    lists = F.regexp_extract_all(F.array_join(letters, ""), F.lit("[ab][cd]*+"), F.lit(0))
+    marks = F.transform(
+        lists, lambda one: F.repeat(F.when(one.rlike("[bd]"), F.lit("1")).otherwise(F.lit("0")), F.length(one))
+    )
+    return F.split(F.array_join(marks, ""), "")
+
+
 def _spans_of(text: Column, kind: str) -> Column:
     """Valid matches of one kind, in order. The pieces between the matches give their
-    places: a match starts after all pieces and matches before it.
+    places: a match starts after all pieces and matches before it. Time and memory grow
+    with the number of matches, not its square.
 
     An added kind takes its context from the text on both sides, over other matches, and
     from its neighbours in a list of numbers."""
@@ -134,58 +190,62 @@ def _spans_of(text: Column, kind: str) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
 
     def collect(c: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            value, piece, following = F.get(c["matches"], i), F.get(c["pieces"], i), F.get(c["pieces"], i + 1)
-            start = acc["at"] + F.length(piece)
-            end = start + F.length(value)
-            # Between two matches without a piece stands the other match's own character.
-            last = i == F.size(c["matches"]) - 1
-            before = F.when((piece == "") & (i > 0), F.lit("0")).otherwise(F.right(piece, F.lit(1)))
-            after = F.when((following == "") & ~last, F.lit("0")).otherwise(F.left(following, F.lit(1)))
-            good = _valid(kind, value, before, after)
-            ahead = F.concat(acc["tail"], piece) if added else piece
-            near = F.lower(F.right(ahead, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind])
-            if added:
-                parts = [following]
-                for k in (1, 2, 3):
-                    parts += [F.coalesce(F.get(c["matches"], i + k), F.lit("")), F.coalesce(F.get(c["pieces"], i + k + 1), F.lit(""))]
-                behind = F.concat(*[F.left(x, F.lit(CONTEXT_CHARS)) for x in parts])
-                near = near | F.lower(F.left(behind, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind])
-            listed = (i > 0) & piece.rlike(LIST_GAP) if added else F.lit(False)
-            near = near | (listed & acc["near"])
-            span = F.struct(
-                start.alias("start"),
-                F.lit(KINDS.index(kind)).alias("rank"),
-                end.alias("end"),
-                F.lit(kind).alias("kind"),
-                (F.lit(PRIOR[kind]) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))).alias("score"),
-            )
-            if added:
-                span = F.struct(span.alias("span"), good.alias("good"), near.alias("near"), listed.alias("listed"))
-            spans = F.concat(acc["spans"], F.array(span))
+        n = F.size(c["matches"])
+        places = F.sequence(F.lit(0), n - 1)
+        nothing = F.lit("")
+
+        def match(i: Column) -> Column:
+            return F.coalesce(F.get(c["matches"], i), nothing)
+
+        def piece(i: Column) -> Column:
+            return F.coalesce(F.get(c["pieces"], i), nothing)
+
+        def near(i: Column) -> Column:
+            """Context words beside the match itself. No match is shorter than 11, so 40
+            characters reach over three others and into a fourth."""
+            ahead = F.right(piece(i), F.lit(CONTEXT_CHARS))
             if not added:
-                spans = F.when(good, spans).otherwise(acc["spans"])
-            tail = F.right(F.concat(ahead, value), F.lit(CONTEXT_CHARS)) if added else F.lit("")
-            return F.struct(end.alias("at"), tail.alias("tail"), near.alias("near"), spans.alias("spans"))
-
-        def back(acc: Column, m: Column) -> Column:
-            """From the last match to the first: context goes back through a list."""
-            near = m["near"] | (acc["listed"] & acc["near"])
-            score = F.lit(PRIOR[kind]) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))
-            fits = m["good"] & (score >= ADDED_MIN)
-            spans = F.concat(F.array(m["span"].withField("score", score)), acc["spans"])
-            spans = F.when(fits, spans).otherwise(acc["spans"])
-            return F.struct(m["listed"].alias("listed"), near.alias("near"), spans.alias("spans"))
-
-        places = F.sequence(F.lit(0), F.size(c["matches"]) - 1)
-        no = F.lit(False)
-        empty = F.array().cast(f"array<struct<span:{SPAN},good:boolean,near:boolean,listed:boolean>>") if added else none
-        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), no.alias("near"), empty.alias("spans"))
-        found = F.aggregate(places, begin, step, lambda a: a["spans"])
-        if not added:
-            return found
-        begin = F.struct(no.alias("listed"), no.alias("near"), none.alias("spans"))
-        return F.aggregate(F.reverse(found), begin, back, lambda a: a["spans"])
+                return F.lower(ahead).rlike(CONTEXT[kind])
+            parts = [ahead]
+            for k in (1, 2, 3, 4):
+                parts = [F.right(piece(i - k), F.lit(CONTEXT_CHARS)), F.right(match(i - k), F.lit(CONTEXT_CHARS)), *parts]
+            ahead = F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
+            parts = [piece(i + 1)]
+            for k in (1, 2, 3):
+                parts += [match(i + k), piece(i + k + 1)]
+            behind = F.left(F.concat(*[F.left(x, F.lit(CONTEXT_CHARS)) for x in parts]), F.lit(CONTEXT_CHARS))
+            return F.lower(ahead).rlike(CONTEXT[kind]) | F.lower(behind).rlike(CONTEXT[kind])
+
+        def good(i: Column) -> Column:
+            # Between two matches without a piece stands the other match's own character.
+            before = F.when((piece(i) == "") & (i > 0), F.lit("0")).otherwise(F.right(piece(i), F.lit(1)))
+            after = F.when((piece(i + 1) == "") & (i < n - 1), F.lit("0")).otherwise(F.left(piece(i + 1), F.lit(1)))
+            return _valid(kind, match(i), before, after)
+
+        lengths = F.transform(places, lambda i: F.length(piece(i)) + F.length(match(i)))
+        ends = let(lengths, lambda x: _before(x, lambda a, b: a + b))
+        if added:
+            listed = F.transform(places, lambda i: (i > 0) & piece(i).rlike(LIST_GAP))
+            nears = _near_in_lists(F.transform(places, near), listed)
+        else:
+            nears = F.transform(places, lambda i: F.when(near(i), F.lit("1")).otherwise(F.lit("0")))
+
+        def build(s: Column) -> Column:
+            def span(i: Column) -> Column:
+                start = F.get(s["ends"], i) + F.length(piece(i))
+                bonus = F.when(F.get(s["nears"], i) == "1", F.lit(CONTEXT_BONUS)).otherwise(F.lit(0))
+                return F.struct(
+                    start.alias("start"),
+                    F.lit(KINDS.index(kind)).alias("rank"),
+                    (start + F.length(match(i))).alias("end"),
+                    F.lit(kind).alias("kind"),
+                    (F.lit(PRIOR[kind]) + bonus).alias("score"),
+                )
+
+            found = F.transform(F.filter(places, good), span)
+            return F.filter(found, lambda x: x["score"] >= ADDED_MIN) if added else found
+
+        return let(F.struct(ends.alias("ends"), nears.alias("nears")), build)
 
     may = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
     return F.when(may & text.rlike(pattern), let(cut, collect)).otherwise(none)
@@ -231,22 +291,37 @@ def redact(docs: DataFrame, min_score: int = ADDED_MIN) -> DataFrame:
     """`docs` with every span of at least `min_score` replaced by its kind in brackets,
     and `n_chars`, where there is one, counted anew. Of overlapping spans the first,
     then the earlier kind, is named, and all of their characters go. Null texts stay."""
-    found = F.filter(spans(F.col("text")), lambda s: s["score"] >= min_score)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        added = F.concat(acc["out"], F.array(F.concat(between, F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, added).otherwise(acc["out"]).alias("out")
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    kept = F.filter(spans(F.col("text")), lambda s: s["score"] >= min_score)
+
+    def write(c: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            """Characters of the text, from the blocks they lie in: a substring of the whole
+            text would count its characters from the first one again."""
+            first = F.floor(start / TEXT_BLOCK).cast("int")
+            count = F.floor(end / TEXT_BLOCK).cast("int") - first + 1
+            return F.substr(F.array_join(F.slice(c["blocks"], first + 1, count), ""), start - first * TEXT_BLOCK + 1, end - start)
+
+        places = F.sequence(F.lit(0), F.size(c["spans"]) - 1)
+        at = let(F.transform(c["spans"], lambda s: s["end"]), lambda x: _before(x, lambda a, b: F.greatest(a, b)))
+
+        def cut(reached: Column) -> Column:
+            named = F.filter(places, lambda i: F.get(c["spans"], i)["start"] >= F.get(reached, i))
+            out = F.transform(
+                named,
+                lambda i: F.concat(
+                    between(F.get(reached, i), F.get(c["spans"], i)["start"]),
+                    F.lit("["),
+                    F.upper(F.get(c["spans"], i)["kind"]),
+                    F.lit("]"),
+                ),
+            )
+            last = F.greatest(F.array_max(reached), F.get(c["spans"], F.size(c["spans"]) - 1)["end"])
+            return F.concat(F.array_join(out, ""), between(last, c["n"]))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1))
+        return let(at, cut)
 
-    out = docs.withColumn("_pii", found)
-    clean = F.when(F.size("_pii") > 0, F.aggregate("_pii", begin, step, finish)).otherwise(F.col("text"))
-    out = out.withColumn("text", clean).drop("_pii")
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    parts = F.struct(kept.alias("spans"), blocks.alias("blocks"), F.length("text").alias("n"))
+    clean = let(parts, lambda c: F.when(F.size(c["spans"]) > 0, write(c)))
+    out = docs.withColumn("text", F.coalesce(clean, F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

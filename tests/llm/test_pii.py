@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tests_llm_common import ODD, rows_of
 
@@ -114,3 +115,41 @@ def test_iban_ends_where_its_country_says(spark):
         for after in (" Please pay", " BIC", " PAY", "", ", and"):
             assert one(spark, f"to {iban}{after}").spans == f"iban:3:{3 + len(iban)}"
     assert one(spark, "ES91 2100 0418 4502 0005 1333 Please").spans == ""
+
+
+def test_many_matches_stay_linear(spark):
+    """Many matches of every kind: places, lists and the redacted text, in time that grows with them."""
+    def text(n):
+        return "".join(f"m{i}@x.org, 10.0.{i % 256}.9; +49 30 {1000000 + i} 😀 " for i in range(n)) + "ssn " + ", ".join(["123-45-6789"] * n)
+
+    took = []
+    for n in (100, 2_000, 8_000):
+        docs = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        start = time.time()
+        row = pii.pii_report(docs).first()
+        took.append(time.time() - start)
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone, row.base_sha256) == brute(text(n))
+        assert row.spans.count("ssn:") == n
+    assert took[2] < 8 * took[1] + 5
+    clean = pii.redact(docs).first().text
+    assert clean == "[EMAIL], [IP]; [PHONE] 😀 " * n + "ssn " + ", ".join(["[SSN]"] * n)
+
+
+def test_redaction_like_brute_force(spark):
+    texts = random_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.pii for r in pii.find_pii(docs).collect()}
+    for row in pii.redact(docs).collect():
+        out, at = "", 0
+        for s in found[row.doc_id]:
+            if s["score"] < pii.ADDED_MIN:
+                continue
+            if s["start"] >= at:
+                out += texts[row.doc_id][at : s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert row.text == out + texts[row.doc_id][at:]
+
+
+def test_a_column_named_like_a_helper_stays(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de", "kept")], "doc_id long, text string, _pii string")
+    assert tuple(pii.redact(docs).first()) == (1, "mail [EMAIL]", "kept")
