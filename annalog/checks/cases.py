@@ -36,7 +36,7 @@ from annalog.schema import MESSAGE_SCHEMA
 from annalog.session import cut_lineage, run_dir
 from annalog.sources.log import append_batch, read_heads, read_log
 from annalog.sources.messages import read_messages
-from annalog.sources.projection import latest_by_id, read_projection
+from annalog.sources.projection import POSITION, latest_by_id, merge_projection, read_projection, upsert_projection
 from annalog.sources.requests import decode_requests
 from annalog.streaming.jobs import ProjectionPaths, index_error, run_ingest, run_log_projection, run_projection
 
@@ -699,7 +699,7 @@ FROM sent WHERE NOT broken AND NOT scalar GROUP BY id, stream_id, version""", fx
 def projection_latest(spark, sf_dir):
     """One document per id, the last delivery wins."""
     ok = decode_messages(fx.bus_messages(spark, sf_dir))[0].filter(index_error().isNull())
-    latest = latest_by_id(ok.select(*COLS, "offset"), F.col("offset"))
+    latest = latest_by_id(cut_lineage(ok.select(*COLS, *POSITION)), POSITION)  # decoded once
     return latest.select("id", "stream_id", "version", "event_version", "offset", F.lit(True).alias("present"))
 
 
@@ -1089,3 +1089,64 @@ def stored_timeline(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return rows
+
+
+_DOCS = fx.CANONICAL + """,
+docs AS (SELECT * REPLACE (CAST(CASE WHEN event_id % 20 = 0 THEN 2 ELSE 1 END AS INTEGER) AS event_version) FROM canonical)"""
+
+
+def _stored_model(spark, sf_dir) -> str:
+    """A stored read model: three batches and their redeliveries, a base after the second,
+    and the first batch delivered again by a restarted job."""
+    path = f"{run_dir(spark, 'model')}/index"
+    sent = cut_lineage(fx.deliveries(spark, sf_dir).select(*COLS, "user_id", "offset")).withColumns(
+        {"topic": F.lit(fx.FALLBACK), "partition": (F.col("user_id") % 6).cast("int")}
+    )
+    late = F.col("offset") >= 10**9
+    parts = [sent.filter(~late & (F.col("offset") % 2 == 0)), sent.filter(~late & (F.col("offset") % 2 == 1)), sent.filter(late)]
+    for number, part in enumerate(parts):
+        upsert_projection(part, path, number, writer="bus")
+        if number == 1:
+            merge_projection(spark, path)
+    upsert_projection(parts[0], path, 0, writer="bus")
+    return path
+
+
+def _document(df: DataFrame) -> DataFrame:
+    return df.select(*ROW, "event_version", F.col("metadata")["region"].alias("region"))
+
+
+def _doc_page_sql(where: str, order: str, limit: int, offset: int) -> str:
+    return (
+        f"SELECT {ROW_SQL}, event_version, region FROM docs WHERE {where} "
+        f"ORDER BY {order} LIMIT {limit} OFFSET {offset}"
+    )
+
+
+@case(f"SELECT {ROW_SQL}, event_version, region FROM docs", _DOCS)
+def stored_model_scan(spark, sf_dir):
+    """Every document of the stored read model, the last delivery of each."""
+    return _document(read_projection(spark, _stored_model(spark, sf_dir)))
+
+
+@case(_doc_page_sql(f"tenant_id = '{TENANT}' AND stream_id = 'view:7'", "version, id", 5, 2), _DOCS)
+def stored_stream_page(spark, sf_dir):
+    """Q3 over S7: tenant and stream reach the scans of the base and of what came since."""
+    model = read_projection(spark, _stored_model(spark, sf_dir), TENANT, "view:7")
+    return _document(q.stream_page(model, TENANT, "view:7", 5, 2)[0])
+
+
+@case(_doc_page_sql(f"tenant_id = '{TENANT}'", _NEWEST, 20, 40), _DOCS)
+def stored_feed_page(spark, sf_dir):
+    """Q4 over S7."""
+    model = read_projection(spark, _stored_model(spark, sf_dir), TENANT)
+    return _document(q.feed_page(model, TENANT, 20, 40)[0])
+
+
+@case(f"""
+SELECT count(*) AS total, 20 AS "limit", 0 AS "offset", 'elasticsearch' AS read_model, 'eventual' AS consistency
+FROM docs WHERE tenant_id = '{TENANT}'""", _DOCS)
+def stored_list_summary(spark, sf_dir):
+    """Q10 over S7: a list without correlation is answered by the stored read model."""
+    model = read_projection(spark, _stored_model(spark, sf_dir), TENANT)
+    return q.list_events(fx.canonical(spark, sf_dir), model, TENANT)[1]

@@ -139,19 +139,21 @@ whole AS (
 )
 
 
-def bus_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages as a Kafka source delivers them.
-
-    One per event at offset = event_id; every 20th again later as contract version
-    2. Payload 42 on every 31st event, value cut in half on every 41st.
-    """
-    events = versioned(spark, sf_dir).withColumn(
-        "payload", F.when(F.col("event_id") % 31 == 0, F.lit("42")).otherwise(F.col("payload"))
-    )
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One per event at offset = event_id; every 20th again later as contract version 2."""
+    events = versioned(spark, sf_dir)
     again = events.filter("event_id % 20 = 0").withColumn("event_version", F.lit(2))
-    sent = events.withColumn("offset", F.col("event_id")).unionByName(
+    return events.withColumn("offset", F.col("event_id")).unionByName(
         again.withColumn("offset", F.col("event_id") + 10**9)
     )
+
+
+def bus_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of `deliveries` as a Kafka source has them. Payload 42 on every 31st event,
+    value cut in half on every 41st."""
+    sent = deliveries(spark, sf_dir).withColumn(
+        "payload", F.when(F.col("event_id") % 31 == 0, F.lit("42")).otherwise(F.col("payload"))
+    )
     text = envelope_json()
     cut = F.left(text, F.floor(F.char_length(text) / 2).cast("int"))
     return sent.select(

@@ -1,8 +1,8 @@
 """Structured Streaming jobs: ingest into the log, and projection with dead letters.
 
-Each micro-batch writes folders named after its batch id and overwrites them, so
-a batch that is run again after a failure leaves the same tables: the checkpoint
-gives at-least-once, the layout makes it once.
+The checkpoint gives at-least-once. The log and the read model know each writer's batches and
+write none twice; dead letters, quarantine and bus messages go to folders named after the
+micro-batch, which a second run overwrites with the same rows.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ def run_projection(
         judged = judge_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             events = events_of(judged).withColumn("index_error", rule())
-            upsert_projection(events.filter(F.col("index_error").isNull()), paths.projection, batch_id)
+            indexed = events.filter(F.col("index_error").isNull())
+            upsert_projection(indexed, paths.projection, batch_id, writer=f"bus {checkpoint}")
             refused = events.filter(F.col("index_error").isNotNull())
             to_dlq(
                 refused, F.col("index_error"), F.current_timestamp(), F.col("context.correlation_id")
@@ -149,8 +150,10 @@ def run_log_projection(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         events = committed_events(batch, log_path)
-        judged = events.withColumn("index_error", rule()).withColumn("offset", F.col("version"))
-        upsert_projection(judged.filter(F.col("index_error").isNull()), paths.projection, batch_id)
+        position = {"topic": F.lit(""), "partition": F.lit(0), "offset": F.col("version")}
+        judged = events.withColumns({"index_error": rule(), **position})
+        indexed = judged.filter(F.col("index_error").isNull())
+        upsert_projection(indexed, paths.projection, batch_id, writer=f"log {checkpoint}")
         refused = judged.filter(F.col("index_error").isNotNull())
         to_dlq(refused, F.col("index_error"), F.current_timestamp()).write.mode(
             "overwrite"

@@ -10,7 +10,7 @@ from annalog.operators.audit import gap_check
 from annalog.schema import MESSAGE_SCHEMA
 from annalog.sources.log import append_batch, read_log
 from annalog.sources.messages import read_messages, to_messages
-from annalog.sources.projection import compact_projection, read_projection
+from annalog.sources.projection import merge_projection, read_projection
 from annalog.streaming.jobs import ProjectionPaths, run_ingest, run_log_projection, run_projection, run_publish
 from conftest import event, uid
 
@@ -57,8 +57,8 @@ def test_projection_dlq_and_quarantine(spark, log_of, tmp_path, paths):
     drain()
     index = {r.id: r.event_version for r in read_projection(spark, paths.projection).collect()}
     assert len(index) == 5 and index[uid(5)] == 7
-    compact_projection(spark, paths.projection, str(tmp_path / "compact"))
-    assert {r.id: r.event_version for r in read_projection(spark, str(tmp_path / "compact")).collect()} == index
+    merge_projection(spark, paths.projection)
+    assert {r.id: r.event_version for r in read_projection(spark, paths.projection).collect()} == index
 
 
 def test_failing_rule_retries_the_whole_batch(spark, log_of, tmp_path, paths):
