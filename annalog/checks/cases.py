@@ -34,6 +34,7 @@ from annalog.sources.messages import (
 )
 from annalog.schema import MESSAGE_SCHEMA
 from annalog.session import cut_lineage, run_dir
+from annalog.sources.labels import read_labels, update_labels
 from annalog.sources.log import append_batch, read_heads, read_log
 from annalog.sources.messages import read_messages
 from annalog.sources.projection import POSITION, latest_by_id, merge_projection, read_projection, upsert_projection
@@ -834,7 +835,7 @@ def causation_tree(spark, sf_dir):
     return causation.causation_tree(log, roots)
 
 
-@case(f"""
+_INCIDENT = f"""
 , seeds AS (
   SELECT id, 1 AS why FROM base WHERE tenant_id = '{TENANT}' AND correlation_id = 'corr-1'
   UNION ALL
@@ -846,8 +847,10 @@ reach AS (
   SELECT b.id, 3 FROM reach r JOIN base b ON b.causation_id = r.id AND b.tenant_id = '{TENANT}'
 )
 SELECT id, stream_id, occurred_at, CASE min(why) WHEN 1 THEN 'correlation' WHEN 2 THEN 'window' ELSE 'causation' END AS via
-FROM (SELECT * FROM seeds UNION ALL SELECT * FROM reach) JOIN base USING (id) GROUP BY id, stream_id, occurred_at""",
-      fx.CANONICAL.replace("base AS (", "RECURSIVE base AS (", 1))
+FROM (SELECT * FROM seeds UNION ALL SELECT * FROM reach) JOIN base USING (id) GROUP BY id, stream_id, occurred_at"""
+
+
+@case(_INCIDENT, fx.CANONICAL.replace("base AS (", "RECURSIVE base AS (", 1))
 def incident(spark, sf_dir):
     low, high = (F.lit(t).cast("timestamp") for t in (_FROM, _TO))
     rows = causation.incident(fx.unversioned(spark, sf_dir), TENANT, "corr-1", low, high)
@@ -1150,3 +1153,30 @@ def stored_list_summary(spark, sf_dir):
     """Q10 over S7: a list without correlation is answered by the stored read model."""
     model = read_projection(spark, _stored_model(spark, sf_dir), TENANT)
     return q.list_events(fx.canonical(spark, sf_dir), model, TENANT)[1]
+
+
+def _labelled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A log stored in two batches, the causes of many events in the later one, and its
+    labels, brought up to date after each."""
+    home = run_dir(spark, "labels")
+    events = fx.unversioned(spark, sf_dir)
+    for number, part in enumerate(("event_id % 5 > 1", "event_id % 5 <= 1")):
+        append_batch(events.filter(part).select(*COLS), f"{home}/log", number, writer="loader")
+        update_labels(spark, f"{home}/log", f"{home}/labels")
+    return read_log(spark, f"{home}/log"), read_labels(spark, f"{home}/labels")
+
+
+@case("SELECT * FROM tree WHERE root_id IN (SELECT id FROM base WHERE causation_id = '')", _TREE)
+def stored_causation_tree(spark, sf_dir):
+    """A1 by stored labels: everything caused by each purchase that nothing caused."""
+    log, labels = _labelled(spark, sf_dir)
+    return causation.labelled_tree(labels, log.filter("type = 'user.purchase'").select("tenant_id", "id"))
+
+
+@case(_INCIDENT, fx.CANONICAL.replace("base AS (", "RECURSIVE base AS (", 1))
+def stored_incident(spark, sf_dir):
+    """A2 by stored labels: only trees that hold a seed are read."""
+    log, labels = _labelled(spark, sf_dir)
+    low, high = (F.lit(t).cast("timestamp") for t in (_FROM, _TO))
+    rows = causation.incident(log, TENANT, "corr-1", low, high, labels=labels)
+    return rows.select("id", "stream_id", "occurred_at", "via")

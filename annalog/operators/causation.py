@@ -8,33 +8,19 @@ from pyspark.sql import functions as F
 
 from annalog.operators.audit_queries import in_window
 from annalog.operators.lookup import lookup
-from annalog.operators.skew import MAX_ROWS_PER_TASK
+from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
 from annalog.session import cut_lineage
 
 # Doubling reaches depth 2^rounds; no chain of rows is longer than that.
 MAX_ROUNDS = 62
 
 
-def causation_roots(df: DataFrame, limit: int = MAX_ROWS_PER_TASK) -> DataFrame:
-    """For every event: root_id and depth (0 for a root); both NULL for events that
-    are in, or caused by, a cycle.
-
-    Pointer doubling: each round an event adopts its ancestor's ancestor, so a
-    chain of depth d takes log2(d) rounds, each a join of unfinished events with
-    the table itself. Each round is stored in the shared folder.
+def climb(state: DataFrame, limit: int = MAX_ROWS_PER_TASK) -> DataFrame:
+    """Pointer doubling on (tenant_id, id, up, depth, done): `up` is an ancestor `depth`
+    steps above, `done` says that it is an end. Each round an open row adopts its
+    ancestor's ancestor, so d steps take log2(d) rounds, each stored in the shared
+    folder. Rows that lead into a cycle stay open. An open row's `up` is a row's `id`.
     """
-    events = df.select("tenant_id", "id", F.nullif("causation_id", F.lit("")).alias("up"))
-    known = events.select("tenant_id", F.col("id").alias("up"))
-    caused = lookup(
-        events.filter(F.col("up").isNotNull()), known, ["tenant_id", "up"], "_cause", limit=limit
-    ).select("tenant_id", "id", F.when(F.col("_cause").isNotNull(), F.col("up")).alias("up"))
-    state = events.filter(F.col("up").isNull()).unionByName(caused).select(
-        "tenant_id",
-        "id",
-        F.coalesce("up", "id").alias("up"),
-        F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-        F.col("up").isNull().alias("done"),
-    )
     state = cut_lineage(state)
     open_before = state.filter(~F.col("done")).count()
     for _ in range(MAX_ROUNDS):
@@ -62,6 +48,29 @@ def causation_roots(df: DataFrame, limit: int = MAX_ROWS_PER_TASK) -> DataFrame:
         if open_now == open_before:
             break
         open_before = open_now
+    return state
+
+
+def causation_roots(df: DataFrame, limit: int = MAX_ROWS_PER_TASK) -> DataFrame:
+    """For every event: root_id and depth (0 for a root); both NULL for events that
+    are in, or caused by, a cycle.
+
+    Pointer doubling (`climb`): a chain of depth d takes log2(d) rounds, each a join of
+    unfinished events with the table itself.
+    """
+    events = df.select("tenant_id", "id", F.nullif("causation_id", F.lit("")).alias("up"))
+    known = events.select("tenant_id", F.col("id").alias("up"))
+    caused = lookup(
+        events.filter(F.col("up").isNotNull()), known, ["tenant_id", "up"], "_cause", limit=limit
+    ).select("tenant_id", "id", F.when(F.col("_cause").isNotNull(), F.col("up")).alias("up"))
+    state = events.filter(F.col("up").isNull()).unionByName(caused).select(
+        "tenant_id",
+        "id",
+        F.coalesce("up", "id").alias("up"),
+        F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+        F.col("up").isNull().alias("done"),
+    )
+    state = climb(state, limit)
     return state.select(
         "tenant_id",
         "id",
@@ -115,11 +124,14 @@ def incident(
     from_time=None,
     to_time=None,
     max_depth: int | None = None,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """Everything that belongs to an incident, each event once, with why it is in.
 
     The correlation set and the time window (where given), and everything those
     events caused. `via` is the first reason of correlation, window, causation.
+    With `labels` of the same events (`sources/labels.py`) only trees that hold a seed are
+    read; without, every level reads the tenant's events.
     """
     mine = df.filter(F.col("tenant_id") == tenant)
     seeds = mine.limit(0).withColumn("why", F.lit(0))
@@ -130,7 +142,11 @@ def incident(
         seeds = seeds.unionByName(
             mine.filter(in_window(from_time, to_time)).withColumn("why", F.lit(2))
         )
-    tree = causation_forest(mine, seeds.select("tenant_id", "id"), max_depth)
+    if labels is None:
+        tree = causation_forest(mine, seeds.select("tenant_id", "id"), max_depth)
+    else:
+        own = labels.filter(F.col("tenant_id") == tenant)
+        tree = labelled_forest(own, seeds.select("tenant_id", "id"), max_depth)
     found = seeds.select("id", "why").unionByName(tree.select("id", F.lit(3).alias("why")))
     reason = found.groupBy("id").agg(F.min("why").alias("why"))
     names = F.when(F.col("why") == 1, "correlation").when(F.col("why") == 2, "window")
@@ -160,3 +176,43 @@ def causation_forest(df: DataFrame, seeds: DataFrame, max_depth: int | None = No
             break
         visited = visited.unionByName(level)
     return visited
+
+
+def labelled_tree(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """Everything below `roots` (tenant_id, id), which are roots of their trees: one lookup
+    of their label. Same columns as `causation_tree`; other events give no row."""
+    wanted = roots.select("tenant_id", F.col("id").alias("root_id")).distinct()
+    return labels.join(small_side(wanted), ["tenant_id", "root_id"], "left_semi").select(
+        "tenant_id", "root_id", "id", F.coalesce("causation_id", F.lit("")).alias("causation_id"), F.col("depth").cast("int").alias("depth")
+    )
+
+
+def labelled_forest(
+    labels: DataFrame, seeds: DataFrame, max_depth: int | None = None, limit: int = MAX_ROWS_PER_TASK
+) -> DataFrame:
+    """`causation_forest` by labels (tenant_id, id, causation_id, root_id, depth).
+
+    Events of the seeds' trees are kept by their root and stored once; among these each
+    event climbs to the next seed or root above it, log2(depth) rounds. An event in a
+    cycle, or caused by one, has no root; all such events are kept if a seed is one.
+    """
+    seeds = cut_lineage(seeds.select("tenant_id", "id").distinct())
+    root = F.coalesce("root_id", F.lit(""))
+    rows = labels.withColumn("_root", root)
+    trees = cut_lineage(rows.join(small_side(seeds), ["tenant_id", "id"], "left_semi").select("tenant_id", "_root").distinct())
+    marked = seeds.withColumn("_seed", F.lit(True))
+    kept = rows.join(small_side(trees), ["tenant_id", "_root"], "left_semi").join(
+        small_side(marked), ["tenant_id", "id"], "left"
+    )
+    end = F.col("_seed").isNotNull() | (F.col("id") == F.col("_root"))
+    state = kept.select(
+        "tenant_id",
+        "id",
+        F.when(end, F.col("id")).otherwise(F.col("causation_id")).alias("up"),
+        F.when(end, 0).otherwise(1).cast("bigint").alias("depth"),
+        end.alias("done"),
+    )
+    found = climb(state, limit).filter("done").select("tenant_id", F.col("id").alias("_id"), F.col("up").alias("id"), "depth")
+    found = lookup(found, marked, ["tenant_id", "id"], "_s", limit=limit).filter(F.col("_s").isNotNull())
+    found = found.select("tenant_id", F.col("_id").alias("id"), F.col("depth").cast("int").alias("depth"))
+    return found if max_depth is None else found.filter(F.col("depth") <= max_depth)
