@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalog.checks import fixtures as fx
@@ -23,7 +23,7 @@ from annalog.operators import request_tables as rt
 from annalog.operators.append import append_result
 from annalog.plans import jobs
 from annalog.schema import COLS
-from annalog.sources.dlq import to_dlq
+from annalog.sources.dlq import dlq_messages, to_dlq
 from annalog.sources.messages import (
     decode_messages,
     from_envelope_json,
@@ -39,7 +39,7 @@ from annalog.sources.log import append_batch, read_heads, read_log
 from annalog.sources.messages import read_messages
 from annalog.sources.projection import POSITION, latest_by_id, merge_projection, read_projection, upsert_projection
 from annalog.sources.requests import decode_requests
-from annalog.streaming.jobs import ProjectionPaths, index_error, run_ingest, run_log_projection, run_projection
+from annalog.streaming.jobs import ProjectionPaths, index_error, run_ingest, run_log_projection, run_projection, run_publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1180,3 +1180,57 @@ def stored_incident(spark, sf_dir):
     low, high = (F.lit(t).cast("timestamp") for t in (_FROM, _TO))
     rows = causation.incident(log, TENANT, "corr-1", low, high, labels=labels)
     return rows.select("id", "stream_id", "occurred_at", "via")
+
+
+@case("SELECT id, stream_id, version, lag(version) OVER (PARTITION BY stream_id ORDER BY version) AS sent_before FROM canonical")
+def bus_parts(spark, sf_dir):
+    """Each message with the one its stream sent before, in the order of the writes;
+    the stored log is published in parts of five versions per task."""
+    home = run_dir(spark, "bus")
+    events = fx.unversioned(spark, sf_dir).select(*COLS)
+    for number, part in enumerate((events.filter("occurred_at < '2024-01-16'"), events)):
+        append_batch(part, f"{home}/log", number, writer="loader")
+        drain(run_publish(spark, f"{home}/log", f"{home}/bus", f"{home}/checkpoint", fx.ROUTES, fx.FALLBACK, limit=5))
+    sent = spark.read.parquet(f"{home}/bus").select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    event = from_envelope_json(sent).select("event.id", "event.stream_id", "event.version", "batch_id", "part", "file", "row")
+    written = Window.partitionBy("stream_id").orderBy("batch_id", "part", "file", "row")
+    return event.select("id", "stream_id", "version", F.lag("version").over(written).alias("sent_before"))
+
+
+@case("""
+, live AS (
+  SELECT id AS source_id, stream_id, false AS is_replay, occurred_at, 0 AS phase FROM base
+  UNION ALL
+  SELECT id, stream_id, true, occurred_at, 1 FROM base WHERE event_id % 31 = 0 AND event_id % 41 <> 0 AND tenant_id = 'tenant-1'
+)
+SELECT source_id, stream_id, is_replay, row_number() OVER (PARTITION BY stream_id ORDER BY phase, occurred_at, source_id) AS version
+FROM live""")
+def dlq_replay(spark, sf_dir):
+    """A tenant's dead-lettered events replayed into the stored log, the recovery run twice."""
+    path = run_dir(spark, "recovery")
+    append_batch(fx.unversioned(spark, sf_dir).select(*COLS), path, 0, writer="loader")
+    refused = decode_messages(fx.bus_messages(spark, sf_dir))[0].filter(index_error().isNotNull())
+    dlq = cut_lineage(to_dlq(refused, index_error(), F.lit(fx.REPLAY_TIME).cast("timestamp")))
+    for batch_id in (1, 2):
+        jobs.recover_dead_letters(
+            spark, path, dlq, TENANT, fx.REPLAY_REASON, batch_id, fx.REPLAY_ID, safety_limit=10**9
+        )
+    return _sources(read_log(spark, path))
+
+
+@case(f"""
+SELECT id AS key, '{{"event":' || {_ENVELOPE} || ',"reason":"payload is not an object","failed_at":"2024-03-01T00:00:00Z","correlation_id":"'
+  || correlation_id || '"}}' AS value, CAST('2024-03-01 00:00:00' AS TIMESTAMP) AS sent_at
+FROM (SELECT * REPLACE (body AS payload, sent_version AS event_version) FROM sent WHERE NOT broken AND scalar)""", fx.SENT)
+def dlq_keyed(spark, sf_dir):
+    """Dead letters as bus messages, keyed by event id."""
+    refused = decode_messages(fx.bus_messages(spark, sf_dir))[0].filter(index_error().isNotNull())
+    dlq = to_dlq(
+        refused, index_error(), F.lit(fx.REPLAY_TIME).cast("timestamp"), F.col("context.correlation_id")
+    )
+    rows = dlq_messages(dlq)
+    return rows.select(
+        F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("timestamp").alias("sent_at")
+    )

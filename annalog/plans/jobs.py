@@ -13,6 +13,7 @@ from annalog.operators.replay import (
     ReplayFilter,
     ReplayRequest,
     check_limit,
+    filter_from_dlq,
     match,
     replay_order,
     replay_rows,
@@ -145,3 +146,29 @@ def run_replay(
             f"{messages_path}/batch_id={batch_id}"
         )
     return summary
+
+
+def recover_dead_letters(
+    spark: SparkSession,
+    log_path: str,
+    dlq: DataFrame,
+    tenant: str,
+    reason: str,
+    batch_id: int,
+    replay_id: str,
+    safety_limit: int = 0,
+    **publish,
+) -> DataFrame:
+    """Replays a tenant's dead-lettered events from the log as new rows, and publishes them
+    if `messages_path` is given; the replay's summary.
+
+    An event that was dead-lettered several times is replayed once, one that the log does
+    not hold, or that is a replay itself, not at all. `replay_id` names the recovery: run
+    again under it, it adds nothing.
+    """
+    wanted = filter_from_dlq(dlq, tenant)
+    wanted.event_ids = cut_lineage(wanted.event_ids)
+    request = ReplayRequest(
+        filter=wanted, caller_tenant=tenant, replay_reason=reason, safety_limit=safety_limit, replay_id=replay_id
+    )
+    return run_replay(spark, log_path, request, batch_id, **publish)

@@ -6,6 +6,8 @@ any file format with MESSAGE_SCHEMA columns works the same way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,10 @@ from annalog.functions.envelope import (
 )
 from annalog.functions.routing import topic_column
 from annalog.functions.trace import blank_to_null, format_traceparent, parse_traceparent, span_of
+from annalog.operators.lookup import lookup
+from annalog.operators.skew import MAX_ROWS_PER_TASK
 from annalog.schema import ABSENT_PAYLOAD, COLS, EVENT_SCHEMA, MESSAGE_PREVIEW_BYTES, MESSAGE_SCHEMA
+from annalog.session import cut_lineage
 
 _TEXT_FIELDS = [f.name for f in EVENT_SCHEMA if f.dataType.simpleString() == "string" and f.name != "payload"]
 _TIME_FIELDS = ["occurred_at", "replayed_at"]
@@ -61,15 +66,44 @@ def to_messages(df: DataFrame, routes: dict[str, str], fallback: str) -> DataFra
     )
 
 
+def bus_parts(df: DataFrame, limit: int = MAX_ROWS_PER_TASK) -> DataFrame:
+    """Adds `part`: 0 for the first `limit` versions that `df` has of a stream, 1 for the next,
+    and so on. A stream of any size is then sent by several tasks, one part after the other."""
+    first = df.groupBy("stream_id").agg(F.min("version").alias("version"))
+    found = lookup(df, first, ["stream_id"], "_first", limit=limit)
+    part = F.floor((F.col("version") - F.col("_first.version")) / limit).cast("bigint")
+    return found.withColumn("part", part).drop("_first")
+
+
 def order_for_bus(df: DataFrame) -> DataFrame:
-    """Strict per-stream order for one micro-batch: a stream's rows in one task.
+    """Strict order of one part: a stream's rows of it, `limit` at most, in one task.
 
-    A micro-batch is bounded by the trigger's offset limit. For whole tables use
-    `order_for_export`.
+    For files whose names give the order use `order_for_export`.
     """
     return df.repartition("stream_id").sortWithinPartitions("stream_id", "version")
 
 
+def send_in_order(
+    df: DataFrame, send: Callable[[DataFrame, int], None], limit: int = MAX_ROWS_PER_TASK
+) -> None:
+    """Hands the parts of `df` to `send`, each after the one before has been written, so a
+    stream's versions reach the bus in order although several tasks send them."""
+    parted = cut_lineage(bus_parts(df, limit))
+    # One number for every `limit` rows of the longest stream.
+    parts = sorted(r.part for r in parted.select("part").distinct().collect())
+    for part in parts:
+        send(order_for_bus(parted.filter(F.col("part") == part)).drop("part"), part)
+
+
+def write_messages(messages: DataFrame, fmt: str, options: dict[str, str], folder: str) -> None:
+    """One write of messages: to a bus (`kafka`, by its options), or files in `folder`, which
+    are written over."""
+    if fmt == "kafka":
+        messages.write.format(fmt).options(**options).save()
+    else:
+        messages.write.format(fmt).options(**options).mode("overwrite").save(folder)
+
+
 def order_for_export(df: DataFrame) -> DataFrame:
     """Whole-table order: consecutive version ranges per task, so a stream of any
     size is split; files in name order give each stream in version order."""

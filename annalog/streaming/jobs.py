@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from annalog.functions.envelope import indexable
+from annalog.operators.skew import MAX_ROWS_PER_TASK
 from annalog.plans.jobs import import_lines
 from annalog.schema import REQUEST_MAX_BYTES
-from annalog.sources.dlq import to_dlq
+from annalog.sources.dlq import dlq_messages, to_dlq
 from annalog.sources.batches import BATCH_SCHEMA, prepare
 from annalog.sources.log import read_log
 from annalog.sources.messages import (
     events_of,
     judge_messages,
-    order_for_bus,
     quarantine_of,
+    send_in_order,
     to_messages,
+    write_messages,
 )
 from annalog.sources.projection import upsert_projection
 
@@ -35,9 +37,12 @@ Rule = Callable[[], Column]
 
 @dataclass(frozen=True)
 class ProjectionPaths:
+    """Folders; dead letters go to `dlq_bus` as keyed messages too, where it is given."""
+
     projection: str
     dlq: str
     quarantine: str
+    dlq_bus: str = ""
 
 
 def index_error() -> Column:
@@ -85,6 +90,7 @@ def run_projection(
     """Bus messages -> read model; refused events -> dead letters; undecodable
     messages -> quarantine. A bad event never stops the stream; a failing write
     fails the micro-batch, which is then run again in full."""
+    spark = messages.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Decoding is the work; the three writes below share it.
@@ -97,6 +103,9 @@ def run_projection(
             to_dlq(
                 refused, F.col("index_error"), F.current_timestamp(), F.col("context.correlation_id")
             ).write.mode("overwrite").parquet(f"{paths.dlq}/batch_id={batch_id}")
+            if paths.dlq_bus:
+                dead = spark.read.parquet(f"{paths.dlq}/batch_id={batch_id}")
+                dlq_messages(dead).write.mode("overwrite").parquet(f"{paths.dlq_bus}/batch_id={batch_id}")
             quarantine_of(judged).write.mode("overwrite").parquet(
                 f"{paths.quarantine}/batch_id={batch_id}"
             )
@@ -126,14 +135,21 @@ def run_publish(
     routes: dict[str, str],
     fallback: str,
     interval: str | None = None,
+    fmt: str = "parquet",
+    options: dict[str, str] | None = None,
+    limit: int = MAX_ROWS_PER_TASK,
 ) -> StreamingQuery:
-    """Log -> bus messages as files, each micro-batch ordered by stream and version."""
+    """Log -> bus messages, each stream in version order, `limit` rows of it per task at a time.
+
+    Files go to `<target>/batch_id=N/part=P`; with `fmt="kafka"` the options name the bus.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        events = committed_events(batch, log_path)
-        to_messages(order_for_bus(events), routes, fallback).write.mode("overwrite").parquet(
-            f"{target}/batch_id={batch_id}"
-        )
+        def send(events: DataFrame, part: int) -> None:
+            folder = f"{target}/batch_id={batch_id}/part={part}"
+            write_messages(to_messages(events, routes, fallback), fmt, options or {}, folder)
+
+        send_in_order(committed_events(batch, log_path), send, limit)
 
     return _start(stream_commits(spark, log_path), handle, checkpoint, interval)
 
