@@ -1234,3 +1234,18 @@ def dlq_keyed(spark, sf_dir):
     return rows.select(
         F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("timestamp").alias("sent_at")
     )
+
+
+@case("""
+SELECT event_id, b_stream AS stream_id, row_number() OVER (PARTITION BY b_stream ORDER BY event_id) AS version
+FROM bodies WHERE NOT (cut OR long OR mistyped) AND b_stream <> '' AND b_type <> ''""", fx.BODIES)
+def import_order(spark, sf_dir):
+    """Files of request bodies imported; versions follow the lines, files in path order."""
+    home = run_dir(spark, "lines")
+    numbered = F.concat(F.lit('"n": '), F.col("event_id").cast("string"))
+    bodies = fx.request_bodies(spark, sf_dir).withColumn("value", F.replace("value", F.lit('"n": 1.10'), numbered))
+    ordered = bodies.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    ordered.select("value").write.text(f"{home}/in")
+    jobs.import_requests(spark, f"{home}/in", f"{home}/log", f"{home}/rejected", TENANT, 0, writer="import")
+    number = F.get_json_object("payload", "$.n").cast("bigint")
+    return read_log(spark, f"{home}/log").select(number.alias("event_id"), "stream_id", "version")

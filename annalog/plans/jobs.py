@@ -30,25 +30,26 @@ from annalog.sources.requests import decode_requests, position_lines, read_reque
 def judge_requests(
     lines: DataFrame, tenant: str, now: dt.datetime, max_bytes: int = REQUEST_MAX_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """(events without versions, rejected rows: file, copy_no, reject_reason, preview).
+    """(events without versions but with their `position`, rejected rows: file, line_no,
+    reject_reason, preview).
 
-    Lines come from `position_lines`; ids derive from that position, so they are
-    unique and the same in every run.
+    Lines come from `position_lines`; ids derive from file, line number and body, so they
+    are unique and the same in every run.
     """
     decoded, broken = decode_requests(lines.withColumn("body", F.col("value")), max_bytes=max_bytes)
     events = normalise(
         stamp_tenant(decoded, tenant),
         now=now,
-        id_from=[F.col("file"), F.col("body"), F.col("copy_no")],
+        id_from=[F.col("file"), F.col("body"), F.col("line_no")],
     )
     judged = events.withColumn("reject_reason", reject_reason()).withColumn(
         "preview", F.left("body", F.lit(REQUEST_PREVIEW_CHARS))
     )
     both = judged.drop("body").unionByName(broken.drop("body"), allowMissingColumns=True)
     stored = cut_lineage(both)  # decoded once for both results
-    valid = stored.filter(F.col("reject_reason").isNull()).select(*COLS)
+    valid = stored.filter(F.col("reject_reason").isNull()).select(*COLS, "position")
     rejected = stored.filter(F.col("reject_reason").isNotNull())
-    return valid, rejected.select("file", "copy_no", "reject_reason", "preview")
+    return valid, rejected.select("file", "line_no", "reject_reason", "preview")
 
 
 def import_lines(
@@ -62,10 +63,11 @@ def import_lines(
     now: dt.datetime | None = None,
     max_bytes: int = REQUEST_MAX_BYTES,
 ) -> None:
-    """Append a frame of (value, file) request lines, e.g. a streaming micro-batch."""
+    """Append a frame of `request_lines`, e.g. a streaming micro-batch; versions of a stream
+    follow the lines, files in path order."""
     now = now or dt.datetime.now(dt.timezone.utc)
     valid, rejected = judge_requests(position_lines(lines), tenant, now, max_bytes)
-    number = append_batch(valid, log_path, batch_id, stored=True, writer=writer)
+    number = append_batch(valid, log_path, batch_id, stored=True, writer=writer, position="position")
     # By the log's number, which no other writer gets.
     rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={number}")
 

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from annalog.functions.days import utc_day
 from annalog.operators.append import assign_versions, drop_known, first_delivery, stream_heads
 from annalog.operators.audit import upcast
+from annalog.operators.numbering import version_digit
 from annalog.operators.skew import MAX_ROWS_PER_TASK, small_side
 from annalog.schema import COLS, EVENT_SCHEMA
 from annalog.session import cut_lineage
@@ -182,11 +183,13 @@ def append_batch(
     limit: int = MAX_ROWS_PER_TASK,
     folders: Sequence[str] = ("occurred_date",),
     stored: bool = False,
+    position: str | None = None,
 ) -> int:
     """Idempotent append with version assignment; returns the log's batch number.
 
     `batch_id` is `writer`'s own number of the batch. `stored=True` says that `df`
-    is already a stored table with unique ids.
+    is already a stored table with unique ids. `position` names a column of whole numbers
+    from 1 that orders the batch; without it versions follow (occurred_at, id).
 
     Running a writer's batch again, after any failure, gives the same log; its number with
     other ids raises `BatchConflict` and changes nothing. Random ids or times in `df` must
@@ -194,7 +197,8 @@ def append_batch(
     """
     spark = df.sparkSession
     # Stored once: read several times below, and its size decides the join.
-    batch = df.select(*COLS) if stored else cut_lineage(first_delivery(df, order).select(*COLS))
+    names = COLS if position is None else [*COLS, position]
+    batch = df.select(*names) if stored else cut_lineage(first_delivery(df, order).select(*names))
     rows, digest = content(batch)
     known = find(spark, path, writer, batch_id)
     if known is not None:
@@ -203,7 +207,11 @@ def append_batch(
         return known[0]
     number = next_batch(spark, path, batch_id)
     fresh = drop_known(batch, read_ids(spark, path, batch))
-    commit(assign_versions(fresh, read_heads(spark, path), digits=digits, limit=limit), path, number, folders)
+    by = None
+    if position is not None:
+        by, digits = [F.col(position)], [version_digit(F.col(position))]
+    heads = read_heads(spark, path)
+    commit(assign_versions(fresh, heads, order=by, digits=digits, limit=limit), path, number, folders)
     record(spark, path, writer, batch_id, number, rows, digest)
     if number % MERGE_EVERY == MERGE_EVERY - 1:
         snapshot_heads(spark, path, number)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalog.functions.envelope import fix_columns, raw_member, variant_is, variant_text
+from annalog.operators.skew import small_side
 from annalog.schema import BODY_INVALID, BODY_TOO_LONG, REQUEST_MAX_BYTES, REQUEST_PREVIEW_CHARS, REQUEST_SCHEMA
+from annalog.session import cut_lineage
 
 _TEXTS = ["stream_id", "type", "source", "causation_id", "actor_id", "trace_id", "source_version"]
 _DOC_SCHEMA = ", ".join(
@@ -15,30 +17,40 @@ _DOC_SCHEMA = ", ".join(
 )
 
 
+def request_lines(rows: DataFrame) -> DataFrame:
+    """(value, file, start) of a text scan, `start` the first byte of the line's split."""
+    return rows.selectExpr("value", "_metadata.file_path AS file", "_metadata.file_block_start AS start")
+
+
 def read_request_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file) lines of all files below `path`."""
-    return spark.read.text(path).selectExpr("value", "_metadata.file_path AS file")
+    """Lines of all files below `path`."""
+    return request_lines(spark.read.text(path))
 
 
-def position_lines(lines: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Give (value, file) lines a position (file, value, copy_no) that a second read repeats.
+def position_lines(lines: DataFrame) -> DataFrame:
+    """(value, file, line_no, position): the line's number in its file, and over all files
+    in path order, both from 1 and the same however the files were split.
 
-    Text files carry no line number, so equal lines of a file are counted (map-side
-    first) and told apart by `copy_no`; a line repeated very often is laid out in
-    chunks over many tasks. The position feeds `normalise(id_from=…)`.
+    `lines` comes from a text scan, where a task reads each of its splits in order. The
+    lines are stored once with their row in the task; a table with one row per split then
+    says how many lines lie before it. That table, not the lines, passes one task.
     """
-    counted = lines.groupBy("file", "value").agg(F.count(F.lit(1)).alias("n"))
-    chunks = counted.withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / chunk)))
-    ).repartition("file", "value", "chunk")
-    return chunks.select(
-        "file",
-        "value",
-        F.explode(
-            F.sequence(
-                F.col("chunk") * chunk + 1, F.least(F.col("n"), (F.col("chunk") + 1) * chunk)
-            )
-        ).alias("copy_no"),
+    stored = cut_lineage(lines.withColumn("_at", F.monotonically_increasing_id()))
+    splits = stored.groupBy("file", "start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    known = cut_lineage(
+        splits.select(
+            "file",
+            "start",
+            "_first",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_all"),
+            F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_own"),
+        )
+    )
+    row = F.col("_at") - F.col("_first") + 1
+    return stored.join(small_side(known), ["file", "start"]).select(
+        "value", "file", (row + F.col("_own")).alias("line_no"), (row + F.col("_all")).alias("position")
     )
 
 

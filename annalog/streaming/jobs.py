@@ -31,6 +31,7 @@ from annalog.sources.messages import (
     write_messages,
 )
 from annalog.sources.projection import upsert_projection
+from annalog.sources.requests import request_lines
 
 Rule = Callable[[], Column]
 
@@ -68,11 +69,7 @@ def run_ingest(
     max_bytes: int = REQUEST_MAX_BYTES,
 ) -> StreamingQuery:
     """Files of request bodies -> log. Without `interval` it drains what is there and ends."""
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", max_files)
-        .text(source)
-        .selectExpr("value", "_metadata.file_path AS file")
-    )
+    lines = request_lines(spark.readStream.option("maxFilesPerTrigger", max_files).text(source))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         import_lines(batch, log_path, rejected_path, tenant, batch_id, writer=f"ingest {checkpoint}", max_bytes=max_bytes)

@@ -1,11 +1,14 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from annalog.functions.trace import format_traceparent, parse_traceparent, resolve_trace
 from annalog.operators.ingest import normalise, resolve_headers, stamp_tenant, stamp_tenants, validate
 from annalog.schema import COLS
-from annalog.sources.requests import decode_requests, position_lines
+from annalog.plans.jobs import import_requests
+from annalog.sources.log import read_log
+from annalog.sources.requests import decode_requests, position_lines, read_request_lines
 
 NOW = dt.datetime(2024, 5, 1, 12, 0, 0)
 SAMPLE = "00-4bf92f3577b34da6a3ce929d0e0e4736-00f067aa0ba902b7-01"
@@ -121,8 +124,41 @@ def test_request_bodies(spark):
     assert all(len(r.preview) <= 513 for r in bad.collect())
 
 
-def test_equal_lines_keep_their_number(spark):
-    lines = spark.createDataFrame([("f", "a")] * 25 + [("f", "b"), ("g", "a")], "file string, value string")
-    got = position_lines(lines, chunk=4).collect()
-    assert len(got) == 27
-    assert sorted(r.copy_no for r in got if r.file == "f" and r.value == "a") == list(range(1, 26))
+def write_lines(folder, sizes):
+    folder.mkdir()
+    every = []
+    for name, size in sizes.items():
+        lines = [f"{name} same" if i % 3 == 0 else f"{name} {i} " + "x" * (i % 40) for i in range(size)]
+        (folder / name).write_text("".join(line + "\n" for line in lines))
+        every += [(name, i + 1, line) for i, line in enumerate(lines)]
+    return every
+
+
+@pytest.mark.parametrize("split", [150, 4000, 10**8])
+def test_lines_keep_their_place_however_files_are_split(spark, tmp_path, split):
+    expected = write_lines(tmp_path / "in", {"a": 90, "b": 0, "c": 1, "d": 200})
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, str(split))
+        lines = read_request_lines(spark, str(tmp_path / "in"))
+        assert split > 150 or lines.select("start").distinct().count() > 20
+        rows = position_lines(lines).orderBy("position").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r.file.rsplit("/")[-1], r.line_no, r.value) for r in rows] == expected
+    assert [r.position for r in rows] == list(range(1, len(expected) + 1))
+
+
+def test_versions_follow_the_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    body = '{{"stream_id":"s","type":"t","source":"so","payload":{{"n":{}}}}}\n'
+    (tmp_path / "in" / "b").write_text("".join(body.format(i) for i in range(20, 30)))
+    (tmp_path / "in" / "a").write_text("{broken\n" + "".join(body.format(i) for i in range(20)))
+    log, rejected = str(tmp_path / "log"), str(tmp_path / "rejected")
+    for batch_id in (0, 0, 1):  # a retry, and the same files again under a later number
+        import_requests(spark, str(tmp_path / "in"), log, rejected, "tenant-a", batch_id, writer="import")
+    rows = read_log(spark, log).orderBy("version").collect()
+    assert [(r.version, r.payload) for r in rows] == [(i + 1, f'{{"n":{i}}}') for i in range(30)]
+    assert {(r.file[-1], r.line_no) for r in spark.read.parquet(rejected).collect()} == {("a", 1)}
