@@ -1,14 +1,18 @@
 """Toxicity by the nearest labelled examples.
 
-Exact TF-IDF cosine over the terms that the labels bear on, searched in a block-max
-inverted index: examples lie in blocks, each term keeps its largest weight per block,
-and a block is read only if the sum of these can still reach the k-th best score.
-The neighbours' labels vote, weighted by similarity, and the vote is calibrated on the
-examples themselves, each scored without itself.
-
-The index is fitted on a bounded sample of labelled rows (`max_examples`) and a bounded
-vocabulary (`max_terms`); document frequencies cover all texts, and every whole text is
-scored.
+Exact TF-IDF cosine over all terms of the examples, searched in a block-max inverted index.
+The postings of rare terms are added up; frequent terms keep their largest weight per block
+of examples, and an example is completed by them only if these can still lift it to the
+k-th best score. The neighbours' labels vote, weighted by similarity, and the vote is
+calibrated on the examples themselves, each scored without itself. The neighbours are
+returned as evidence.
+
+A term's weight is its TF-IDF times its relevance: 1, and more the further its share of
+toxic examples lies from the average. No term and no example is left out of the index.
+
+The index is fitted on a bounded sample of labelled rows (`max_examples`); document
+frequencies cover all texts, and every whole text is scored. Terms are known by their
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,22 +20,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalog.session import cut_lineage
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 4_096
-MIN_Z = 6.0  # how far a term's share of toxic rows must lie above the average
-MIN_DF = 4
+USUAL_Z = 3.0  # a term's share of toxic rows may lie so far from the average by chance
 NEIGHBOURS = 25
 BLOCK = 64
+FREQUENT = 4  # a term in more than one of so many examples is frequent
 THRESHOLD = 0.7
 PRIOR_WEIGHT = 0.1
 
@@ -42,6 +46,19 @@ def terms(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def term_keys(words: Iterable[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64).view(np.int64)
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the `wanted` keys stand in the sorted `keys`, and which of them are there."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return at[hit], hit
+
+
 def sample_labels(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Up to `max_examples` labelled documents, the smallest by a hash of their id; a
     document with several labels is toxic if one says so. Null ids or labels are out."""
@@ -52,16 +69,23 @@ def sample_labels(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFr
 
 @dataclass
 class Index:
-    """Postings of `terms`, sorted by term and example; `top` is each term's largest weight
-    in each block."""
+    """Postings of the terms `keys`, sorted by term and example; `value` is a term's IDF times
+    its relevance. A frequent term has a number in `frequent` (else -1), its largest weight in
+    each block in `top`, and its weights a second time, by example, in `own_*`, with their length."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    keys: np.ndarray
+    value: np.ndarray
     starts: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
+    frequent: np.ndarray
     top: np.ndarray
+    own_starts: np.ndarray
+    own_terms: np.ndarray
+    own_weights: np.ndarray
+    own_length: np.ndarray
     labels: np.ndarray
+    ids: np.ndarray
     base: float
     neighbours: int
     slope: float = 1.0
@@ -69,59 +93,70 @@ class Index:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length weights; empty if no term is known."""
-        pairs = sorted((self.terms[w], n) for w, n in counts.items() if w in self.terms)
-        at = np.array([t for t, _ in pairs], dtype=np.int64)
-        weight = np.array([1 + math.log(n) for _, n in pairs]) * self.idf[at]
-        norm = math.sqrt(float(weight @ weight))
-        return (at, weight / norm) if norm else (at[:0], weight[:0])
+        at, hit = _places(self.keys, term_keys(counts))
+        n = np.fromiter(counts.values(), dtype=np.int64)[hit]
+        return _unit(at, n, self.value)
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, ties to the smaller number."""
-        bound = weight @ self.top[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores = np.zeros(len(self.labels))
-        first = 2 + k // BLOCK
-        self._add(scores, at, weight, order[:first])
-        kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = order[first:]
+        n = len(self.labels)
+        often = self.frequent[at]
+        rare = often < 0
+        start = self.starts[at[rare]]
+        size = self.starts[at[rare] + 1] - start
+        which = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        scores = np.bincount(self.examples[which], np.repeat(weight[rare], size) * self.weights[which], n)
+        asked = np.zeros(len(self.top))
+        asked[often[~rare]] = weight[~rare]
+        # What frequent terms can add: by the block's largest weights, and by the lengths of both.
+        most = np.repeat(weight[~rare] @ self.top[often[~rare]], BLOCK)[:n]
+        bound = scores + np.minimum(most, self.own_length * math.sqrt(float(asked @ asked)))
+        first = np.argpartition(-bound, k - 1)[:k] if n > k else np.arange(n)
+        kth = self._complete(scores, first, asked).min() if n > k else 0.0
         # A hair below the k-th score, so that rounding never hides a tie.
-        self._add(scores, at, weight, rest[bound[rest] >= kth * (1 - 1e-9)])
-        found = np.flatnonzero(scores > 0)
-        best = found[np.lexsort((found, -scores[found]))[:k]]
-        return best, scores[best]
-
-    def _add(self, scores: np.ndarray, at: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> None:
-        asked = np.zeros(self.top.shape[1], dtype=bool)
-        asked[blocks] = True
-        for t, w in zip(at, weight, strict=True):
-            low, high = self.starts[t], self.starts[t + 1]
-            which = self.examples[low:high]
-            inside = asked[which // BLOCK]
-            scores[which[inside]] += w * self.weights[low:high][inside]
-
-    def vote(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> float:
+        near = np.flatnonzero(bound >= kth * (1 - 1e-9))
+        whole = self._complete(scores, near, asked)
+        best = np.lexsort((near, -whole))[:k]
+        best = best[whole[best] > 0]
+        return near[best], whole[best]
+
+    def _complete(self, scores: np.ndarray, which: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Scores of some examples with their frequent terms."""
+        start = self.own_starts[which]
+        size = self.own_starts[which + 1] - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        gain = asked[self.own_terms[at]] * self.own_weights[at]
+        return scores[which] + np.bincount(np.repeat(np.arange(len(which)), size), gain, len(which))
+
+    def voters(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         best, sim = self.nearest(at, weight, self.neighbours + (without >= 0))
         keep = best != without
-        share = sim[keep][: self.neighbours] ** 2
-        toxic = share @ self.labels[best[keep][: self.neighbours]]
-        return float((toxic + PRIOR_WEIGHT * self.base) / (share.sum() + PRIOR_WEIGHT))
+        return best[keep][: self.neighbours], sim[keep][: self.neighbours]
+
+    def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
+        share = sim**2
+        return float((share @ self.labels[best] + PRIOR_WEIGHT * self.base) / (share.sum() + PRIOR_WEIGHT))
 
     def calibrated(self, vote: float) -> float:
         z = self.slope * _logit(vote) + self.offset
         return 1 / (1 + math.exp(-z))
 
-    def score(self, text: str | None, known: dict | None = None) -> float:
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, and the ids and similarities of the examples that vote."""
         at, weight = self.vector(terms(text))
         if not len(at):
-            return self.base
-        key = (at.tobytes(), weight.tobytes())
-        if known is not None and key in known:
-            return known[key]
-        value = self.calibrated(self.vote(at, weight))
-        if known is not None:
-            known[key] = value
-        return value
+            return self.base, self.ids[:0], weight
+        best, sim = self.voters(at, weight)
+        return self.calibrated(self.vote(best, sim)), self.ids[best], sim
+
+
+def _unit(at: np.ndarray, n: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted term numbers and weights of unit length, of terms that occur `n` times."""
+    order = np.argsort(at)
+    at = at[order]
+    weight = (1 + np.log(n[order])) * value[at]
+    norm = math.sqrt(float(weight @ weight))
+    return (at, weight / norm) if norm else (at[:0], weight[:0])
 
 
 def _logit(p: float) -> float:
@@ -144,119 +179,194 @@ def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 0.1), float(beta[1])
 
 
+def assemble(
+    keys: np.ndarray,
+    value: np.ndarray,
+    vectors: list[tuple[np.ndarray, np.ndarray]],
+    labels: np.ndarray,
+    ids: np.ndarray,
+    base: float,
+    neighbours: int,
+) -> Index:
+    """The index of examples (term numbers, weights), not yet calibrated."""
+    n = len(vectors)
+    sizes = [len(at) for at, _ in vectors]
+    at = np.concatenate([v[0] for v in vectors] or [np.zeros(0)]).astype(np.int32)
+    weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)]).astype(np.float32)
+    which = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    held = np.bincount(at, minlength=len(keys))
+    often = held * FREQUENT > n
+    frequent = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+    own = often[at]
+    own_terms, own_weights, block = frequent[at[own]], weight[own], which[own] // BLOCK
+    top = np.zeros((int(often.sum()), max(1, -(-n // BLOCK))))
+    np.maximum.at(top, (own_terms, block), own_weights)
+    own_starts = np.concatenate([[0], np.cumsum(np.bincount(which[own], minlength=n))])
+    own_length = np.sqrt(np.bincount(which[own], own_weights.astype(float) ** 2, n))
+    order = np.argsort(at, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(held)])
+    return Index(
+        keys, value, starts, which[order], weight[order], frequent, top, own_starts, own_terms, own_weights, own_length,
+        np.asarray(labels, dtype=float), ids, base, neighbours,
+    )
+
+
+def block_order(vectors: list[tuple[np.ndarray, np.ndarray]], names: list) -> list[int]:
+    """Examples that share their weightiest term lie together, so block bounds are tight."""
+    return sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), -float(vectors[i][1].max()), names[i]))
+
+
 def build_index(
     examples: list[tuple[dict[int, int], int]], names: list[str], idf: np.ndarray, base: float, neighbours: int
 ) -> Index:
-    """`examples`: (term number -> count, label), each with one term at least."""
+    """The calibrated index of a few examples: (term number -> count, label)."""
+    keys = term_keys(names)
+    order = np.argsort(keys)
+    keys, value, number = keys[order], idf[order], np.argsort(order)
     vectors = []
     for counts, label in examples:
-        at = np.array(sorted(counts), dtype=np.int64)
-        weight = np.array([1 + math.log(counts[t]) for t in at]) * idf[at]
-        norm = math.sqrt(float(weight @ weight))
-        if norm:
-            vectors.append((at, weight / norm, label))
-    # Examples that share their weightiest term lie together, so block bounds are tight.
-    vectors.sort(key=lambda v: (int(v[0][np.argmax(v[1])]), -float(v[1].max()), v[0].tobytes(), v[2]))
-    size = len(names)
-    n = len(vectors)
-    blocks = max(1, -(-n // BLOCK))
-    at = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, dtype=np.int64)
-    weight = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-    which = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.zeros(0, dtype=np.int64)
-    order = np.lexsort((which, at))
-    at, weight, which = at[order], weight[order], which[order]
-    top = np.zeros((size, blocks))
-    np.maximum.at(top, (at, which // BLOCK), weight)
-    starts = np.searchsorted(at, np.arange(size + 1))
+        at = number[np.fromiter(counts, dtype=np.int64)]
+        at, weight = _unit(at, np.fromiter(counts.values(), dtype=np.int64), value)
+        if len(at):
+            vectors.append((at, weight, label))
+    order = block_order([v[:2] for v in vectors], [(v[0].tobytes(), v[2]) for v in vectors])
+    vectors = [vectors[i] for i in order]
     labels = np.array([v[2] for v in vectors], dtype=float)
-    index = Index(
-        {w: i for i, w in enumerate(names)}, idf, starts, which, weight, top, labels, base, neighbours
-    )
-    votes = np.array([index.vote(v[0], v[1], without=i) for i, v in enumerate(vectors)])
-    if n:
-        index.slope, index.offset = _platt(votes, labels)
+    index = assemble(keys, value, [v[:2] for v in vectors], labels, np.arange(len(vectors)), base, neighbours)
+    if vectors:
+        votes = [index.vote(*index.voters(v[0], v[1], i)) for i, v in enumerate(vectors)]
+        index.slope, index.offset = _platt(np.array(votes), labels)
     return index
 
 
 def _sample_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [
-            (i, toxic, w, n)
-            for i, toxic, text in zip(batch["example"], batch["toxic"], batch["text"], strict=True)
-            for w, n in (terms(text) or {"": 1}).items()
-        ]
-        yield pd.DataFrame(rows, columns=["example", "toxic", "term", "n"])
+        found = [terms(text) for text in batch["text"]]
+        keys = [term_keys(f) for f in found]
+        yield batch[["doc_id", "example", "toxic"]].assign(t=keys, n=[list(f.values()) for f in found])
 
 
-def document_frequencies(docs: DataFrame, names: list[str]) -> dict[str, int]:
-    """In how many of all texts each of the given terms stands."""
-    wanted = set(names)
+def document_frequencies(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """In how many of all texts each of the terms with the given sorted keys stands."""
+    sent = docs.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen = np.zeros(len(sent.value), dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                seen.update(wanted.intersection(_WORD.findall((text or "").lower())))
-        yield pd.DataFrame({"term": pd.Series(list(seen.keys()), dtype=object), "n": list(seen.values())})
+                seen[_places(sent.value, term_keys(set(_WORD.findall((text or "").lower()))))[0]] += 1
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"t": at.astype(np.int32), "n": seen[at]})
+
+    rows = docs.select("text").mapInPandas(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(len(keys), dtype=np.int64)
+    held[rows["t"].to_numpy()] = rows["n"].to_numpy()
+    return held
+
 
-    rows = docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in rows.collect()}  # at most `max_terms`
+def relevance(df: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """1 for a term whose toxic examples are as many as chance may bring, more beyond it, on
+    either side. The 1 below the root keeps terms of a few examples from weighing much."""
+    z = (toxic - share * df) / np.sqrt(df * share * (1 - share) + 1)
+    return 1 + np.maximum(0, np.abs(z) - USUAL_Z)
+
+
+def _weighed(vectors: DataFrame, keys: np.ndarray, value: np.ndarray) -> DataFrame:
+    """The examples with terms: term numbers `at` and weights `w` in place of counts."""
+    sent = vectors.sparkSession.sparkContext.broadcast((keys, value))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_unit(_places(sent.value[0], t)[0], n, sent.value[1]) for t, n in zip(batch["t"], batch["n"], strict=True)]
+            batch = batch[["doc_id", "example", "toxic"]].assign(at=[at for at, _ in found], w=[w for _, w in found])
+            yield batch[batch["at"].map(len) > 0]
+
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    return cut_lineage(vectors.mapInPandas(run, f"doc_id {kind}, example string, toxic int, at array<int>, w array<float>"))
+
+
+def _calibrate(index: Index, weighed: DataFrame, names: list[str]) -> None:
+    """Slope and offset from the votes on the examples, each without itself."""
+    sent = weighed.sparkSession.sparkContext.broadcast(vars(index))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Index(**sent.value)
+        for batch in batches:
+            votes = [
+                own.vote(*own.voters(at, w.astype(float), i))
+                for at, w, i in zip(batch["at"], batch["w"], batch["number"], strict=True)
+            ]
+            yield pd.DataFrame({"number": batch["number"], "vote": votes})
+
+    numbers = weighed.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "example string, number int")
+    rows = weighed.join(F.broadcast(numbers), "example").select("number", "at", "w")
+    rows = rows.repartition(32, "number").mapInPandas(run, "number int, vote double").orderBy("number").toArrow()
+    index.slope, index.offset = _platt(rows["vote"].to_numpy(), index.labels)
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS,
     neighbours: int = NEIGHBOURS,
 ) -> Index:
-    """The index of a sample of labelled rows of `docs`. What reaches the driver is bounded
-    by `max_examples` and `max_terms`. Without labelled texts every score is 0."""
+    """The index of a sample of labelled rows of `docs`, over all their terms. What reaches the
+    driver is bounded by `max_examples`. Without labelled texts every score is 0."""
     sample = F.broadcast(sample_labels(labels, max_examples))
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
     example = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
-    rows = rows.select(example.alias("example"), "toxic", "text")
-    counts = cut_lineage(rows.mapInPandas(_sample_terms, "example string, toxic int, term string, n long"))
-
-    # A row without words has the empty term, so all rows are counted.
-    total = counts.select("example", "toxic").distinct().agg(F.count("*"), F.sum("toxic")).first()
-    n, toxic = total[0], total[1] or 0
-    share = toxic / max(n, 1)
-    if not 0 < toxic < n:
+    rows = rows.withColumn("example", example).dropDuplicates(["example"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, example string, toxic int, t array<long>, n array<int>"
+    vectors = cut_lineage(rows.mapInPandas(_sample_terms, schema))
+
+    n, toxic = vectors.agg(F.count("*"), F.sum("toxic")).first()
+    share = (toxic or 0) / max(n, 1)
+    if not 0 < share < 1:
         return build_index([], [], np.zeros(0), float(share), neighbours)
-    by_term = counts.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("dt"))
-    z = (F.col("dt") - share * F.col("df")) / F.sqrt(F.col("df") * (share * (1 - share)))
-    strong = by_term.where(F.col("df") >= MIN_DF).withColumn("z", z).where(F.col("z") >= MIN_Z)
-    strong = strong.where(F.col("dt") * 2 >= F.col("df")).orderBy(F.desc("z"), "term").limit(max_terms)
-    names = [r["term"] for r in strong.collect()]
-    numbers = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "term string, t int")
-    vectors = (
-        counts.join(F.broadcast(numbers), "term")
-        .groupBy("example", "toxic")
-        .agg(F.collect_set(F.struct("t", "n")).alias("v"))
-        .orderBy("example")
-        .collect()
-    )
-    held = document_frequencies(docs, names)
-    texts = docs.count()
-    idf = np.array([math.log((texts + 1) / (held.get(w, 0) + 1)) for w in names])
-    with_terms = [({t: c for t, c in r["v"]}, r["toxic"]) for r in vectors]
-    rest = n - len(vectors)
-    base = (toxic - sum(label for _, label in with_terms)) / max(rest, 1)
-    return build_index(with_terms, names, idf, float(base), neighbours)
-
-
-def score(docs: DataFrame, index: Index, name: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 for each row; a null, empty or unknown text gets the
-    share of toxic rows among examples without any term of the index."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(index))
+    by_term = vectors.select("toxic", F.explode("t").alias("t")).groupBy("t")
+    by_term = by_term.agg(F.count("*").alias("df"), F.sum("toxic").alias("dt")).orderBy("t").toArrow()
+    keys, df, dt = (by_term[c].to_numpy() for c in ("t", "df", "dt"))
+    idf = np.log((docs.count() + 1) / (document_frequencies(docs, keys) + 1))
+    value = idf * relevance(df, dt, share)
+
+    weighed = _weighed(vectors, keys, value)
+    table = weighed.toArrow().combine_chunks()
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in table["at"]])]).tolist()
+    at, w = (table[c].combine_chunks().flatten().to_numpy() for c in ("at", "w"))
+    found = [(at[low:high], w[low:high]) for low, high in zip(ends, ends[1:], strict=False)]
+    names = table["example"].to_pylist()
+    order = block_order(found, names)
+    toxic, ids = table["toxic"].to_numpy()[order], table["doc_id"].to_numpy()[order]
+    index = assemble(keys, value, [found[i] for i in order], toxic, ids, float(share), neighbours)
+    if names:
+        _calibrate(index, weighed, [names[i] for i in order])
+    return index
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        own, known = Index(**sent.value), {}
-        return pd.Series([own.score(t, known) for t in texts], dtype=float)
 
-    return docs.withColumn(name, of(F.col("text")))
+def score(docs: DataFrame, index: Index, name: str = "score", evidence: bool = False) -> DataFrame:
+    """`docs` with a score from 0 to 1 for each row; a null or empty text, or one without any
+    term of the index, gets the share of toxic rows among the examples. With `evidence`, also
+    `example_ids` and `example_similarities` of the examples that voted, nearest first."""
+    sent = docs.sparkSession.sparkContext.broadcast(vars(index))
+    kind = docs.schema["doc_id"].dataType.simpleString() if evidence else "long"
+    fields = f"score double, example_ids array<{kind}>, example_similarities array<double>" if evidence else "score double"
+
+    @F.pandas_udf(fields)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        own, known, out = Index(**sent.value), {}, []
+        for t in texts:
+            if t not in known:
+                found = own.score(t)
+                known[t] = found if evidence else found[:1]
+            out.append(known[t])
+        columns = ["score", "example_ids", "example_similarities"]
+        return pd.DataFrame(out, columns=columns if evidence else columns[:1])
+
+    if not evidence:
+        return docs.withColumn(name, of(F.col("text"))["score"])
+    rows = docs.withColumn("_found", of(F.col("text"))).withColumn(name, F.col("_found.score"))
+    return rows.select("*", "_found.example_ids", "_found.example_similarities").drop("_found")
 
 
 def in_fold(doc_id: Column, parts: int, fold: int) -> Column:
@@ -271,14 +381,16 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of `docs`; labels are learned from
-    documents that are not held out."""
+    """doc_id, held_out, score, predicted and the evidence (see `score`) for each row of `docs`;
+    labels are learned from documents that are not held out."""
     learned = labels.where(~in_fold(F.col("doc_id"), 3, 1))
     index = fit(docs, learned)
-    scored = score(docs.select("doc_id", "text"), index)
+    scored = score(docs.select("doc_id", "text"), index, evidence=True)
     return scored.select(
         "doc_id",
         in_fold(F.col("doc_id"), 3, 1).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        "example_ids",
+        "example_similarities",
     )

@@ -72,6 +72,43 @@ def test_search_is_exact():
     assert votes == sorted(votes)
 
 
+def test_whole_query_against_all_pairs(spark):
+    docs, labels = labelled()
+    docs += [(900, " ".join(["ugly", *prose(900, 30).split(), "hapaxword"])), (901, None), (902, "unheardof")]
+    docs += [(i, docs[-3][1]) for i in range(1000, 1040)]
+    labels += [(900, 0, 1), (901, 0, 0)]
+    assert zlib.crc32(b"900") % 3 != 1
+    rows = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    label = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    text = dict(docs)
+    share = np.mean(list(label.values()))
+    df, held, toxic = (Counter(w for i in ids for w in toxicity.terms(text[i])) for ids in (text, label, [i for i in label if label[i]]))
+
+    def vector(t):
+        out = {}
+        for w, n in toxicity.terms(t).items():
+            if w in held:
+                z = (toxic[w] - share * held[w]) / math.sqrt(held[w] * share * (1 - share) + 1)
+                out[w] = (1 + math.log(n)) * math.log((len(text) + 1) / (df[w] + 1)) * (1 + max(0, abs(z) - 3))
+        norm = math.sqrt(sum(x * x for x in out.values()))
+        return {w: x / norm for w, x in out.items()}
+
+    examples = {i: v for i in label if (v := vector(text[i]))}
+    for r in rows:
+        own = vector(r and text[r.doc_id])
+        want = sorted(((sum(x * v.get(w, 0) for w, x in own.items()), i) for i, v in examples.items()), reverse=True)
+        want = [(s, i) for s, i in want if s > 0]
+        assert np.allclose(r.example_similarities, [s for s, _ in want[:25]], atol=1e-5)
+        assert {i for s, i in want if s > (want[24][0] if len(want) > 24 else 0) + 1e-5} <= set(r.example_ids)
+    # Copies of a toxic example are found by it, though its words stand in no other example.
+    found = {r.doc_id: r for r in rows}
+    rest = np.mean([r.score for r in rows if r.held_out and not label.get(r.doc_id) and r.doc_id < 900])
+    for i in range(1000, 1040):
+        assert found[i].example_ids[0] == 900 and found[i].example_similarities[0] > 0.999
+        assert found[i].score > 0.5 > rest
+    assert list(found[902].example_ids) == []
+
+
 def test_without_labels_rows_or_texts(spark, tables, no_docs):
     docs, labels = tables
     none = labels.limit(0)
