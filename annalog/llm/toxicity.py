@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +91,11 @@ class Index:
     neighbours: int
     slope: float = 1.0
     offset: float = 0.0
+    sent: Broadcast | None = None
+
+    def parts(self) -> dict:
+        """What a task builds the index from, but for its curve."""
+        return {k: v for k, v in vars(self).items() if k not in ("slope", "offset", "sent")}
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length weights; empty if no term is known."""
@@ -261,6 +267,7 @@ def document_frequencies(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
     rows = docs.select("text").mapInPandas(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     held = np.zeros(len(keys), dtype=np.int64)
     held[rows["t"].to_numpy()] = rows["n"].to_numpy()
+    sent.destroy()
     return held
 
 
@@ -282,12 +289,15 @@ def _weighed(vectors: DataFrame, keys: np.ndarray, value: np.ndarray) -> DataFra
             yield batch[batch["at"].map(len) > 0]
 
     kind = vectors.schema["doc_id"].dataType.simpleString()
-    return cut_lineage(vectors.mapInPandas(run, f"doc_id {kind}, example string, toxic int, at array<int>, w array<float>"))
+    out = cut_lineage(vectors.mapInPandas(run, f"doc_id {kind}, example string, toxic int, at array<int>, w array<float>"))
+    sent.destroy()
+    return out
 
 
 def _calibrate(index: Index, weighed: DataFrame, names: list[str]) -> None:
-    """Slope and offset from the votes on the examples, each without itself."""
-    sent = weighed.sparkSession.sparkContext.broadcast(vars(index))
+    """Slope and offset from the votes on the examples, each without itself. The index is sent
+    once, and stays for `score`."""
+    sent = index.sent = weighed.sparkSession.sparkContext.broadcast(index.parts())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Index(**sent.value)
@@ -300,8 +310,9 @@ def _calibrate(index: Index, weighed: DataFrame, names: list[str]) -> None:
 
     numbers = weighed.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "example string, number int")
     rows = weighed.join(F.broadcast(numbers), "example").select("number", "at", "w")
-    rows = rows.repartition(32, "number").mapInPandas(run, "number int, vote double").orderBy("number").toArrow()
-    index.slope, index.offset = _platt(rows["vote"].to_numpy(), index.labels)
+    rows = rows.repartition(32, "number").mapInPandas(run, "number int, vote double").toArrow()
+    order = np.argsort(rows["number"].to_numpy())
+    index.slope, index.offset = _platt(rows["vote"].to_numpy()[order], index.labels)
 
 
 def fit(
@@ -348,13 +359,14 @@ def score(docs: DataFrame, index: Index, name: str = "score", evidence: bool = F
     """`docs` with a score from 0 to 1 for each row; a null or empty text, or one without any
     term of the index, gets the share of toxic rows among the examples. With `evidence`, also
     `example_ids` and `example_similarities` of the examples that voted, nearest first."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(index))
+    sent = index.sent or docs.sparkSession.sparkContext.broadcast(index.parts())
+    slope, offset = index.slope, index.offset
     kind = docs.schema["doc_id"].dataType.simpleString() if evidence else "long"
     fields = f"score double, example_ids array<{kind}>, example_similarities array<double>" if evidence else "score double"
 
     @F.pandas_udf(fields)
     def of(texts: pd.Series) -> pd.DataFrame:
-        own, known, out = Index(**sent.value), {}, []
+        own, known, out = Index(**sent.value, slope=slope, offset=offset), {}, []
         for t in texts:
             if t not in known:
                 found = own.score(t)
