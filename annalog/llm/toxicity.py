@@ -2,8 +2,9 @@
 
 Exact TF-IDF cosine over all terms of the examples, searched in a block-max inverted index.
 The postings of rare terms are added up; frequent terms keep their largest weight per block
-of examples, and an example is completed by them only if these can still lift it to the
-k-th best score. The neighbours' labels vote, weighted by similarity, and the vote is
+of examples, and a block is completed by them only if these can still lift one of its examples
+to the k-th best score: for many texts at once, by a product of single precision. What comes near
+the k-th score is computed again in double precision. The neighbours' labels vote, weighted by similarity, and the vote is
 calibrated on the examples themselves, each scored without itself. The neighbours are
 returned as evidence.
 
@@ -25,30 +26,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalog.llm.common import give_back
 from annalog.session import cut_lineage
 
 MAX_EXAMPLES = 20_000
 USUAL_Z = 3.0  # a term's share of toxic rows may lie so far from the average by chance
 NEIGHBOURS = 25
-BLOCK = 64
-FREQUENT = 4  # a term in more than one of so many examples is frequent
+BLOCK = 128
+FREQUENT = 16  # a term in more than one of so many examples is frequent
+TOGETHER = 128  # texts that are searched at once
 THRESHOLD = 0.7
 PRIOR_WEIGHT = 0.1
 
 _WORD = re.compile(r"\w+")
 
 
+# ASCII letters and digits lower-cased, `_` as it is, a space for all others.
+_PLAIN = bytes(ord(chr(i).lower()) if i < 128 and _WORD.match(chr(i)) else 32 for i in range(256))
+
+
+def _spaced(text: str | None) -> str:
+    """The runs of word characters of the lower-cased text, with spaces between them."""
+    text = text or ""
+    if text.isascii():
+        return text.encode().translate(_PLAIN).decode()
+    return " ".join(x if x.isalnum() else " ".join(_WORD.findall(x)) for x in text.lower().split())
+
+
 def terms(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+    return Counter(_spaced(text).split())
 
 
 def term_keys(words: Iterable[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64).view(np.int64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64).view(np.int64)
 
 
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +77,21 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[hit], hit
 
 
+def counted(texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often the terms with the given sorted keys stand in each text: the text's place, the
+    term's number and its count, sorted by place and number. Each word is looked up once."""
+    lists = pc.ascii_split_whitespace(pa.array(map(_spaced, texts), pa.large_string()))
+    found = lists.flatten().dictionary_encode()
+    at, hit = _places(keys, term_keys(found.dictionary.to_numpy(zero_copy_only=False)))
+    number = np.full(len(hit), -1)
+    number[hit] = at
+    number = number[found.indices.to_numpy()]
+    place = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    known = number >= 0
+    both, n = np.unique(place[known] * len(keys) + number[known], return_counts=True)
+    return *np.divmod(both, max(len(keys), 1)), n
+
+
 def sample_labels(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Up to `max_examples` labelled documents, the smallest by a hash of their id; a
     document with several labels is toxic if one says so. Null ids or labels are out."""
@@ -72,7 +104,7 @@ def sample_labels(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFr
 class Index:
     """Postings of the terms `keys`, sorted by term and example; `value` is a term's IDF times
     its relevance. A frequent term has a number in `frequent` (else -1), its largest weight in
-    each block in `top`, and its weights a second time, by example, in `own_*`, with their length."""
+    each block in `top`, and its weights a second time, by example, in `own_*`."""
 
     keys: np.ndarray
     value: np.ndarray
@@ -84,7 +116,6 @@ class Index:
     own_starts: np.ndarray
     own_terms: np.ndarray
     own_weights: np.ndarray
-    own_length: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     base: float
@@ -93,9 +124,12 @@ class Index:
     offset: float = 0.0
     sent: Broadcast | None = None
 
+    def __post_init__(self) -> None:
+        self._steps = np.arange(1 << 16)
+
     def parts(self) -> dict:
         """What a task builds the index from, but for its curve."""
-        return {k: v for k, v in vars(self).items() if k not in ("slope", "offset", "sent")}
+        return {k: v for k, v in vars(self).items() if k not in ("slope", "offset", "sent") and k[0] != "_"}
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length weights; empty if no term is known."""
@@ -103,41 +137,96 @@ class Index:
         n = np.fromiter(counts.values(), dtype=np.int64)[hit]
         return _unit(at, n, self.value)
 
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The vector of each text."""
+        place, at, n = counted(texts, self.keys)
+        ends = np.searchsorted(place, np.arange(len(texts) + 1)).tolist()
+        return [_unit(at[low:high], n[low:high], self.value) for low, high in zip(ends, ends[1:], strict=False)]
+
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0, ties to the smaller number."""
+        return self.search([(at, weight)], k)[0]
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of the largest cosine above 0, ties to the smaller
+        number, and these cosines."""
         n = len(self.labels)
-        often = self.frequent[at]
-        rare = often < 0
-        start = self.starts[at[rare]]
-        size = self.starts[at[rare] + 1] - start
-        which = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        scores = np.bincount(self.examples[which], np.repeat(weight[rare], size) * self.weights[which], n)
-        asked = np.zeros(len(self.top))
-        asked[often[~rare]] = weight[~rare]
-        # What frequent terms can add: by the block's largest weights, and by the lengths of both.
-        most = np.repeat(weight[~rare] @ self.top[often[~rare]], BLOCK)[:n]
-        bound = scores + np.minimum(most, self.own_length * math.sqrt(float(asked @ asked)))
-        first = np.argpartition(-bound, k - 1)[:k] if n > k else np.arange(n)
-        kth = self._complete(scores, first, asked).min() if n > k else 0.0
-        # A hair below the k-th score, so that rounding never hides a tie.
-        near = np.flatnonzero(bound >= kth * (1 - 1e-9))
-        whole = self._complete(scores, near, asked)
-        best = np.lexsort((near, -whole))[:k]
-        best = best[whole[best] > 0]
-        return near[best], whole[best]
-
-    def _complete(self, scores: np.ndarray, which: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """Scores of some examples with their frequent terms."""
+        rare, asked = np.empty((len(vectors), n)), np.zeros((len(vectors), len(self.top)))
+        for row, (at, weight) in enumerate(vectors):
+            often = self.frequent[at]
+            few = often < 0
+            rare[row] = self._rare(at[few], weight[few])
+            asked[row, often[~few]] = weight[~few]
+        near = [np.arange(n)] * len(rare)
+        if n > k:
+            whole = self._whole(rare, asked, k)
+            # Below the k-th score by the rounding of both, so that it never hides an example.
+            slack, least = 4 * np.finfo(np.float32).eps * (len(self.top) + 2), np.finfo(np.float32).tiny
+            near = [np.flatnonzero(x >= max(np.partition(x, n - k)[n - k] * (1 - slack), least)) for x in whole]
+        step = len(near) if sum(map(len, near)) < 4 * k * len(near) else 1
+        out = []
+        for i in range(0, len(near), step or 1):
+            out += self._best(near[i : i + step], rare[i : i + step], asked[i : i + step], k)
+        return out
+
+    def _rare(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        start = self.starts[at]
+        size = self.starts[at + 1] - start
+        which = np.repeat(start - np.cumsum(size) + size, size)
+        if len(which) > len(self._steps):
+            self._steps = np.arange(2 * len(which))
+        which += self._steps[: len(which)]
+        gain = np.repeat(weight, size)
+        gain *= self.weights[which]
+        return np.bincount(self.examples[which], gain, len(self.labels))
+
+    def _whole(self, rare: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+        """Scores in single precision; 0 in the blocks that cannot reach the k-th score."""
+        n, m = len(self.labels), len(self.top)
+        lows = np.arange(0, n, BLOCK)
+        high = np.maximum.reduceat(rare, lows, axis=1)
+        most = asked @ self.top
+        # Each of the k best blocks has an example that scores so much already.
+        floor = np.partition(high, -k, axis=1)[:, -k:].min(axis=1) if len(lows) >= k else np.zeros(len(rare))
+        can = high + most >= floor[:, None] * (1 - 1e-9)
+        whole, asked = rare.astype(np.float32), asked.astype(np.float32)
+        for block, low in enumerate(lows.tolist()):
+            end = min(low + BLOCK, n)
+            whole[~can[:, block], low:end] = 0
+            rows = np.flatnonzero(can[:, block] & (most[:, block] > 0))
+            if not len(rows):
+                continue
+            starts = self.own_starts[low : end + 1]
+            own = slice(starts[0], starts[-1])
+            weights = np.zeros((end - low) * m, dtype=np.float32)
+            weights[np.repeat(np.arange(end - low) * m, np.diff(starts)) + self.own_terms[own]] = self.own_weights[own]
+            weights = weights.reshape(end - low, m)
+            if len(rows) == len(whole):
+                whole[:, low:end] += asked @ weights.T
+            else:
+                whole[rows, low:end] += asked[rows] @ weights.T
+        return whole
+
+    def _best(self, near: list[np.ndarray], rare: np.ndarray, asked: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """In each row the k best of the `near` examples, in double precision."""
+        row, which = np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate(near)
         start = self.own_starts[which]
         size = self.own_starts[which + 1] - start
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        gain = asked[self.own_terms[at]] * self.own_weights[at]
-        return scores[which] + np.bincount(np.repeat(np.arange(len(which)), size), gain, len(which))
-
-    def voters(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        best, sim = self.nearest(at, weight, self.neighbours + (without >= 0))
-        keep = best != without
-        return best[keep][: self.neighbours], sim[keep][: self.neighbours]
+        gain = asked[np.repeat(row, size), self.own_terms[at]] * self.own_weights[at]
+        whole = rare[row, which] + np.bincount(np.repeat(np.arange(len(which)), size), gain, len(which))
+        order = np.lexsort((which, -whole, row))
+        order = order[whole[order] > 0]
+        ends = np.searchsorted(row[order], np.arange(len(near) + 1))
+        best = [order[low : min(low + k, high)] for low, high in zip(ends, ends[1:], strict=False)]
+        return [(which[x], whole[x]) for x in best]
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: Iterable[int]) -> list[float]:
+        """The votes on examples, each without itself."""
+        out = []
+        for (best, sim), i in zip(self.search(vectors, self.neighbours + 1), without, strict=True):
+            keep = best != i
+            out.append(self.vote(best[keep][: self.neighbours], sim[keep][: self.neighbours]))
+        return out
 
     def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
         share = sim**2
@@ -147,13 +236,14 @@ class Index:
         z = self.slope * _logit(vote) + self.offset
         return 1 / (1 + math.exp(-z))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The score, and the ids and similarities of the examples that vote."""
-        at, weight = self.vector(terms(text))
-        if not len(at):
-            return self.base, self.ids[:0], weight
-        best, sim = self.voters(at, weight)
-        return self.calibrated(self.vote(best, sim)), self.ids[best], sim
+    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the score, and the ids and similarities of the examples that vote."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            vectors = self.vectors(texts[i : i + TOGETHER])
+            for (at, _), (best, sim) in zip(vectors, self.search(vectors, self.neighbours), strict=True):
+                out.append((self.calibrated(self.vote(best, sim)) if len(at) else self.base, self.ids[best], sim))
+        return out
 
 
 def _unit(at: np.ndarray, n: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,38 +278,43 @@ def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def assemble(
     keys: np.ndarray,
     value: np.ndarray,
-    vectors: list[tuple[np.ndarray, np.ndarray]],
+    held: np.ndarray,
+    examples: np.ndarray,
+    weights: np.ndarray,
     labels: np.ndarray,
     ids: np.ndarray,
     base: float,
     neighbours: int,
 ) -> Index:
-    """The index of examples (term numbers, weights), not yet calibrated."""
-    n = len(vectors)
-    sizes = [len(at) for at, _ in vectors]
-    at = np.concatenate([v[0] for v in vectors] or [np.zeros(0)]).astype(np.int32)
-    weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)]).astype(np.float32)
-    which = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    held = np.bincount(at, minlength=len(keys))
-    often = held * FREQUENT > n
-    frequent = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-    own = often[at]
-    own_terms, own_weights, block = frequent[at[own]], weight[own], which[own] // BLOCK
-    top = np.zeros((int(often.sum()), max(1, -(-n // BLOCK))))
-    np.maximum.at(top, (own_terms, block), own_weights)
-    own_starts = np.concatenate([[0], np.cumsum(np.bincount(which[own], minlength=n))])
-    own_length = np.sqrt(np.bincount(which[own], own_weights.astype(float) ** 2, n))
-    order = np.argsort(at, kind="stable")
+    """The index, not yet calibrated, from its postings and how many each term has."""
+    n = len(labels)
     starts = np.concatenate([[0], np.cumsum(held)])
+    often = np.flatnonzero(held * FREQUENT > n)
+    frequent = np.full(len(keys), -1, dtype=np.int32)
+    frequent[often] = np.arange(len(often))
+    spans = [slice(low, high) for low, high in zip(starts[often], starts[often + 1], strict=True)]
+    which = np.concatenate([examples[x] for x in spans] or [examples[:0]])
+    own_weights = np.concatenate([weights[x] for x in spans] or [weights[:0]])
+    own_terms = np.repeat(np.arange(len(often), dtype=np.int32), held[often])
+    top = np.zeros((len(often), max(1, -(-n // BLOCK))))
+    np.maximum.at(top, (own_terms, which // BLOCK), own_weights)
+    order = np.argsort(which, kind="stable")
+    own_starts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))])
     return Index(
-        keys, value, starts, which[order], weight[order], frequent, top, own_starts, own_terms, own_weights, own_length,
+        keys, value, starts, examples, weights, frequent, top, own_starts, own_terms[order], own_weights[order],
         np.asarray(labels, dtype=float), ids, base, neighbours,
     )
 
 
-def block_order(vectors: list[tuple[np.ndarray, np.ndarray]], names: list) -> list[int]:
+def block_order(leads: list[int], most: list[float], names: list) -> list[int]:
     """Examples that share their weightiest term lie together, so block bounds are tight."""
-    return sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), -float(vectors[i][1].max()), names[i]))
+    return sorted(range(len(leads)), key=lambda i: (leads[i], -most[i], names[i]))
+
+
+def _lead(at: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
+    """The weightiest term and its weight."""
+    i = int(np.argmax(weight))
+    return int(at[i]), float(weight[i])
 
 
 def build_index(
@@ -235,12 +330,18 @@ def build_index(
         at, weight = _unit(at, np.fromiter(counts.values(), dtype=np.int64), value)
         if len(at):
             vectors.append((at, weight, label))
-    order = block_order([v[:2] for v in vectors], [(v[0].tobytes(), v[2]) for v in vectors])
+    leads = [_lead(*v[:2]) for v in vectors]
+    order = block_order(*zip(*leads, strict=True), [(v[0].tobytes(), v[2]) for v in vectors]) if vectors else []
     vectors = [vectors[i] for i in order]
     labels = np.array([v[2] for v in vectors], dtype=float)
-    index = assemble(keys, value, [v[:2] for v in vectors], labels, np.arange(len(vectors)), base, neighbours)
+    at = np.concatenate([v[0] for v in vectors] or [np.zeros(0, dtype=np.int64)])
+    weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)]).astype(np.float32)
+    which = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0]) for v in vectors])
+    order = np.argsort(at, kind="stable")
+    held = np.bincount(at, minlength=len(keys))
+    index = assemble(keys, value, held, which[order], weight[order], labels, np.arange(len(vectors)), base, neighbours)
     if vectors:
-        votes = [index.vote(*index.voters(v[0], v[1], i)) for i, v in enumerate(vectors)]
+        votes = index.votes([v[:2] for v in vectors], range(len(vectors)))
         index.slope, index.offset = _platt(np.array(votes), labels)
     return index
 
@@ -259,8 +360,8 @@ def document_frequencies(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(len(sent.value), dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                seen[_places(sent.value, term_keys(set(_WORD.findall((text or "").lower()))))[0]] += 1
+            for i in range(0, len(batch), TOGETHER):
+                seen += np.bincount(counted(batch["text"].iloc[i : i + TOGETHER], sent.value)[1], minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"t": at.astype(np.int32), "n": seen[at]})
 
@@ -279,38 +380,41 @@ def relevance(df: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
 
 
 def _weighed(vectors: DataFrame, keys: np.ndarray, value: np.ndarray) -> DataFrame:
-    """The examples with terms: term numbers `at` and weights `w` in place of counts."""
+    """The examples with terms: term numbers `at` and weights `w` in place of counts, the
+    weightiest term `lead` and its weight `most`."""
     sent = vectors.sparkSession.sparkContext.broadcast((keys, value))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [_unit(_places(sent.value[0], t)[0], n, sent.value[1]) for t, n in zip(batch["t"], batch["n"], strict=True)]
-            batch = batch[["doc_id", "example", "toxic"]].assign(at=[at for at, _ in found], w=[w for _, w in found])
-            yield batch[batch["at"].map(len) > 0]
+            leads = [_lead(at, w) if len(at) else (-1, 0.0) for at, w in found]
+            batch = batch[["doc_id", "example", "toxic"]].assign(
+                at=[at for at, _ in found], w=[w for _, w in found], lead=[x for x, _ in leads], most=[x for _, x in leads]
+            )
+            yield batch[batch["lead"] >= 0]
 
     kind = vectors.schema["doc_id"].dataType.simpleString()
-    out = cut_lineage(vectors.mapInPandas(run, f"doc_id {kind}, example string, toxic int, at array<int>, w array<float>"))
+    out = cut_lineage(vectors.mapInPandas(run, f"doc_id {kind}, example string, toxic int, at array<int>, w array<float>, lead int, most double"))
     sent.destroy()
     return out
 
 
-def _calibrate(index: Index, weighed: DataFrame, names: list[str]) -> None:
+def _calibrate(index: Index, numbered: DataFrame) -> None:
     """Slope and offset from the votes on the examples, each without itself. The index is sent
     once, and stays for `score`."""
-    sent = index.sent = weighed.sparkSession.sparkContext.broadcast(index.parts())
+    sent = index.sent = numbered.sparkSession.sparkContext.broadcast(index.parts())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Index(**sent.value)
         for batch in batches:
-            votes = [
-                own.vote(*own.voters(at, w.astype(float), i))
-                for at, w, i in zip(batch["at"], batch["w"], batch["number"], strict=True)
-            ]
+            votes = []
+            for i in range(0, len(batch), TOGETHER):
+                some = batch.iloc[i : i + TOGETHER]
+                vectors = [(at, w.astype(float)) for at, w in zip(some["at"], some["w"], strict=True)]
+                votes += own.votes(vectors, some["number"])
             yield pd.DataFrame({"number": batch["number"], "vote": votes})
 
-    numbers = weighed.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "example string, number int")
-    rows = weighed.join(F.broadcast(numbers), "example").select("number", "at", "w")
-    rows = rows.repartition(32, "number").mapInPandas(run, "number int, vote double").toArrow()
+    rows = numbered.select("number", "at", "w").repartition(32, "number").mapInPandas(run, "number int, vote double").toArrow()
     order = np.argsort(rows["number"].to_numpy())
     index.slope, index.offset = _platt(rows["vote"].to_numpy()[order], index.labels)
 
@@ -342,16 +446,25 @@ def fit(
     value = idf * relevance(df, dt, share)
 
     weighed = _weighed(vectors, keys, value)
-    table = weighed.toArrow().combine_chunks()
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in table["at"]])]).tolist()
-    at, w = (table[c].combine_chunks().flatten().to_numpy() for c in ("at", "w"))
-    found = [(at[low:high], w[low:high]) for low, high in zip(ends, ends[1:], strict=False)]
-    names = table["example"].to_pylist()
-    order = block_order(found, names)
-    toxic, ids = table["toxic"].to_numpy()[order], table["doc_id"].to_numpy()[order]
-    index = assemble(keys, value, [found[i] for i in order], toxic, ids, float(share), neighbours)
+    heads = weighed.select("doc_id", "example", "toxic", "lead", "most").toArrow()
+    names = heads["example"].to_pylist()
+    order = block_order(heads["lead"].to_pylist(), heads["most"].to_pylist(), names)
+    toxic, ids = heads["toxic"].to_numpy()[order], heads["doc_id"].to_numpy()[order]
+    numbers = docs.sparkSession.createDataFrame([(names[i], n) for n, i in enumerate(order)], "example string, number int")
+    numbered = weighed.join(F.broadcast(numbers), "example")
+
+    counts = weighed.select(F.explode("at").alias("t")).groupBy("t").count().toArrow()
+    held = np.zeros(len(keys), dtype=np.int64)
+    held[counts["t"].to_numpy()] = counts["count"].to_numpy()
+    # Spark sorts the postings, so the driver only passes them on.
+    rows = numbered.select("number", F.explode(F.arrays_zip("at", "w")).alias("x")).select("x.at", "number", "x.w")
+    rows = rows.orderBy("at", "number").select("number", "w").toArrow()
+    examples, weights = rows["number"].to_numpy(), rows["w"].to_numpy()
+    del rows, counts, by_term, heads
+    give_back()
+    index = assemble(keys, value, held, examples, weights, toxic, ids, float(share), neighbours)
     if names:
-        _calibrate(index, weighed, [names[i] for i in order])
+        _calibrate(index, numbered)
     return index
 
 
@@ -366,14 +479,12 @@ def score(docs: DataFrame, index: Index, name: str = "score", evidence: bool = F
 
     @F.pandas_udf(fields)
     def of(texts: pd.Series) -> pd.DataFrame:
-        own, known, out = Index(**sent.value, slope=slope, offset=offset), {}, []
-        for t in texts:
-            if t not in known:
-                found = own.score(t)
-                known[t] = found if evidence else found[:1]
-            out.append(known[t])
+        give_back()
+        own = Index(**sent.value, slope=slope, offset=offset)
+        codes, different = pd.factorize(texts, use_na_sentinel=False)
+        found = own.scores([None if pd.isna(t) else t for t in different])
         columns = ["score", "example_ids", "example_similarities"]
-        return pd.DataFrame(out, columns=columns if evidence else columns[:1])
+        return pd.DataFrame([found[i] for i in codes], columns=columns) if evidence else pd.DataFrame({"score": [found[i][0] for i in codes]})
 
     if not evidence:
         return docs.withColumn(name, of(F.col("text"))["score"])

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -72,6 +73,43 @@ def test_search_is_exact():
     assert votes == sorted(votes)
 
 
+def test_words_are_counted_as_the_pattern_finds_them():
+    texts = [t for _, t in ODD] + ["\x1c\x1da b_c", "\u00c9 \u03b5 \u03a3\u0391\u03a3. x\u00b2y \u0130stanbul \ufb01", "a\u00a0b\u2003c\u200bd\u0301", "'q' 12_3\x0b\n\tQ", "_-_ caf\u00e9's \u65e5\u672c\u3001abc"]
+    want = [Counter(re.findall(r"\w+", (t or "").lower())) for t in texts]
+    assert [toxicity.terms(t) for t in texts] == want
+    keys = np.sort(toxicity.term_keys(sorted(set().union(*want))[::2]))
+    place, at, n = toxicity.counted(texts, keys)
+    named = {int(k): w for w in set().union(*want) for k in toxicity.term_keys([w]) if k in keys}
+    found = [{} for _ in texts]
+    for i, t, m in zip(place, at, n, strict=True):
+        found[i][named[int(keys[t])]] = m
+    assert found == [{w: m for w, m in c.items() if w in named.values()} for c in want]
+
+
+def test_many_texts_are_searched_at_once_as_one_by_one():
+    rng = random.Random(6)
+    names = [f"t{i}" for i in range(400)]
+    draw = lambda n: Counter(names[min(int(rng.expovariate(1 / 40)), 399)] for _ in range(n))
+    examples = [draw(rng.choice([3, 12, 60])) for _ in range(5000)] + [Counter({"t1": 1, "t399": 2})] * 200  # copies: ties
+    idf = np.array([0.05 + i / 400 for i in range(400)])
+    index = toxicity.build_index([({int(w[1:]): m for w, m in c.items()}, i % 2) for i, c in enumerate(examples)], names, idf, 0.5, 25)
+    assert 0 < len(index.top) < 400
+    dense = np.zeros((len(index.labels), 400))
+    for t in range(400):
+        low, high = index.starts[t], index.starts[t + 1]
+        dense[index.examples[low:high], t] = index.weights[low:high]
+    texts = [" ".join(draw(rng.choice([1, 5, 60])).elements()) for _ in range(150)] + ["", None, "unknown", "t399 t399 t1", "t0", "t398"]
+    vectors = index.vectors(texts)
+    for text, (at, weight), (best, sim) in zip(texts, vectors, index.search(vectors, 25), strict=True):
+        one, alone = index.vector(toxicity.terms(text))
+        assert list(one) == list(at) and np.allclose(alone, weight)
+        scores = dense[:, at] @ weight
+        want = np.lexsort((np.arange(len(scores)), -np.round(scores, 9)))[:25]
+        assert list(best) == list(want[scores[want] > 0]) or np.allclose(np.sort(scores[best]), np.sort(scores[want]), atol=1e-9)
+        assert np.allclose(sim, scores[best]) and len(best) == min(25, (scores > 0).sum())
+    assert len(index.scores(texts)) == len(texts) and index.search([], 25) == []
+
+
 def test_whole_query_against_all_pairs(spark):
     docs, labels = labelled()
     docs += [(900, " ".join(["ugly", *prose(900, 30).split(), "hapaxword"])), (901, None), (902, "unheardof")]
