@@ -41,7 +41,7 @@ USUAL_Z = 3.0  # a term's share of toxic rows may lie so far from the average by
 NEIGHBOURS = 25
 BLOCK = 128
 FREQUENT = 16  # a term in more than one of so many examples is frequent
-TOGETHER = 128  # texts that are searched at once
+TOGETHER = 64  # texts that are searched at once
 THRESHOLD = 0.7
 PRIOR_WEIGHT = 0.1
 
@@ -126,6 +126,8 @@ class Index:
 
     def __post_init__(self) -> None:
         self._steps = np.arange(1 << 16)
+        # Held for all searches: arrays of this size that come and go leave gaps in a worker's memory.
+        self._room = np.empty((0, 0)), np.empty((0, 0), dtype=np.float32)
 
     def parts(self) -> dict:
         """What a task builds the index from, but for its curve."""
@@ -150,7 +152,9 @@ class Index:
         """For each vector the k examples of the largest cosine above 0, ties to the smaller
         number, and these cosines."""
         n = len(self.labels)
-        rare, asked = np.empty((len(vectors), n)), np.zeros((len(vectors), len(self.top)))
+        if len(self._room[0]) < len(vectors):
+            self._room = np.empty((len(vectors), n)), np.empty((len(vectors), n), dtype=np.float32)
+        rare, asked = self._room[0][: len(vectors)], np.zeros((len(vectors), len(self.top)))
         for row, (at, weight) in enumerate(vectors):
             often = self.frequent[at]
             few = often < 0
@@ -188,7 +192,8 @@ class Index:
         # Each of the k best blocks has an example that scores so much already.
         floor = np.partition(high, -k, axis=1)[:, -k:].min(axis=1) if len(lows) >= k else np.zeros(len(rare))
         can = high + most >= floor[:, None] * (1 - 1e-9)
-        whole, asked = rare.astype(np.float32), asked.astype(np.float32)
+        whole, asked = self._room[1][: len(rare)], asked.astype(np.float32)
+        np.copyto(whole, rare, casting="same_kind")
         for block, low in enumerate(lows.tolist()):
             end = min(low + BLOCK, n)
             whole[~can[:, block], low:end] = 0
@@ -236,14 +241,12 @@ class Index:
         z = self.slope * _logit(vote) + self.offset
         return 1 / (1 + math.exp(-z))
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """For each text the score, and the ids and similarities of the examples that vote."""
-        out = []
         for i in range(0, len(texts), TOGETHER):
             vectors = self.vectors(texts[i : i + TOGETHER])
             for (at, _), (best, sim) in zip(vectors, self.search(vectors, self.neighbours), strict=True):
-                out.append((self.calibrated(self.vote(best, sim)) if len(at) else self.base, self.ids[best], sim))
-        return out
+                yield self.calibrated(self.vote(best, sim)) if len(at) else self.base, self.ids[best], sim
 
 
 def _unit(at: np.ndarray, n: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -483,8 +486,10 @@ def score(docs: DataFrame, index: Index, name: str = "score", evidence: bool = F
         own = Index(**sent.value, slope=slope, offset=offset)
         codes, different = pd.factorize(texts, use_na_sentinel=False)
         found = own.scores([None if pd.isna(t) else t for t in different])
-        columns = ["score", "example_ids", "example_similarities"]
-        return pd.DataFrame([found[i] for i in codes], columns=columns) if evidence else pd.DataFrame({"score": [found[i][0] for i in codes]})
+        if not evidence:
+            return pd.DataFrame({"score": np.array([x for x, _, _ in found], dtype=float)[codes]})
+        found = list(found)
+        return pd.DataFrame([found[i] for i in codes], columns=["score", "example_ids", "example_similarities"])
 
     if not evidence:
         return docs.withColumn(name, of(F.col("text"))["score"])

@@ -107,7 +107,7 @@ def test_many_texts_are_searched_at_once_as_one_by_one():
         want = np.lexsort((np.arange(len(scores)), -np.round(scores, 9)))[:25]
         assert list(best) == list(want[scores[want] > 0]) or np.allclose(np.sort(scores[best]), np.sort(scores[want]), atol=1e-9)
         assert np.allclose(sim, scores[best]) and len(best) == min(25, (scores > 0).sum())
-    assert len(index.scores(texts)) == len(texts) and index.search([], 25) == []
+    assert len(list(index.scores(texts))) == len(texts) and index.search([], 25) == []
 
 
 def test_whole_query_against_all_pairs(spark):
